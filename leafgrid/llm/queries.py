@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, mixing, toxicity
 from .exact_dedup import exact_dedup
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
@@ -21,6 +22,30 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_copies(_documents(spark, sf_dir)).drop("row_key")
+
+
+def toxic_probabilities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with p_low_quality and p_toxic: low quality first, since junk looks unlike prose."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    train = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train_chain(train, labels, ["low_quality", "toxic"]))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = toxic_probabilities(spark, docs, sf_dir).drop("text")
+    return found.withColumn("toxic_pred", F.col("p_toxic") >= 0.5)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    profiles = language_id.train_profiles(docs.filter(~language_id.held_out()))
+    rows = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.identify(rows, profiles).drop("text")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan_secrets(_documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -36,6 +61,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
