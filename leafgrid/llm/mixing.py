@@ -128,5 +128,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     """The rows of docs, each as often as the mix takes it."""
     plan = plan_copies(docs, weights, cap, seed, id_col, text_col, source_col).filter("copies > 0")
     plan = plan.groupBy("row_key").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("row_key", "__key")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(plan, "__key")
+    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(plan.hint("merge"), "__key")
     return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__key", "__copies", "__copy")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, toxicity
+from . import language_id, mixing, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
@@ -26,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_copies(_documents(spark, sf_dir)).drop("row_key")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_documents(spark, sf_dir))
+
+
 def toxic_probabilities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with p_low_quality and p_toxic: low quality first, since junk looks unlike prose."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
@@ -46,6 +50,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, profiles).drop("text")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.col("pii_sha256").alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan_secrets(_documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -62,8 +72,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
