@@ -11,6 +11,7 @@ from . import language_id, mixing, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
+from .substring_dedup import repeated_windows
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, profiles).drop("text")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows(_documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,

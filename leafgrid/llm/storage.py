@@ -35,6 +35,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     _written.append(path)
+    spark._jvm.System.gc()  # shuffle files of the plan just written go when the driver drops its objects
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,4 +54,4 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs whose row key is in keys (column __key), one for each key."""
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(keys.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
