@@ -53,8 +53,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = heads.join(groups, ["n_bytes", "head"], "left")
     done = [first.filter(F.col("n").isNull() | (F.col("n_bytes") <= FIRST))]
     more = groups.filter(F.col("n_bytes") > FIRST).select("n_bytes", "head", F.col("new_gid").alias("gid"))
+    # A merge join at every size: the members' side grows with the corpus.
     rest = F.expr(f"substring(norm, {FIRST + 1})").alias("rest")
-    state = materialise(rows.join(more, ["n_bytes", "head"]).select("doc_id", "n_cp", "row_key", "n_bytes", sha, "gid", rest, F.monotonically_increasing_id().alias("rid")), "members")
+    state = materialise(rows.join(more.hint("merge"), ["n_bytes", "head"]).select("doc_id", "n_cp", "row_key", "n_bytes", sha, "gid", rest, F.monotonically_increasing_id().alias("rid")), "members")
     end, width = FIRST, SECOND
     while not state.isEmpty():
         end += width
