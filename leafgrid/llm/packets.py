@@ -53,9 +53,11 @@ def load(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def by_part(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns' entries of each part, in their order."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part = part[order]
-    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for lo, hi in zip(edge, np.append(edge[1:], len(part)), strict=True):
         yield int(part[lo]), [c[order[lo:hi]] for c in columns]
 

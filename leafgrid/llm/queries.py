@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, mixing, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .substring_dedup import repeated_windows
@@ -55,6 +56,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(_documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_documents(spark, sf_dir)).drop("row_key")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,

@@ -39,12 +39,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; call when no DataFrame that reads them will run again."""
+def written() -> list[str]:
+    """The tables written so far."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables; call when no DataFrame that reads them will run again."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        _written.remove(path)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
