@@ -1,10 +1,378 @@
-"""Registered queries and their equivalent SQL."""
+"""Registered queries over the test tables and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import features, layers
+from ..model import derive_annotations, derive_boxes, derive_props
+from ..operators import aggregate, classify, extract, geometry, metrics
+
+MASKS = {"header": (0, 0, 1, 0.125), "body": (0, 0.125, 0.75, 0.9375)}
+LABEL_MAP = {"main": ["body", "header"], "copy": ["body"], "none": ["absent"]}
+FONTS = ("Times-Bold", "Times-Italic", "Times")
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _boxes(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
+    return derive_boxes(_read(spark, sf_dir, "documents"), varied)
+
+
+def _masked(spark: SparkSession, sf_dir: str, varied: bool = False) -> DataFrame:
+    return classify.multi_mask_classify(_boxes(spark, sf_dir, varied), MASKS, 0.5)
+
+
+def text_boxes(spark, sf_dir):
+    return _boxes(spark, sf_dir).filter("length(text) > 0 AND x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1")
+
+
+def page_filter_normalise(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir, True)
+    points = boxes.withColumns({"x0": F.col("x0") * 512, "x1": F.col("x1") * 512, "y0": (1 - F.col("y1")) * 1024, "y1": (1 - F.col("y0")) * 1024})
+    pages = boxes.select("doc_id", "page_num").distinct().withColumns({"width": F.lit(512.0), "height": F.lit(1024.0)})
+    return extract.normalise_boxes(points, pages)
+
+
+def style_runs(spark, sf_dir):
+    lines = _boxes(spark, sf_dir).select("doc_id", "box_idx", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    font = F.get(F.array(*map(F.lit, FONTS)), F.expr("(pos div 5) % 3").cast("int"))
+    return extract.style_runs(lines.filter("ch <> ''").withColumns({"fontname": font, "upright": F.expr("pos % 11 <> 0")}))
+
+
+def extract_error_policy(spark, sf_dir):
+    pages = extract.ensure_doc(_read(spark, sf_dir, "pages"), "html", None, "url")
+    return extract.error_policy(pages, "contains(lower(html), '</html>')").select("page_id", "error", F.length("html").alias("n_chars"))
+
+
+def mask_classify(spark, sf_dir):
+    return classify.mask_classify(_boxes(spark, sf_dir), 0, 0.125, 0.75, 0.9375, 0.5).select("doc_id", "box_idx", "label")
+
+
+def multi_mask_classify(spark, sf_dir):
+    return _masked(spark, sf_dir).select("doc_id", "box_idx", "label")
+
+
+def dummy_classify(spark, sf_dir):
+    return classify.dummy_classify(_boxes(spark, sf_dir), "body").select("doc_id", "box_idx", "label")
+
+
+def random_classify(spark, sf_dir):
+    return classify.random_classify(_boxes(spark, sf_dir), {"body": 2, "header": 1, "footer": 1}, 7).select("doc_id", "box_idx", "label")
+
+
+def _aligned(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    return geometry.align_box_labels(derive_annotations(boxes, _read(spark, sf_dir, "labels")), boxes, 0.25, "pollution")
+
+
+def align_annotations(spark, sf_dir):
+    return _aligned(spark, sf_dir).select("doc_id", "box_idx", "label")
+
+
+def adapt_annotations(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    out = classify.adapt_annotations(boxes, derive_annotations(boxes, _read(spark, sf_dir, "labels")), {"toxic": "body", "clean": "body"}, 0.25)
+    return out.select("doc_id", "box_idx", "label")
+
+
+def renumber_boxes(spark, sf_dir):
+    return geometry.renumber(_boxes(spark, sf_dir)).select("doc_id", "box_idx", "page_num", "text")
+
+
+def aggregate_simple(spark, sf_dir):
+    return aggregate.aggregate(_masked(spark, sf_dir)).drop("properties")
+
+
+def aggregate_sorted(spark, sf_dir):
+    return aggregate.aggregate(_masked(spark, sf_dir, True), sort=True).drop("properties")
+
+
+def aggregate_label_map(spark, sf_dir):
+    return aggregate.aggregate(_masked(spark, sf_dir, True), label_map=LABEL_MAP).drop("properties")
+
+
+def _styled(spark, sf_dir):
+    return aggregate.aggregate(derive_props(_masked(spark, sf_dir, True)))
+
+
+def aggregate_styles(spark, sf_dir):
+    out = _styled(spark, sf_dir).select("doc_id", "label", F.posexplode("properties").alias("i", "p"))
+    return out.select("doc_id", "label", "i", F.col("p.italic"), F.col("p.bold"), F.col("p.begin"), F.col("p.end"))
+
+
+def aggregate_markdown(spark, sf_dir):
+    return aggregate.markdown(_styled(spark, sf_dir)).select("doc_id", "label", "text")
+
+
+def reading_order_center(spark, sf_dir):
+    return geometry.reading_order_center(_boxes(spark, sf_dir)).select("doc_id", "box_idx", "order_idx")
+
+
+def reading_order(spark, sf_dir):
+    return geometry.reading_order(_boxes(spark, sf_dir)).select("doc_id", "box_idx", "order_idx")
+
+
+def merge_adjacency(spark, sf_dir):
+    return geometry.merge_adjacency(_masked(spark, sf_dir))
+
+
+def merge_bbox(spark, sf_dir):
+    return geometry.merge_bbox(_masked(spark, sf_dir))
+
+
+def merge_boxes(spark, sf_dir):
+    return geometry.merge_boxes(_masked(spark, sf_dir))
+
+
+def layout_features(spark, sf_dir):
+    return features.layout_features(_boxes(spark, sf_dir)).select("doc_id", "box_idx", "xmin", "ymin", "xmax", "ymax", "width", "height", "first_page", "last_page")
+
+
+def layout_buckets(spark, sf_dir):
+    return features.layout_buckets(features.layout_features(_boxes(spark, sf_dir, True)), 64).select("doc_id", "box_idx", "x0_at", "y0_at", "x1_at", "y1_at", "w_at", "h_at")
+
+
+def sinusoidal_features(spark, sf_dir):
+    rows = features.layout_buckets(features.layout_features(_boxes(spark, sf_dir)), 64)
+    each = rows.select("doc_id", "box_idx", F.posexplode(features.sinusoidal(F.col("x1_at"), 64, 8)).alias("channel", "value"))
+    return each.withColumn("value", F.round("value", 6))
+
+
+def relative_positions(spark, sf_dir):
+    return geometry.relative_positions(_boxes(spark, sf_dir), 64)
+
+
+def box_rescale(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    pages = boxes.select("doc_id", "page_num").distinct().withColumns({"width": F.expr("512D * (1 + doc_id % 4)"), "height": F.expr("1024D * (1 + page_num % 2)")})
+    return features.box_rescale(boxes, pages).select("doc_id", "box_idx", "x0_px", "y0_px", "x1_px", "y1_px")
+
+
+def _tokens(spark, sf_dir):
+    return features.tokens(_boxes(spark, sf_dir))
+
+
+def tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir)
+
+
+def word_shape(spark, sf_dir):
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("word_idx", "word"))
+    return words.select("doc_id", "word_idx", features.word_shape(F.col("word")).alias("shape"))
+
+
+def affixes(spark, sf_dir):
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("word_idx", "word"))
+    return features.affixes(words, "word").drop("word")
+
+
+def vocabulary(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return features.build_vocabulary(docs, "source", ("doc_id",)).select("value", F.col("idx").cast("long").alias("idx"))
+
+
+def vocabulary_encode(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    known = features.build_vocabulary(docs.filter("doc_id % 3 <> 1"), "source", ("doc_id",))
+    return features.encode(docs, known, "source").select("doc_id", F.col("idx").cast("long").alias("idx"))
+
+
+def _windows(spark, sf_dir):
+    lengths = _read(spark, sf_dir, "documents").select("doc_id", (F.size(F.split("text", " ", -1)) + 2).alias("n_tokens"))
+    return features.strided_windows(lengths, window=510, stride=255)
+
+
+def strided_windows(spark, sf_dir):
+    return _windows(spark, sf_dir)
+
+
+def best_context(spark, sf_dir):
+    return features.best_context(_windows(spark, sf_dir))
+
+
+def line_pooling(spark, sf_dir):
+    return features.line_pooling(_read(spark, sf_dir, "embeddings"), ("label",)).withColumn("value", F.round("value", 4))
+
+
+def batch_docs(spark, sf_dir):
+    return features.batch_docs(_read(spark, sf_dir, "documents").select("doc_id"), 4)
+
+
+def batch_by_boxes(spark, sf_dir):
+    counts = _read(spark, sf_dir, "documents").select("doc_id", "source", F.size(F.split("text", "\n", -1)).cast("long").alias("n_boxes"))
+    return features.batch_by_count(counts, 64, "n_boxes", "source").select("doc_id", "source", "n_boxes", "batch")
+
+
+def label_scores(spark, sf_dir):
+    gold = _masked(spark, sf_dir)
+    return metrics.label_scores(gold, classify.random_classify(_boxes(spark, sf_dir), {"body": 2, "header": 1, "footer": 1}, 7)).select(
+        "label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+def ensure_doc_ids(spark, sf_dir):
+    return extract.ensure_doc(_read(spark, sf_dir, "pages").withColumn("id", F.expr("CASE WHEN page_id % 3 = 0 THEN '' ELSE url END")), "html").select("page_id", "doc_id")
+
+
+def annotation_summary(spark, sf_dir):
+    return extract.summarise_annotations(_masked(spark, sf_dir))
+
+
+def learning_rates(spark, sf_dir):
+    steps = _read(spark, sf_dir, "documents").select("doc_id")
+    rate = features.linear_schedule((F.col("doc_id") % 1000).cast("double"), 1000, 0.5)
+    return steps.withColumn("rate", F.round(rate, 9))
+
+
+def trained_classify(spark, sf_dir):
+    rows = features.layout_features(_masked(spark, sf_dir, True)).withColumns({c: F.col(c).cast("double") for c in ("first_page", "last_page")})
+    return classify.trained_classify(rows, classify.train_classifier(rows)).select("doc_id", "box_idx", "label")
+
+
+def box_transformer(spark, sf_dir):
+    rows = features.layout_embedding(features.layout_features(_boxes(spark, sf_dir)), 64, 12)
+    out = layers.contextualise(rows.select("doc_id", "page_num", "box_idx", "x0", "y0", "y1", "embedding"), layers.BoxTransformer.seeded(12))
+    return out.select("doc_id", "box_idx", F.transform("context", lambda v: F.round(v, 4)).alias("context"))
+
+
+_ALL = (
+    text_boxes, page_filter_normalise, style_runs, extract_error_policy, mask_classify, multi_mask_classify, dummy_classify, random_classify, align_annotations,
+    adapt_annotations, renumber_boxes, aggregate_simple, aggregate_sorted, aggregate_label_map, aggregate_styles, aggregate_markdown, reading_order_center, reading_order,
+    merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, affixes,
+    vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
+    trained_classify, box_transformer,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+# SQL ------------------------------------------------------------------------------------------
+
+
+def _sql_boxes(varied: bool = False) -> str:
+    y0 = "(i % 32) / 32.0 + ((doc_id + i) % 3) / 128.0"
+    x0 = "((7 * doc_id + 3 * i) % 8) / 64.0"
+    return f"""lines AS (SELECT doc_id, t, i FROM (SELECT doc_id, string_split(text, chr(10)) AS ts, range(len(string_split(text, chr(10)))) AS ii FROM documents) s, LATERAL (SELECT unnest(ts) AS t, unnest(ii) AS i) u),
+boxes AS (SELECT doc_id, CAST(i // 32 AS INTEGER) AS page_num, CAST(i AS INTEGER) AS box_idx, CAST({x0} AS DOUBLE) AS x0, CAST({x0} + least(length(t), 48) / 64.0 AS DOUBLE) AS x1,
+  CAST({y0} AS DOUBLE) AS y0, CAST({y0} + 1 / 64.0 + {"(i % 2) / 128.0" if varied else "0"} AS DOUBLE) AS y1, t AS text FROM lines)"""
+
+
+def _sql_overlap(r: str) -> str:
+    return f"greatest(least({r}.x1, b.x1) - greatest({r}.x0, b.x0), 0.0) * greatest(least({r}.y1, b.y1) - greatest({r}.y0, b.y0), 0.0)"
+
+
+def _sql_area(r: str) -> str:
+    area = f"({r}.x1 - {r}.x0) * ({r}.y1 - {r}.y0)"
+    return f"(CASE WHEN {area} = 0 THEN 1.0 ELSE {area} END)"
+
+
+def _sql_masks(masks: dict, threshold: float) -> str:
+    values = ", ".join(f"({i}, '{k}', CAST({m[0]} AS DOUBLE), CAST({m[1]} AS DOUBLE), CAST({m[2]} AS DOUBLE), CAST({m[3]} AS DOUBLE))" for i, (k, m) in enumerate([*masks.items(), ("pollution", (-10000, -10000, 10000, 10000))]))
+    return f"""masks AS (SELECT * FROM (VALUES {values}) AS v(k, label, x0, y0, x1, y1)),
+scored AS (SELECT b.*, r.k, r.label, CASE WHEN {_sql_overlap("r")} / {_sql_area("b")} < {threshold} THEN 0.0 ELSE {_sql_overlap("r")} / {_sql_area("r")} END AS score FROM boxes b, masks r),
+labelled AS (SELECT * EXCLUDE (k, score, place) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, box_idx ORDER BY score DESC, k) AS place FROM scored) WHERE place = 1)"""
+
+
+def _sql_aligned(threshold: float, pollution: str) -> str:
+    return f"""src AS (SELECT p.doc_id, p.page_num, 0 AS k, 0.0 AS x0, 0.5 AS x1, (p.doc_id % 4) / 8.0 AS y0, (p.doc_id % 4) / 8.0 + 0.5 AS y1,
+  CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' ELSE 'low' END AS label FROM (SELECT DISTINCT doc_id, page_num FROM boxes) p JOIN labels l ON p.doc_id = l.doc_id
+  UNION ALL SELECT p.doc_id, p.page_num, 1, -100000.0, 100000.0, -100000.0, 100000.0, {pollution} FROM (SELECT DISTINCT doc_id, page_num FROM boxes) p JOIN labels l ON p.doc_id = l.doc_id),
+scored AS (SELECT b.*, r.k, r.label, CASE WHEN {_sql_overlap("r")} / {_sql_area("b")} < {threshold} THEN 0.0 ELSE {_sql_overlap("r")} / {_sql_area("r")} END AS score FROM boxes b JOIN src r ON b.doc_id = r.doc_id AND b.page_num = r.page_num),
+aligned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, box_idx ORDER BY score DESC, k) AS place FROM scored) WHERE place = 1)"""
+
+
+def _sql_pieces(order: str, source: str = "labelled") -> str:
+    """Lines of each label in order, with the separator after each and the offset before."""
+    return f"""heights AS (SELECT doc_id, avg(y1 - y0) AS row_height FROM boxes GROUP BY doc_id),
+kept AS (SELECT l.*, floor(l.y1 / h.row_height) AS row_at FROM {source} l JOIN heights h ON l.doc_id = h.doc_id WHERE length(text) > 0 AND label IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY {order}) AS ord FROM kept),
+mid AS (SELECT doc_id, label, median(y1 - y0) AS h FROM kept GROUP BY doc_id, label),
+ahead AS (SELECT a.*, m.h, n.doc_id IS NULL AS is_last, n.page_num AS np, n.y0 AS ny0, n.y1 AS ny1 FROM placed a JOIN mid m ON a.doc_id = m.doc_id AND a.label = m.label LEFT JOIN placed n ON a.doc_id = n.doc_id AND a.label = n.label AND n.ord = a.ord + 1),
+pieces AS (SELECT *, text || CASE WHEN is_last THEN '' WHEN page_num <> np THEN chr(10) || chr(10) WHEN (ny1 - y1) / h > 1.5 AND ny0 > y1 THEN chr(10) || chr(10) WHEN (ny1 - y1) / h > 0.2 AND ny0 > y1 THEN chr(10) ELSE ' ' END AS piece FROM ahead),
+texts AS (SELECT doc_id, label, string_agg(piece, '' ORDER BY ord) AS text, count(*) AS n_boxes FROM pieces GROUP BY doc_id, label)"""
+
+
+_B, _V = f"WITH {_sql_boxes()}", f"WITH {_sql_boxes(True)}"
+_M = _sql_masks(MASKS, 0.5)
+_DRAW = "(((doc_id % 1000003 * 7919 + box_idx * 104729 + 7) * 48271) % 2147483647) / 2147483647.0"
+_RANDOM = f"CASE WHEN {_DRAW} < 0.5 THEN 'body' WHEN {_DRAW} < 0.75 THEN 'header' ELSE 'footer' END"
+_WORDS = "words AS (SELECT doc_id, unnest(range(len(w))) AS word_idx, unnest(w) AS word FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))"
+_LENGTHS = "lengths AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents), wins AS (SELECT doc_id, n, unnest(range(1 + greatest(0, CAST(ceil((n - 510) / 255.0) AS BIGINT)))) AS w FROM lengths)"
+_HALF = "length(text) // 2"
+_STYLED = f"""{_sql_pieces("box_idx")},
+offs AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pieces),
+props AS (SELECT doc_id, label, ord, 0 AS half, false AS italic, box_idx % 3 = 0 AS bold, off AS b, off + {_HALF} AS e FROM offs
+  UNION ALL SELECT doc_id, label, ord, 1, box_idx % 5 = 0, false, off + {_HALF}, off + length(text) FROM offs)"""
+_SHAPE = "regexp_replace(regexp_replace(regexp_replace(word, '\\p{Lu}', 'X', 'g'), '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]', 'x', 'g'), '\\p{Nd}', 'd', 'g')"
+_CUT = _SHAPE
+for _c in ("X", "x", "d", "!", "%", "&", "\\*", "\\$", "\\|", "-", "\\."):
+    _CUT = f"regexp_replace({_CUT}, '{_c}{{5,}}', '{_c.strip(chr(92)) * 4}', 'g')"
+
+ORACLES: dict[str, str] = {
+    "text_boxes": f"{_B} SELECT doc_id, page_num, box_idx, x0, x1, y0, y1, text FROM boxes WHERE length(text) > 0 AND x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1",
+    "page_filter_normalise": f"{_V} SELECT doc_id, page_num, box_idx, x0, x1, y0, y1, text FROM boxes WHERE length(text) > 0 AND x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1",
+    "style_runs": f"""{_B}, chars AS (SELECT doc_id, box_idx, unnest(range(length(text))) AS pos, unnest(string_split(text, '')) AS ch FROM boxes WHERE length(text) > 0),
+        c1 AS (SELECT *, ch IN (' ', chr(9), chr(11), chr(12), chr(13)) AS blank, list_extract(['Times-Bold', 'Times-Italic', 'Times'], 1 + CAST((pos // 5) % 3 AS INTEGER)) AS font, pos % 11 <> 0 AS upright FROM chars),
+        c2 AS (SELECT *, CASE WHEN NOT blank THEN font || ':' || CAST((NOT upright OR font = 'Times-Italic') AS VARCHAR) END AS own, NOT blank OR coalesce(NOT lag(blank) OVER w, false) AS kept FROM c1 WINDOW w AS (PARTITION BY doc_id, box_idx ORDER BY pos)),
+        c3 AS (SELECT *, max(CASE WHEN NOT blank THEN pos END) OVER (PARTITION BY doc_id, box_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS src, coalesce(sum(CAST(kept AS INTEGER)) OVER (PARTITION BY doc_id, box_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM c2),
+        c4 AS (SELECT a.*, s.own AS style, s.font AS sfont, s.upright AS sup FROM c3 a LEFT JOIN c2 s ON a.doc_id = s.doc_id AND a.box_idx = s.box_idx AND a.src = s.pos),
+        c5 AS (SELECT *, CASE WHEN pos = 0 OR style IS DISTINCT FROM lag(style) OVER (PARTITION BY doc_id, box_idx ORDER BY pos) THEN 1 ELSE 0 END AS new FROM c4),
+        c6 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, box_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS run FROM c5)
+        SELECT doc_id, box_idx, CAST(run AS INTEGER) AS run, CAST(min(spot) AS INTEGER) AS "begin", CAST(coalesce(max(CASE WHEN NOT blank THEN spot + 1 END), min(spot)) AS INTEGER) AS "end", max(sfont) AS fontname,
+          bool_or(NOT sup OR sfont = 'Times-Italic') AS italic, bool_or(sfont = 'Times-Bold') AS bold FROM c6 GROUP BY doc_id, box_idx, run""",
+    "extract_error_policy": "SELECT page_id, NOT contains(lower(html), '</html>') AS error, CAST(length(html) AS INTEGER) AS n_chars FROM pages",
+    "mask_classify": f"{_B}, {_sql_masks({'body': (0, 0.125, 0.75, 0.9375)}, 0.5)} SELECT doc_id, box_idx, label FROM labelled",
+    "multi_mask_classify": f"{_B}, {_M} SELECT doc_id, box_idx, label FROM labelled",
+    "dummy_classify": f"{_B} SELECT doc_id, box_idx, 'body' AS label FROM boxes",
+    "random_classify": f"{_B} SELECT doc_id, box_idx, {_RANDOM} AS label FROM boxes",
+    "align_annotations": f"{_B}, {_sql_aligned(0.25, chr(39) + 'pollution' + chr(39))} SELECT doc_id, box_idx, label FROM aligned",
+    "adapt_annotations": f"{_B}, {_sql_aligned(0.25, 'NULL')} SELECT doc_id, box_idx, CASE WHEN label IN ('toxic', 'clean') THEN 'body' ELSE label END AS label FROM aligned WHERE text = '' OR label IS NOT NULL",
+    "renumber_boxes": f"{_B} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, box_idx) - 1 AS INTEGER) AS box_idx, page_num, text FROM boxes",
+    "aggregate_simple": f"{_B}, {_M}, {_sql_pieces('box_idx')} SELECT doc_id, label, text, n_boxes FROM texts",
+    "aggregate_sorted": f"{_V}, {_M}, {_sql_pieces('page_num, row_at, x0, box_idx')} SELECT doc_id, label, text, n_boxes FROM texts",
+    "aggregate_label_map": f"""{_V}, {_M}, mapped AS (SELECT l.* EXCLUDE (label), coalesce(m.new, l.label) AS label FROM labelled l LEFT JOIN (VALUES ('body', 'main'), ('header', 'main'), ('body', 'copy'), ('absent', 'none')) AS m(old, new) ON l.label = m.old),
+        {_sql_pieces('box_idx', 'mapped')} SELECT coalesce(w.doc_id, t.doc_id) AS doc_id, coalesce(w.label, t.label) AS label, coalesce(t.text, '') AS text, coalesce(t.n_boxes, 0) AS n_boxes
+        FROM texts t FULL JOIN (SELECT DISTINCT doc_id, o.label FROM boxes, (VALUES ('main'), ('copy'), ('none')) AS o(label)) w ON t.doc_id = w.doc_id AND t.label = w.label""",
+    "aggregate_styles": f"""{_V}, {_M}, {_STYLED} SELECT doc_id, label, CAST(row_number() OVER (PARTITION BY doc_id, label ORDER BY ord, half) - 1 AS INTEGER) AS i, italic, bold, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end" FROM props""",
+    "aggregate_markdown": f"""{_V}, {_M}, {_STYLED}, marked AS (SELECT doc_id, label, ord,
+          CASE WHEN {_HALF} = 0 THEN '' WHEN box_idx % 3 = 0 THEN '**' || left(text, {_HALF}) || '**' ELSE left(text, {_HALF}) END
+          || CASE WHEN box_idx % 5 = 0 THEN '_' || substr(text, {_HALF} + 1) || '_' ELSE substr(text, {_HALF} + 1) END || substr(piece, length(text) + 1) AS out FROM offs)
+        SELECT doc_id, label, string_agg(out, '' ORDER BY ord) AS text FROM marked GROUP BY doc_id, label""",
+    "reading_order_center": f"{_B} SELECT doc_id, box_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, (y0 + y1) / 2, (x0 + x1) / 2, box_idx) - 1 AS INTEGER) AS order_idx FROM boxes",
+    "merge_adjacency": f"""{_B}, {_M}, pairs AS (SELECT a.doc_id, a.page_num, a.label, a.box_idx AS i, b.box_idx AS j, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1, least(a.y0, b.y0) AS y0, greatest(a.y1, b.y1) AS y1
+        FROM labelled a JOIN labelled b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.box_idx < b.box_idx AND a.label = b.label)
+        SELECT doc_id, page_num, label, i, j FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM labelled o WHERE o.doc_id = p.doc_id AND o.page_num = p.page_num AND o.label <> p.label AND least(p.x1, o.x1) > greatest(p.x0, o.x0) AND least(p.y1, o.y1) > greatest(p.y0, o.y0))""",
+    "merge_bbox": f"{_B}, {_M} SELECT doc_id, page_num, label, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, count(*) AS n_boxes FROM labelled GROUP BY doc_id, page_num, label",
+    "layout_features": f"{_B} SELECT doc_id, box_idx, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax, x1 - x0 AS width, y1 - y0 AS height, page_num = 0 AS first_page, page_num = max(page_num) OVER (PARTITION BY doc_id) AS last_page FROM boxes",
+    "layout_buckets": f"{_V} SELECT doc_id, box_idx, " + ", ".join(f"CAST(trunc(least(({e}) * 64, 63.0)) AS INTEGER) AS {n}" for n, e in (("x0_at", "x0"), ("y0_at", "y0"), ("x1_at", "x1"), ("y1_at", "y1"), ("w_at", "x1 - x0"), ("h_at", "(y1 - y0) * 5"))) + " FROM boxes",
+    "sinusoidal_features": f"""{_B}, spots AS (SELECT doc_id, box_idx, trunc(least(x1 * 64, 63.0)) AS p, unnest(range(8)) AS channel FROM boxes)
+        SELECT doc_id, box_idx, CAST(channel AS INTEGER) AS channel, round(CASE WHEN channel % 2 = 0 THEN sin(p * exp((channel - channel % 2) * (-1.0 / 8) * ln(10000.0))) ELSE cos(p * exp((channel - channel % 2) * (-1.0 / 8) * ln(10000.0))) END, 6) AS value FROM spots""",
+    "relative_positions": f"""{_B}, p AS (SELECT q.doc_id, q.page_num, q.box_idx AS i, k.box_idx AS j, CAST(trunc((k.x0 - q.x0) * 64) AS INTEGER) AS dx, CASE WHEN k.y0 >= q.y0 THEN q.y1 - q.y0 ELSE k.y1 - k.y0 END AS ref, k.y1 - q.y0 AS far, k.y0 - q.y1 AS near
+          FROM boxes q JOIN boxes k ON q.doc_id = k.doc_id AND q.page_num = k.page_num),
+        d AS (SELECT *, CAST(CASE WHEN far + 0.5 > 0 AND near + 0.5 > 0 THEN ceil(least(far, near) / ref + 0.5) WHEN far - 0.5 < 0 AND near - 0.5 < 0 THEN floor(greatest(far, near) / ref - 0.5) ELSE 0 END AS INTEGER) AS dy FROM p)
+        SELECT doc_id, page_num, i, j, dx, dy, CAST(greatest(least(32 + dx, 63), 0) AS INTEGER) AS dx_pos, CAST(greatest(least(32 + dy, 63), 0) AS INTEGER) AS dy_pos FROM d""",
+    "box_rescale": f"""{_B}, p AS (SELECT DISTINCT doc_id, page_num, 512.0 * (1 + doc_id % 4) AS width, 1024.0 * (1 + page_num % 2) AS height FROM boxes),
+        s AS (SELECT doc_id, page_num, CASE WHEN width > 1000 THEN 1000.0 ELSE width END AS w, CASE WHEN width > 1000 THEN 1000.0 / (CAST(width AS DOUBLE) / height) ELSE height END AS h, CAST(width AS DOUBLE) / height AS r FROM p),
+        z AS (SELECT doc_id, page_num, CAST(CASE WHEN h > 1000 THEN 1000.0 * r ELSE w END AS DOUBLE) AS w, CAST(CASE WHEN h > 1000 THEN 1000.0 ELSE h END AS DOUBLE) AS h FROM s)
+        SELECT b.doc_id, b.box_idx, CAST(trunc(x0 * w) AS INTEGER) AS x0_px, CAST(trunc(y0 * h) AS INTEGER) AS y0_px, CAST(trunc(x1 * w) AS INTEGER) AS x1_px, CAST(trunc(y1 * h) AS INTEGER) AS y1_px FROM boxes b JOIN z ON b.doc_id = z.doc_id AND b.page_num = z.page_num""",
+    "word_shape": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape FROM words",
+    "affixes": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix, lower(trim(word)) AS norm FROM words",
+    "vocabulary": "SELECT source AS value, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents GROUP BY source",
+    "vocabulary_encode": "WITH v AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents WHERE doc_id % 3 <> 1 GROUP BY source) SELECT d.doc_id, coalesce(v.idx, 0) AS idx FROM documents d LEFT JOIN v ON d.source = v.source",
+    "strided_windows": f'WITH {_LENGTHS} SELECT doc_id, CAST(w AS INTEGER) AS window_idx, CAST(w * 255 AS INTEGER) AS "begin", CAST(least(w * 255 + 510, n) AS INTEGER) AS "end" FROM wins',
+    "best_context": f"""WITH {_LENGTHS}, e AS (SELECT doc_id, w, w * 255 AS b, least(w * 255 + 510, n) AS t, unnest(range(w * 255, least(w * 255 + 510, n))) AS token FROM wins),
+        s AS (SELECT doc_id, token, w, row_number() OVER (PARTITION BY doc_id, token ORDER BY greatest(least(token - b + 1, t - b + 1 - (token - b + 1)), 0) DESC, w DESC) AS place FROM e)
+        SELECT doc_id, CAST(token AS INTEGER) AS token, CAST(w AS INTEGER) AS window_idx FROM s WHERE place = 1""",
+    "line_pooling": "WITH e AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 4) AS value FROM e GROUP BY label, dim",
+    "batch_docs": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents",
+    "label_scores": f"""{_B}, {_M}, z AS (SELECT label AS gold, {_RANDOM} AS pred FROM labelled WHERE text <> ''), names AS (SELECT gold AS label FROM z UNION SELECT pred FROM z),
+        s AS (SELECT n.label, count(*) FILTER (WHERE gold = n.label) AS support, count(*) FILTER (WHERE pred = n.label) AS said, count(*) FILTER (WHERE gold = n.label AND pred = n.label) AS hit FROM z, names n GROUP BY n.label)
+        SELECT label, support, round(CASE WHEN said = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / said END, 6) AS precision, round(CASE WHEN support = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / support END, 6) AS recall,
+          round(CASE WHEN said + support = 0 THEN 0.0 ELSE CAST(2 * hit AS DOUBLE) / (said + support) END, 6) AS f1, (SELECT round(CAST(count(*) FILTER (WHERE gold = pred) AS DOUBLE) / count(*), 6) FROM z) AS accuracy FROM s""",
+    "ensure_doc_ids": "SELECT page_id, CASE WHEN page_id % 3 = 0 OR url = '' THEN sha256(html) ELSE url END AS doc_id FROM pages",
+    "annotation_summary": f"{_B}, {_M} SELECT doc_id, page_num, label, count(*) AS n_boxes, sum((x1 - x0) * (y1 - y0)) AS area FROM labelled GROUP BY doc_id, page_num, label",
+    "learning_rates": "SELECT doc_id, round(CASE WHEN doc_id % 1000 < 100 THEN 0.5 * (CAST(doc_id % 1000 AS DOUBLE) / 100) ELSE 0.5 - 0.5 * ((CAST(doc_id % 1000 AS DOUBLE) - 100) / 900) END, 9) AS rate FROM documents",
+}
