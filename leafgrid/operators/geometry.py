@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cmp_to_key
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,17 +164,17 @@ def merge_keys(rects: list[tuple[float, float, float, float]], labels: list) ->
     """
     names: dict = {}
     keys = [names.setdefault(x, len(names)) for x in labels]
+    r = np.array(rects, float).reshape(-1, 4)
+    low, high = r[:, (0, 2)], r[:, (1, 3)]
+    joint_low, joint_high = np.minimum(low[:, None], low[None]), np.maximum(high[:, None], high[None])
     while True:
-        near: list[set[int]] = [set() for _ in rects]
-        for i, a in enumerate(rects):
-            for j in range(i + 1, len(rects)):
-                if keys[i] != keys[j]:
-                    continue
-                b = rects[j]
-                x0, x1, y0, y1 = min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3])
-                if not any(k != keys[i] and min(x1, r[1]) > max(x0, r[0]) and min(y1, r[3]) > max(y0, r[2]) for r, k in zip(rects, keys, strict=True)):
-                    near[i].add(j)
-                    near[j].add(i)
+        group = np.array(keys)
+        near = []
+        for i in range(len(r)):
+            # rectangles that the joint ones of i and each j meet, of another group than i
+            meets = (np.minimum(joint_high[i][:, None], high[None]) > np.maximum(joint_low[i][:, None], low[None])).all(-1)
+            free = ~(meets & (group != group[i])[None]).any(1) & (group == group[i])
+            near.append(set(np.flatnonzero(free).tolist()) - {i})
         taken: dict[int, int] = {}
         clash = False
         for number, clique in enumerate(_cliques(near)):
