@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, mixing, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .oracles import ORACLES
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .substring_dedup import repeated_windows
@@ -80,6 +81,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).drop("row_key")
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pieces": op2_pieces,
@@ -92,5 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
-
-ORACLES: dict[str, str] = {}

@@ -141,7 +141,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_t
     chosen = marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.to_json("marks").alias("marks"), "text")
-    found = rows.mapInArrow(_extract, "doc_id bigint, marks string, slots binary, shape array<double>").toPandas()
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("marks string, slots binary, shape array<double>").fields])
+    found = rows.mapInArrow(_extract, schema).toPandas()
     found = found.drop_duplicates(subset=["slots"]).sort_values("doc_id").head(max_train)
     slots = [np.frombuffer(s, np.int32) for s in found["slots"]]
     y = np.array([[int(v) for v in m.strip("[]").split(",")] for m in found["marks"]]).reshape(-1, len(categories))
