@@ -150,8 +150,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                 payload = [np.stack([place[b[x:y]], e[x:y] - b[x:y] + 1]).astype(np.int64).tobytes() if y > x else None for x, y in zip(bound[:-1], bound[1:], strict=True)]
                 sha, _ = _kept(c, words, np.zeros(len(words), bool))
                 part = batch.slice(c.lo, len(c))
-                open_ = pa.array([p is not None for p in payload])
-                yield pa.RecordBatch.from_arrays([part.column(4), part.column(2), pa.compute.if_else(open_, part.column(3), pa.scalar(None, part.column(3).type)), pa.array(size), pa.array(sha), pa.array(payload, pa.binary())], ["doc_id", "rid", "text", "n_words", "sha", "runs"])
+                rest = pa.RecordBatch.from_arrays([part.column(4), part.column(2), part.column(3), pa.array(size), pa.array(sha), pa.array(payload, pa.binary())], ["doc_id", "rid", "text", "n_words", "sha", "runs"])
+                open_ = rest.column(5).is_valid()
+                done = rest.filter(pa.compute.invert(open_))
+                yield rest.filter(open_)
+                yield done.set_column(2, "text", pa.nulls(len(done), part.column(3).type))
 
     schema = StructType([kind, *StructType.fromDDL("rid bigint, text string, n_words bigint, sha string, runs binary").fields])
     state = materialise(_meet(rows, found, parts, ["doc_id"]).mapInArrow(runs, schema), "runs")
