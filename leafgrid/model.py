@@ -9,14 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-PROPS = "array<struct<italic:boolean,bold:boolean,begin:int,end:int,fontname:string>>"
-DOCS = StructType.fromDDL("doc_id string, content binary, num_pages int, error boolean")
-PAGES = StructType.fromDDL("doc_id string, page_num int, width double, height double, image struct<h:int,w:int,c:int,data:binary>")
-BOXES = StructType.fromDDL(f"doc_id string, page_num int, box_idx int, x0 double, x1 double, y0 double, y1 double, label string, text string, props {PROPS}")
-ANNOTATIONS = StructType.fromDDL("doc_id string, page_num int, src_idx int, x0 double, x1 double, y0 double, y1 double, label string")
-TEXTS = StructType.fromDDL(f"doc_id string, label string, text string, properties {PROPS}")
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
+
+
+def _struct(**fields: DataType) -> StructType:
+    """Nullable columns by name; built from types, so that no session is needed on import."""
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+_STR, _INT, _DBL, _BOOL = StringType(), IntegerType(), DoubleType(), BooleanType()
+_RECT = {"x0": _DBL, "x1": _DBL, "y0": _DBL, "y1": _DBL}
+PROPS = ArrayType(_struct(italic=_BOOL, bold=_BOOL, begin=_INT, end=_INT, fontname=_STR))
+DOCS = _struct(doc_id=_STR, content=BinaryType(), num_pages=_INT, error=_BOOL)
+PAGES = _struct(doc_id=_STR, page_num=_INT, width=_DBL, height=_DBL, image=_struct(h=_INT, w=_INT, c=_INT, data=BinaryType()))
+BOXES = _struct(doc_id=_STR, page_num=_INT, box_idx=_INT, **_RECT, label=_STR, text=_STR, props=PROPS)
+ANNOTATIONS = _struct(doc_id=_STR, page_num=_INT, src_idx=_INT, **_RECT, label=_STR)
+TEXTS = _struct(doc_id=_STR, label=_STR, text=_STR, properties=PROPS)
 LINES_PER_PAGE = 32
 
 
