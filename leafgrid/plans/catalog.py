@@ -366,7 +366,7 @@ ORACLES: dict[str, str] = {
     "best_context": f"""WITH {_LENGTHS}, e AS (SELECT doc_id, w, w * 255 AS b, least(w * 255 + 510, n) AS t, unnest(range(w * 255, least(w * 255 + 510, n))) AS token FROM wins),
         s AS (SELECT doc_id, token, w, row_number() OVER (PARTITION BY doc_id, token ORDER BY greatest(least(token - b + 1, t - b + 1 - (token - b + 1)), 0) DESC, w DESC) AS place FROM e)
         SELECT doc_id, CAST(token AS INTEGER) AS token, CAST(w AS INTEGER) AS window_idx FROM s WHERE place = 1""",
-    "line_pooling": "WITH e AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 4) AS value FROM e GROUP BY label, dim",
+    "line_pooling": "WITH e AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 4) + 0.0 AS value FROM e GROUP BY label, dim",
     "batch_docs": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents",
     "label_scores": f"""{_B}, {_M}, z AS (SELECT label AS gold, {_RANDOM} AS pred FROM labelled WHERE text <> ''), names AS (SELECT gold AS label FROM z UNION SELECT pred FROM z),
         s AS (SELECT n.label, count(*) FILTER (WHERE gold = n.label) AS support, count(*) FILTER (WHERE pred = n.label) AS said, count(*) FILTER (WHERE gold = n.label AND pred = n.label) AS hit FROM z, names n GROUP BY n.label)
