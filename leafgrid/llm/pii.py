@@ -1,10 +1,9 @@
 """Personal data with offset-preserving deobfuscation.
 
-Base patterns run on the text as it is.  A text that shows signs of disguise also goes through two
-transducers: one maps homoglyphs to ASCII character by character, one rewrites spelled digits and
-at/dot disguises.  Every output character remembers the source span it came from, so identifiers
-found in the normalised text map back to source offsets.  They are added where they touch no base
-span of their kind.
+Base patterns run on the text as it is.  Every text also goes through two transducers: one maps
+homoglyphs to ASCII character by character, one rewrites spelled digits and at/dot disguises.  Every
+output character remembers the source span it came from, so identifiers found in the normalised text
+map back to source offsets.  They are added where they touch no base span of their kind.
 
 Scale: one pass over whole texts, no shuffle.  Scans are linear in the text: an e-mail's local part
 is looked for only before an ``@``.
@@ -37,6 +36,8 @@ _LOOKALIKE = str.maketrans(
 ) | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _STRANGE = re.compile("[" + "".join(map(chr, _LOOKALIKE)) + "]")
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Letters that the patterns take for i and s when they ignore case.
+_FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _SPELLED = rf"\b(?:{'|'.join(_NAMES)})\b"
 _SIGN = re.compile(
     r"(?i)(?P<at>(?<!\s)\s*+[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\x20+at\x20+(?=[\w-]+(?:\x20+dot\x20+|\s*[\[({<]\s*dot))) "
@@ -94,6 +95,8 @@ def normalise(text: str) -> tuple[str, list[Span], list[bool]] | None:
     None if nothing was rewritten.
     """
     plain = text.translate(_LOOKALIKE) if _STRANGE.search(text) else text
+    if plain is text and not _SIGN.search(text):
+        return None
     out: list[str] = []
     spans: list[Span] = []
     new: list[bool] = []
@@ -119,7 +122,7 @@ def normalise(text: str) -> tuple[str, list[Span], list[bool]] | None:
             if p.lastgroup == "plus":
                 put("+", *p.span())
             elif p.lastgroup == "name":
-                put(_NAMES[p.group().lower()], *p.span())
+                put(_NAMES[p.group().translate(_FOLD).lower()], *p.span())
             elif p.lastgroup == "raw":
                 copy(*p.span())
     copy(at, len(plain))
@@ -138,26 +141,13 @@ def disguised(text: str) -> dict[str, list[Span]]:
     return {k: [(spans[a][0], spans[b - 1][1]) for a, b in hits if rewritten[b] > rewritten[a]] for k, hits in find(plain).items()}
 
 
-def _suspect(raw: bytes) -> bool:
-    """Whether the bytes of a text show any sign that the transducers act on."""
-    if any(lead in raw for lead in (b"\xce", b"\xcf", b"\xd0", b"\xd1", b"\xd4", b"\xd9", b"\xef\xbc", b"\xef\xbd", b"\xe2\x85")):
-        return True
-    low = raw.lower()
-    if b"dot" in low or b"punkt" in low or b"point" in low or b"punto" in low:
-        return True
-    return sum(name.encode() in low for name in _NAMES) >= 3 and re.search(rb"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]+)\b[ ,-]", low) is not None
-
-
 def scan(raw: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) by kind and start, in code points."""
     base: dict[str, list[Span]] = dict.fromkeys(KINDS, [])
-    more: dict[str, list[Span]] = {}
-    strange = _suspect(raw)
-    if strange or b"@" in raw or len(raw.translate(None, b"0123456789")) + 4 <= len(raw):
-        text = raw.decode("utf-8", "replace")
+    text = raw.decode("utf-8", "replace")
+    if b"@" in raw or len(raw.translate(None, b"0123456789")) + 4 <= len(raw):
         base = find(text)
-        if strange:
-            more = disguised(text)
+    more = disguised(text)
     plain = [(k, a, b) for k in KINDS for a, b in base[k]]
     every = []
     for k in KINDS:

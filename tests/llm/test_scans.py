@@ -124,6 +124,16 @@ def test_pii_disguised():
     assert pii.scan("plain words only, nothing here".encode()) == ([], [])
 
 
+def disguises(text):
+    base, every = pii.scan(text.encode())
+    return [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base]
+
+
+def test_pii_bracketed_at_alone():
+    for mail in ("john [at] example.com", "john(AT)example.com", "john <\tat > example.com", "john{ At }example.com"):
+        assert disguises(f"mail {mail} now") == [("email", mail)], mail
+
+
 def test_empty(none):
     assert secret_scan.scan_secrets(none)[0].count() == 0
     assert quality_rules.quality_rules(none).count() == 0
