@@ -39,12 +39,16 @@ _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 # Letters that the patterns take for i and s when they ignore case.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _SPELLED = rf"\b(?:{'|'.join(_NAMES)})\b"
+_TOKENS = rf"{_SPELLED}(?:[\x20,-]+(?:{_SPELLED}|[0-9]+))"
+_DOT = r"(?:(?<!\s)\s*+[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|(?<=\w)\x20+dot\x20+(?=\w))"
 _SIGN = re.compile(
     r"(?i)(?P<at>(?<!\s)\s*+[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\x20+at\x20+(?=[\w-]+(?:\x20+dot\x20+|\s*[\[({<]\s*dot))) "
-    r"| (?P<dot>(?<!\s)\s*+[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|(?<=\w)\x20+dot\x20+(?=\w)) "
-    rf"| (?P<run>(?:\bplus\x20)?{_SPELLED}(?:[\x20,-]+(?:{_SPELLED}|[0-9]+)){{3,}})",
+    rf"| (?P<dot>{_DOT}) "
+    rf"| (?P<run>(?:\bplus\x20)?{_TOKENS}{{3,}}|{_TOKENS}{{0,2}}(?={_DOT}))",
     re.X,
 )
+# A short run of names after a dot disguise.
+_AFTER_DOT = re.compile(rf"(?i){_TOKENS}{{0,2}}")
 _PART = re.compile(rf"(?i)(?P<plus>\bplus\b)|(?P<name>{_SPELLED})|(?P<raw>[0-9])|(?P<gap>[\x20,-]+)")
 
 Span = tuple[int, int]
@@ -111,12 +115,19 @@ def normalise(text: str) -> tuple[str, list[Span], list[bool]] | None:
         spans.append((lo, hi))
         new.append(True)
 
-    at = 0
-    for m in _SIGN.finditer(plain):
+    at, dotted = 0, False
+    while True:
+        m = _SIGN.search(plain, at)
+        if dotted and not (m and m.start() == at):
+            m = _AFTER_DOT.match(plain, at) or m
+        if not m:
+            break
         copy(at, m.start())
         at = m.end()
-        if m.lastgroup in ("at", "dot"):
-            put("@" if m.lastgroup == "at" else ".", *m.span())
+        kind = m.lastgroup
+        dotted = kind == "dot"
+        if kind in ("at", "dot"):
+            put("@" if kind == "at" else ".", *m.span())
             continue
         for p in _PART.finditer(plain, *m.span()):
             if p.lastgroup == "plus":

@@ -134,6 +134,17 @@ def test_pii_bracketed_at_alone():
         assert disguises(f"mail {mail} now") == [("email", mail)], mail
 
 
+def test_pii_spelled_digits_of_few_names():
+    card = "four " + " ".join(["one"] * 15)
+    assert disguises(f"card {card} now") == [("card", card)]
+    for ip in ("one nine two dot one six eight dot one dot one", "one-two-seven (dot) zero (dot) zero [dot] one", "192 dot one six 8 dot 1 dot five"):
+        assert disguises(f"host {ip}. Done") == [("ip", ip)], ip
+    assert disguises("one or two at a time dot") == []
+    mail = "jane at one dot example dot com"
+    assert disguises(f"write {mail}") == [("email", mail)]
+    assert disguises("host \u017fix dot one dot one dot F\u0130VE") == [("ip", "\u017fix dot one dot one dot F\u0130VE")]
+
+
 def test_empty(none):
     assert secret_scan.scan_secrets(none)[0].count() == 0
     assert quality_rules.quality_rules(none).count() == 0
