@@ -245,8 +245,10 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, row_key for every row.
+    """doc_id, n_shingles, component_id, row_key, root for every row.
 
+    root tells components apart, also those whose component_id is equal or null; without shingles it
+    is null.
     Documents are linked if 100 * common >= percent * all shingles.  Null texts and texts without
     words have no shingles, no links and are their own component.  Rows with equal ids are separate
     documents; null ids never name a component that has another; other columns are ignored.
@@ -292,14 +294,17 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
         roots = materialise(components(links), "roots")
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("set_key", "low", F.coalesce("root", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "root").select("set_key", "component_id")
+    named = named.join(low, "root").select("set_key", "component_id", "root")
     out = described.select("doc_id", "row_key", "n", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 
 
 def drop_near_copies(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id stays."""
+    """The rows of docs without near copies: of each component the row with the smallest id stays.
+
+    Rows without shingles are linked with nothing and all stay.
+    """
     found = jaccard_join(docs, k, percent, id_col, text_col)
-    first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key"))["row_key"].alias("__key"))
-    keys = first.select("__key").unionByName(found.filter("n_shingles = 0").select(F.col("row_key").alias("__key")))
-    return only_rows(docs, keys.distinct(), id_col, text_col)
+    first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key"))["row_key"].alias("__key"))
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return only_rows(docs.filter(has_words), first.select("__key"), id_col, text_col).unionByName(docs.filter(~has_words))

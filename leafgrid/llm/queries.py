@@ -58,7 +58,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_documents(spark, sf_dir)).drop("row_key")
+    return jaccard_join(_documents(spark, sf_dir)).drop("row_key", "root")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

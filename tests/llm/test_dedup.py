@@ -129,6 +129,15 @@ def test_jaccard_join_frequent_groups(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows)
 
 
+def test_near_copies_keep_unrelated_rows_of_null_and_repeated_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    rows = [(None, one), (None, two), (None, one + " more"), (7, three), (7, four), (8, ""), (8, ""), (None, None), (None, None), (9, " \n")]
+    out = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter((r.doc_id, r.text) for r in out)
+    assert texts[None, one] + texts[None, one + " more"] == 1
+    assert len(out) == len(rows) - 1 and all(texts[r] == rows.count(r) for r in rows[1:2] + rows[3:])
+
+
 def test_combinations_are_complete():
     """Any two sets that can be linked share a combination of a size both use."""
     rng = np.random.default_rng(5)
