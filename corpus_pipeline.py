@@ -49,8 +49,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingle similarity."""
-    return jaccard_join.drop_near_copies(docs)
+    """One document of each group linked by shingle similarity: five words, 80 per cent."""
+    return jaccard_join.drop_near_copies(docs, k=5, percent=80)
 
 
 @_stage

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +123,7 @@ def _combinations(k: int, percent: int):
             for i, s in enumerate(shingle_sets(c, k)):
                 n = len(s)
                 d = (100 - percent) * n // percent
-                for size in combination_sizes(n):
+                for size in combination_sizes(n, percent):
                     reach = s[: size * (d + 1)]
                     key, ok = windows(reach, np.array([0, len(reach)]), size)
                     key = mix(key[ok] + np.uint64(size))
@@ -131,12 +132,17 @@ def _combinations(k: int, percent: int):
     return tokens
 
 
-def combination_sizes(n: int) -> tuple[int, ...]:
+@lru_cache(1 << 16)
+def combination_sizes(n: int, percent: int = PERCENT) -> tuple[int, ...]:
     """How many tokens a combination of a set of n has: two linked sets always have a size in common.
 
-    Sets below 6 are linked to equal sets only; common tokens suffice for 3 from 5 and for 4 from 9.
+    Linked sets with u tokens in all differ in d = (100 - percent) * u // 100 at most, and their u - d
+    common tokens suffice for k if u >= k * (d + 1).  Both sets use the k of every u they can have.
     """
-    return () if n < 6 else (3,) if n < 24 else (3, 4) if n <= 40 else (4,)
+    u = np.arange(n, 100 * n // percent + 1)
+    d = (100 - percent) * u // 100
+    k = np.minimum(u // (d + 1), np.where(u < 28, 3, 4))
+    return tuple(np.unique(k[d > 0]).tolist())
 
 
 def _pairs(key: np.ndarray, cid: np.ndarray, n: np.ndarray, percent: int, most: int, exclude: np.ndarray | None = None) -> np.ndarray:
@@ -252,10 +258,10 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     Documents are linked if 100 * common >= percent * all shingles.  Null texts and texts without
     words have no shingles, no links and are their own component.  Rows with equal ids are separate
     documents; null ids never name a component that has another; other columns are ignored.
-    percent is at least 85, as combination_sizes assumes.
     """
-    if percent < 85:
-        raise ValueError("combinations of consecutive tokens are only complete from 85 per cent")
+    if not 0 < percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    least = -(-percent // max(1, 100 - percent))  # smaller sets are linked to equal sets only
     parts = partitions(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("row_key string, n bigint, set_key binary, prefix binary").fields])
@@ -264,7 +270,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     classes = materialise(classes.withColumn("cid", F.xxhash64("set_key")), "classes")
     picks = classes.select("cid", F.col("pick").alias("row_key"))
     heads = materialise(described.select("row_key", "n", "prefix").join(picks.hint("merge"), "row_key").dropDuplicates(["cid"]).select("cid", "n", "prefix"), "heads")
-    found = materialise(_candidates(heads.filter("n > 5"), parts, _prefix_tokens, percent, False), "singles")
+    found = materialise(_candidates(heads.filter(F.col("n") >= least), parts, _prefix_tokens, percent, False), "singles")
     frequent = found.filter("b is null").select(F.col("a").alias("cid")).distinct().withColumn("frequent", F.lit(True))
     active = found.select(F.col("a").alias("cid")).unionByName(found.filter("b is not null").select(F.col("b").alias("cid"))).distinct()
     wanted = active.join(frequent, "cid", "left").join(picks, "cid")

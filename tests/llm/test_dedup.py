@@ -161,6 +161,32 @@ def test_combinations_are_complete():
             assert combos(x) & combos(y), (n, a, most)
 
 
+def test_combinations_are_complete_below_85():
+    rng = np.random.default_rng(6)
+
+    def combos(s, percent):
+        s = np.sort(s)
+        d = (100 - percent) * len(s) // percent
+        return {(k, *s[i : i + k]) for k in jaccard_join.combination_sizes(len(s), percent) for i in range(len(s[: k * (d + 1)]) - k + 1)}
+
+    for percent in (60, 75, 80, 85, 90, 100):
+        for n in (*range(1, 45), 200):
+            most = n * (100 - percent) // percent
+            for _ in range(30):
+                a = int(rng.integers(0, most + 1))
+                tokens = rng.permutation(n + most)
+                x, y = np.concatenate([tokens[:n], tokens[n : n + a]]), np.concatenate([tokens[:n], tokens[n + a :]])
+                assert most == 0 or combos(x, percent) & combos(y, percent), (percent, n, a, most)
+
+
+def test_near_copies_at_80(spark):
+    """Copies with a fifth appended, frequent enough for combinations, and small sets."""
+    texts = [" ".join(f"a{i}" for i in range(104)) + "".join(f" n{k}x{i}" for i in range(20)) * (k > 0) for k in range(12)]
+    texts += [" ".join(f"s{i}" for i in range(8)) + f" t{k}" * (k > 0) for k in range(12)] + ["other words that are linked with nothing at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.drop_near_copies(docs, k=5, percent=80).collect()) == [0, 12, 24]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
