@@ -3,7 +3,8 @@
 Each document's histogram of character classes and of common words is compared with the references
 of its corpus' languages by Jensen-Shannon distance; the nearest reference counts.  References are
 sums over all documents of a language that pass the base rules.  Documents below a least length
-have too few observations for a stable histogram and are judged by the base rules alone.
+have too few observations for a stable histogram and are judged by the base rules alone, and so are
+documents in a language that has no reference: other languages' references say nothing about them.
 
 Scale: one pass over the texts makes a narrow table of counts, in which each document stays in its
 own row (no shuffle); references are sums with map-side combine; the verdict is a projection with
@@ -84,8 +85,8 @@ def divergence(hist: Column, reference: list[float]) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, base_failed, kept, char_distance and word_distance for every row.
 
-    Null and empty texts have no words and fail the base rules; null languages give no reference;
-    repeated rows are judged alike; without any reference the base rules decide alone.
+    Null and empty texts have no words and fail the base rules; null languages give no reference
+    and are judged by the nearest one; languages below LANG_SHARE by the base rules alone; repeated rows are judged alike; without any reference the base rules decide alone.
     """
     rows = materialise(features(docs, id_col, text_col, lang_col), "quality")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -99,5 +100,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("*", failed.alias("base_failed"), *[
         (nearest([divergence(F.col(h), r[k]) for r in refs]) if refs else F.lit(0.0)).alias(name) for k, (h, name) in enumerate((("char_hist", "char_distance"), ("word_hist", "word_distance")))
     ])
-    far = (F.col("n_words") >= DIVERGENCE_WORDS) & ((F.col("char_distance") > CHAR_LIMIT) | (F.col("word_distance") > WORD_LIMIT))
+    own = F.col("lang").isNull() | F.col("lang").isin([r["lang"] for r in found])
+    far = own & (F.col("n_words") >= DIVERGENCE_WORDS) & ((F.col("char_distance") > CHAR_LIMIT) | (F.col("word_distance") > WORD_LIMIT))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

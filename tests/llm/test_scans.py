@@ -72,6 +72,15 @@ def test_quality_verdict(corpus, spark):
     assert junk.filter("NOT kept").count() > 0
 
 
+def test_quality_of_a_language_without_reference(spark):
+    latin = " ".join(f"w{i} the dog{i} of cat{i} to run{i} and" for i in range(20))
+    arabic = " ".join("\u0643\u062a\u0627\u0628" + chr(0x0628 + i % 20) + chr(0x0628 + i // 20) for i in range(150))
+    rows = [(i, latin, "en") for i in range(1200)] + [(2000, arabic, "ar"), (2001, arabic, "en"), (2002, "x " * 200, "ar")]
+    found = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).filter("doc_id >= 2000").collect()}
+    assert found[2000].char_distance > quality_rules.CHAR_LIMIT and found[2000].kept
+    assert not found[2001].kept and not found[2002].kept
+
+
 def test_divergence(spark):
     row = spark.sql("SELECT array(1L, 1L, 0L) AS h")
     same, far = row.select(quality_rules.divergence(F.col("h"), [0.5, 0.5, 0.0]), quality_rules.divergence(F.col("h"), [0.0, 0.0, 1.0])).first()
