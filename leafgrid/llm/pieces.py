@@ -1,12 +1,13 @@
 """SentencePiece (BPE with byte fallback) encoding with seeded merge-dropout, and decoding.
 
 Encoding merges the adjacent pair with the best score, leftmost first, until no pair is left.  With
-dropout each candidate merge is decided by a keyed hash of the seed, the document's variant, the
-word and the candidate's place in it; a candidate that loses is skipped when the agenda comes to it.
+dropout each candidate merge is decided by a keyed hash of the seed, the document, the word, its place
+in the document and the candidate's place in the word; a candidate that loses is skipped when the
+agenda comes to it.
 Pieces are only ever split differently, so every segmentation decodes to the same bytes.
 
-Words of a chunk are encoded once per variant and all at the same time: each round merges the head
-of every word's agenda with array operations.  Words beyond LONG characters go through a heap.
+Words of a chunk are encoded at the same time, BLOCK characters at once: each round merges the head of
+every word's agenda with array operations.  Without dropout each distinct word is encoded once.  Words beyond LONG characters go through a heap.
 
 Scale: one pass over whole texts, no shuffle; the vocabulary (a few hundred kB) travels with the
 task, so executors need no model file.
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .kernel import chunks, mix, ragged, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS, LONG, PART = 0.1, 11, 4, 64, 4 << 20
+DROPOUT, SEED, LONG, PART, BLOCK = 0.1, 11, 64, 1 << 20, 1 << 20
 MARK = "▁"
 _NONE = np.int64(1) << 62
 
@@ -143,8 +144,20 @@ class Codec:
         order = np.lexsort((at, words))
         return ids[order], words[order], at[order]
 
-    def encode(self, data: np.ndarray, at: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all texts, and where each text's begin; an empty text has none."""
+    def _merge_blocks(self, sym: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_merge, about BLOCK characters at once."""
+        cuts = np.unique(np.append(np.searchsorted(first[:-1], np.arange(0, len(sym), BLOCK)), len(word)))
+        done = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            ids, own, at = self._merge(sym[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], word[lo:hi])
+            done.append((ids, own + lo, at))
+        return tuple(np.concatenate(d) for d in zip(*done, strict=True))
+
+    def encode(self, data: np.ndarray, at: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts, and where each text's begin; an empty text has none.
+
+        draw: a number for each text, with which its merges are drawn.
+        """
         n = np.diff(at)
         full = n > 0
         grown = np.concatenate([[0], np.cumsum(n + full)])
@@ -159,9 +172,14 @@ class Codec:
         start = np.flatnonzero(start)
         end = np.append(start[1:], len(text))
         doc = np.searchsorted(grown, start, "right") - 1
-        key = span_hashes(text, start, end) ^ mix((variant[doc].astype(np.uint64) << np.uint64(32)) ^ np.uint64(self.seed + 1))
-        words, sample, which = np.unique(key, return_index=True, return_inverse=True)
-        # characters of the distinct words
+        key = span_hashes(text, start, end)
+        if self.limit:
+            place = np.arange(len(start)) - np.searchsorted(doc, doc)
+            words = mix(key ^ mix(mix(draw[doc].astype(np.uint64) ^ np.uint64(self.seed + 1)) + place.astype(np.uint64)))
+            sample = which = np.arange(len(words))
+        else:
+            words, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        # characters of the words to encode
         length = end[sample] - start[sample]
         raw = text[ragged(start[sample], length)]
         head = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -177,7 +195,7 @@ class Codec:
         symbol[wide] = known[back]
         edges = np.concatenate([[0], np.cumsum(length)])
         first = np.searchsorted(head, edges)
-        ids, own, at_char = self._merge(symbol, first, words)
+        ids, own, at_char = self._merge_blocks(symbol, first, words)
         # unknown characters become byte pieces
         unknown = ids < 0
         count = np.where(unknown, width[first[own] + at_char], 1)
@@ -199,15 +217,15 @@ class Codec:
         return data[keep], edge - np.concatenate([[0], np.cumsum(full)])
 
 
-def _variant(id_col: str, seed: int, variants: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(variants)).cast("int").alias("__variant")
+def _draw(id_col: str, text_col: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__draw")
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", out_col: str = "tokens") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", out_col: str = "tokens") -> DataFrame:
     """All columns of docs and the pieces of each text.
 
-    Documents fall into ``variants`` classes by a hash of their id, and each class segments words in
-    its own way.  Null and empty texts have no pieces; repeated rows get the same pieces.
+    Every occurrence of a word is segmented in its own way.  Null and empty texts have no pieces;
+    repeated rows get the same pieces.
     """
     codec = Codec(model, dropout, seed)
     docs = docs.drop(out_col)
@@ -216,12 +234,12 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names[:-1]
-            variant = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            draw = batch.column(len(names)).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(names.index(text_col)), PART):
-                tokens, at = codec.encode(c.data, c.at, variant[c.lo : c.hi])
+                tokens, at = codec.encode(c.data, c.at, draw[c.lo : c.hi])
                 yield pa.RecordBatch.from_arrays([*batch.slice(c.lo, len(c)).columns[:-1], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens))], [*names, out_col])
 
-    return docs.select("*", _variant(id_col, seed, variants)).mapInArrow(run, schema)
+    return docs.select("*", _draw(id_col, text_col, seed)).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: str = MODEL, tokens_col: str = "tokens", out_col: str = "text") -> DataFrame:
@@ -241,17 +259,17 @@ def decode(docs: DataFrame, model: str = MODEL, tokens_col: str = "tokens", out_
     return docs.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, tokens_sha256 (of little-endian 32-bit ids), lossless: encoded and decoded again."""
     codec = Codec(model, dropout, seed)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _variant(id_col, seed, variants))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _draw(id_col, text_col, seed))
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("n_tokens bigint, tokens_sha256 string, lossless boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            variant = batch.column(2).to_numpy(zero_copy_only=False)
+            draw = batch.column(2).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1), PART):
-                tokens, at = codec.encode(c.data, c.at, variant[c.lo : c.hi])
+                tokens, at = codec.encode(c.data, c.at, draw[c.lo : c.hi])
                 data, back = codec.decode(tokens, at)
                 if np.array_equal(back, c.at) and np.array_equal(data, c.data):
                     same = [True] * len(c)

@@ -103,6 +103,16 @@ def test_dropout_varies_and_agenda_agrees(corpus, monkeypatch):
     assert np.array_equal(slow[0], made[1][0]) and np.array_equal(slow[1], made[1][1])
 
 
+def test_dropout_is_drawn_for_every_occurrence(spark):
+    text = " ".join(["the"] * 50)
+    docs = spark.createDataFrame([(i, text) for i in range(40)] + [(None, text + "."), (None, text + "!")], "doc_id long, text string")
+    tokens = [r.tokens for r in pieces.encode(docs).collect()]
+    assert len({tuple(t) for t in tokens}) > 30
+    whole = max(set(tokens[0]), key=tokens[0].count)
+    split = 1 - sum(t.count(whole) for t in tokens) / (50 * len(tokens))
+    assert 0 < split < 0.4 and all(0 < t.count(whole) < 50 for t in tokens)
+
+
 def test_pieces_round_trip(odd, rows):
     found = pieces.round_trip(odd).collect()
     assert len(found) == len(rows) and all(r.lossless for r in found)
