@@ -54,8 +54,12 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A key of a row's id and text that needs no row numbers: the same however the table is read."""
-    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    """A key of a row's id and text that needs no row numbers: the same however the table is read.
+
+    Null and empty, and ids and texts that only join to the same string, have different keys.
+    """
+    doc = F.col(id_col).cast("string")
+    return F.md5(F.concat(F.coalesce(F.concat(F.length(doc), F.lit(":"), doc), F.lit("-")), F.lit(":"), F.coalesce(F.concat(F.lit("="), F.col(text_col)), F.lit(""))))
 
 
 def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
