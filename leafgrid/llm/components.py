@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import forget, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for links(a, b) between numbers.
 
+    Links with a null end are ignored; no links give no rows; repeated links count once.
+
     Each round ties every node to the smallest node around it; rounds end when nothing moves, after
     about the logarithm of the longest chain.  Minima are taken with map-side combine, so a node
     with very many links is no hot spot.
@@ -20,13 +22,17 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = materialise(out, "roots")
+            forget(edges)
+            return out
         mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        edges = materialise(small.distinct(), "edges")
+        after = materialise(small.distinct(), "edges")
+        forget(edges)
+        edges = after

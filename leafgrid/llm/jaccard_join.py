@@ -1,18 +1,28 @@
 """Similarity join of documents by Jaccard similarity of their word shingles, with its components.
 
-Documents with equal shingle sets form one class, and classes are joined.  A class indexes the
-prefix of its set in order of token hash: linked sets share their first common token within both
-prefixes.  A token in at most RARE prefixes is indexed alone and all its pairs are candidates.
-Where a prefix holds a frequent token, the prefix is extended and combinations of k consecutive
-tokens are indexed instead: two linked sets differ in at most d tokens, so of their first
-(k-1)(d+1)+1 common tokens some k follow each other in both.  Texts that share a common passage share
-many tokens but hardly any combination.  All candidates are verified on the exact sets.
-
-Scale: tokens move in packed rows dealt into parts whose number follows the input; a frequent token
-sends RARE + 1 entries per task.  Combinations shared by more than BLOCK classes (large groups of
-near copies) give a star of candidates instead of all pairs; what the star leaves in different
-components is compared afterwards, so no link is lost.  Texts move to verify only for classes that
-share a token.
+Documents with equal shingle sets form one class, and classes are joined.  A token is a shingle's
+hash.  Tokens are counted over the whole corpus and fall into three classes: unique ones, rare ones
+(in at most RARE documents) and frequent ones.  Sets are ordered unique, rare, frequent, and a set's
+prefix is as long as the number of tokens that a linked set may lack, plus one: linked sets share a
+token within both prefixes.  A set whose prefix is all unique is linked with nothing and leaves.
+Rare tokens of a prefix are indexed alone, and all pairs that share one are candidates.  Where a
+prefix reaches the frequent tokens it is extended, and combinations of k consecutive frequent tokens
+are indexed: two linked sets without a common rare token have e differing frequent tokens at most, so
+of their first (k-1)(e+1)+1 common ones some k follow each other in both.  Texts that share a common
+passage have it at the end of their order and seldom reach it.  Candidates are verified on the whole
+sets.
+
+Scale: the count moves about 4 bytes for each token, packed and dealt by hash into parts whose number
+follows the input; a token in very many documents sends RARE + 1 entries per task.  Equal sets of a
+task count once.  Only sets that may be linked go on.  A combination that more than BLOCK classes of
+a task share pairs them with one head there, the one with the fewest tokens of its own, and sends the
+head on; heads meet the same way, so a group of near copies gives a star of candidates and no task
+holds it whole.  What the stars leave in different components is compared afterwards in slots of
+about LATE, so no link is lost: first by bounds that need no text (tokens of its own, and bitmaps of
+the others), and only pairs within the bounds are listed.
+
+Tokens are 64-bit hashes and classes 128-bit ones.  Class ids are 64 bits of those; should two
+classes have one id, all ids are drawn again.
 """
 
 from __future__ import annotations
@@ -29,11 +39,17 @@ from pyspark.sql.types import StructType
 
 from .components import components
 from .kernel import Chunk, chunks, mix, windows
-from .packets import KEYS, SURE, by_part, dump, load, partitions
-from .storage import materialise, only_rows, row_key
+from .packets import by_part, pack_planes, partitions, unpack_planes
+from .storage import forget, materialise, only_rows, row_key
 
 SHINGLE, PERCENT = 4, 85
-RARE, BLOCK, FLUSH = 4, 16, 1 << 19
+RARE, BLOCK, FLUSH, LATE, BITS = 4, 16, 1 << 20, 1024, 1024
+_ROW = "part int, kind int, block bigint, payload binary"
+_LIST, _HEAD, _ANSWER = 0, 1, 2
+_KEYS, _PAIRS = 0, 1
+_SET = "cid bigint, n bigint, rest bigint, rare binary, many binary, alone bigint, bits binary"
+_HALF = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def shingle_sets(c: Chunk, k: int = SHINGLE) -> list[np.ndarray]:
@@ -52,16 +68,25 @@ def shingle_sets(c: Chunk, k: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(key[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
 
 
-def _describe(k: int, percent: int):
+def _set_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _class_ids(keys: list[bytes], seed: int) -> np.ndarray:
+    """Ids of classes: 64 bits of their keys, other ones for each seed."""
+    both = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+    return mix(both[:, 0] + mix(both[:, 1] + np.uint64(seed))).view(np.int64)
+
+
+def _describe(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(2)):
                 sets = shingle_sets(c, k)
-                n = np.array([len(s) for s in sets])
-                prefix = n - -(-percent * n // 100) + 1
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                keys = [_set_key(s) for s in sets]
                 part = batch.slice(c.lo, len(c))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(keys, pa.binary()), pa.array([s[:p].tobytes() if len(s) else b"" for s, p in zip(sets, prefix, strict=True)], pa.binary())], ["doc_id", "row_key", "n", "set_key", "prefix"])
+                n = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(keys, pa.binary()), pa.array(_class_ids(keys, seed))], ["doc_id", "row_key", "n", "set_key", "cid"])
 
     return run
 
@@ -73,63 +98,142 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(key)) - np.repeat(begin, length), np.repeat(length, length)
 
 
-def _pack(parts: int, tokens: Callable, most: int, stars: bool):
-    """Pack (token, class, size); a token with more than most entries in a task is known as frequent.
+def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, block, payload = zip(*found, strict=True) if found else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(payload, pa.binary())], ["part", "kind", "block", "payload"])
 
-    Its classes pass through; of the token go most + 1 entries, or one entry if it forms stars.
-    """
 
-    def flush(held: list) -> pa.RecordBatch:
-        key, cid, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((cid, n, key))
-        key, cid, n = key[order], cid[order], n[order]
-        place, length = _runs(key)
-        sure = length > most
-        go = ~sure | (place <= (0 if stars else most))
-        flagged = n * 2 + sure
-        found = [(p, KEYS, dump(d, m, k)) for p, (k, d, m) in by_part((key[go] % np.uint64(parts)).astype(np.int64), key[go], cid[go], flagged[go])]
-        spread = cid[sure] % parts if not stars else (key[sure] % np.uint64(parts)).astype(np.int64)
-        found += [(p, SURE, dump(d, m, k)) for p, (k, d, m) in by_part(spread, key[sure], cid[sure], n[sure])]
-        part, kind, payload = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["part", "kind", "payload"])
+def _tokens(parts: int, k: int, percent: int, seed: int):
+    """Lists of (token, document) for each part, and a head that names each block's documents.
+
+    A block is what a task holds at a time: FLUSH tokens or a few thousand for each part.  A document's
+    token has its part in the upper half and 32 bits of its hash below.
+    """
+    flush_at = max(FLUSH, min(64 * parts, 8 * FLUSH))
+    least = -(-percent // max(1, 100 - percent))
+
+    def flush(cids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        cid, n = np.array(cids, np.int64), np.array([len(s) for s in sets], np.int64)
+        block = int.from_bytes(hashlib.blake2b(cid.tobytes(), digest_size=8).digest(), "big", signed=True)
+        token = np.concatenate(sets)
+        token = (((token >> _HALF) % np.uint64(parts)) << _HALF) | (token & _LOW)
+        order = np.argsort(token, kind="stable")
+        token, doc = token[order], np.repeat(np.arange(len(sets), dtype=np.uint32), n)[order]
+        place, length = _runs(token)
+        home = block % parts
+        found = [(home, _HEAD, block, cid.tobytes() + n.tobytes())]
+        known = np.flatnonzero((length > RARE) & (place > RARE))
+        if len(known):
+            found.append((home, _ANSWER, block, _answer(token[known], doc[known], np.ones(len(known), bool))))
+        go = place <= RARE
+        token, doc = token[go], doc[go]
+        part = (token >> _HALF).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        low = (token & _LOW).astype(np.uint32)
+        for lo, hi in zip(edge, np.append(edge[1:], len(part)), strict=True):
+            found.append((int(part[lo]), _LIST, block, pack_planes(np.diff(low[lo:hi], prepend=np.uint32(0)), doc[lo:hi])))
+        return _rows(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        cids, sets, size = {}, [], 0
         for batch in batches:
-            for key, cid, n in tokens(batch):
-                held.append((key, cid, n))
-                size += len(key)
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
+            for c in chunks(batch.column(0)):
+                own = [s for s in shingle_sets(c, k) if len(s) >= least]
+                for cid, s in zip(_class_ids([_set_key(s) for s in own], seed).tolist() if own else [], own, strict=True):
+                    if cid in cids:
+                        continue
+                    cids[cid] = None
+                    sets.append(s)
+                    size += len(s)
+                    if size >= flush_at:
+                        yield flush(list(cids), sets)
+                        cids, sets, size = {}, [], 0
         if size:
-            yield flush(held)
+            yield flush(list(cids), sets)
 
     return run
 
 
-def _prefix_tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    cid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
-    size = np.array([len(s) for s in sets], np.int64)
-    if len(sets):
-        yield np.concatenate(sets), np.repeat(cid, size), np.repeat(n, size)
-
-
-def _combinations(k: int, percent: int):
-    def tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        cid = batch.column(0).to_numpy()
-        for c in chunks(batch.column(1)):
-            for i, s in enumerate(shingle_sets(c, k)):
-                n = len(s)
-                d = (100 - percent) * n // percent
-                for size in combination_sizes(n, percent):
-                    reach = s[: size * (d + 1)]
-                    key, ok = windows(reach, np.array([0, len(reach)]), size)
-                    key = mix(key[ok] + np.uint64(size))
-                    yield key, np.full(len(key), cid[c.lo + i]), np.full(len(key), n)
+def _answer(token: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> bytes:
+    return pack_planes((token >> _HALF).astype(np.uint32), (token & _LOW).astype(np.uint32), doc * np.uint32(2) + frequent.astype(np.uint32))
 
-    return tokens
+
+def _count(parts: int):
+    """Tell each block which of its documents' tokens are rare and which frequent; unique ones aren't told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blocks, lows, docs = None, [], [], []
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            rest = np.flatnonzero(kind != _LIST)
+            if len(rest):
+                yield batch.take(pa.array(rest))
+            for i in np.flatnonzero(kind == _LIST):
+                delta, doc = unpack_planes(batch.column(3)[i].as_py(), 2)
+                part = batch.column(0)[i].as_py()
+                blocks.append(batch.column(2)[i].as_py())
+                lows.append(np.cumsum(delta, dtype=np.uint32))
+                docs.append(doc)
+        if not blocks:
+            return
+        source = np.repeat(np.arange(len(blocks), dtype=np.uint32), [len(x) for x in lows])
+        order = (np.concatenate(lows).astype(np.uint64) << _HALF) | np.arange(len(source), dtype=np.uint64)
+        order.sort()
+        low, at = order >> _HALF, (order & _LOW).astype(np.int64)
+        _, length = _runs(low)
+        hit = length > 1
+        low, at, frequent = low[hit], at[hit], length[hit] > RARE
+        doc, source = np.concatenate(docs)[at], source[at]
+        token = (np.uint64(part) << _HALF) | low
+        for b, (t, d, f) in by_part(source.astype(np.int64), token, doc, frequent):
+            yield _rows([(blocks[b] % parts, _ANSWER, blocks[b], _answer(t, d, f))])
+
+    return run
+
+
+def _prefixes(percent: int):
+    """The sets that may be linked: class, size, unique and rare tokens, prefix of rare and of frequent ones,
+    unique tokens, and a bitmap in which every other token turns a bit."""
+
+    def settle(head: bytes, answers: list[bytes]) -> pa.RecordBatch:
+        cid, n = np.frombuffer(head, np.int64).reshape(2, -1)
+        high, low, mark = (np.concatenate(x) for x in zip(*(unpack_planes(a, 3) for a in answers), strict=True)) if answers else (np.zeros(0, np.uint32),) * 3
+        token = (high.astype(np.uint64) << _HALF) | low
+        order = np.lexsort((token, mark))  # by document, then rare before frequent, then token
+        token, doc, frequent = token[order], (mark[order] >> np.uint32(1)).astype(np.int64), (mark[order] & np.uint32(1)).astype(bool)
+        rare, many = np.bincount(doc[~frequent], minlength=len(n)), np.bincount(doc[frequent], minlength=len(n))
+        need = -(-percent * n // 100)
+        at = np.concatenate([[0], np.cumsum(rare + many)])
+        out: list[tuple] = []
+        for i in np.flatnonzero(rare + many >= need):
+            unique = int(n[i] - rare[i] - many[i])
+            reach = max(0, int(n[i] - need[i]) + 1 - unique)
+            mine = token[at[i] : at[i + 1]]
+            own, rest = mine[: min(reach, rare[i])], unique + int(rare[i])
+            differ = (100 - percent) * int(n[i]) // percent - rest
+            far = max(combination_sizes(int(n[i]), percent), default=0) * (differ + 1) if reach > rare[i] else 0
+            bits = np.packbits(np.bincount(mix(mine) % np.uint64(BITS), minlength=BITS) % 2 == 1)
+            out.append((int(cid[i]), int(n[i]), rest, own.tobytes(), mine[rare[i] : rare[i] + far].tobytes(), unique, bits.tobytes()))
+        columns = zip(*out, strict=True) if out else [()] * 7
+        long, raw = pa.int64(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (long, long, long, raw, raw, long, raw), strict=True)], ["cid", "n", "rest", "rare", "many", "alone", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, head, answers = None, None, []
+        for batch in batches:
+            for kind, b, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if b != block:
+                    if head is not None:
+                        yield settle(head, answers)
+                    block, head, answers = b, None, []
+                if kind == _HEAD:
+                    head = payload.as_py()
+                else:
+                    answers.append(payload.as_py())
+        if head is not None:
+            yield settle(head, answers)
+
+    return run
 
 
 @lru_cache(1 << 16)
@@ -141,86 +245,155 @@ def combination_sizes(n: int, percent: int = PERCENT) -> tuple[int, ...]:
     """
     u = np.arange(n, 100 * n // percent + 1)
     d = (100 - percent) * u // 100
-    k = np.minimum(u // (d + 1), np.where(u < 28, 3, 4))
+    k = np.minimum(u // (d + 1), 3)
     return tuple(np.unique(k[d > 0]).tolist())
 
 
-def _pairs(key: np.ndarray, cid: np.ndarray, n: np.ndarray, percent: int, most: int, exclude: np.ndarray | None = None) -> np.ndarray:
-    """Distinct pairs (smaller, larger) of entries in runs of at most most, of sizes that can be linked."""
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _rare_tokens(batch: pa.RecordBatch) -> Iterator[Entries]:
+    """(key, class, size, tokens of its own) of every rare token."""
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
+    size = np.array([len(s) for s in sets], np.int64)
+    if size.sum():
+        yield np.concatenate(sets), *(np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1, 2))
+
+
+def _combinations(percent: int):
+    """(key, class, size, tokens of its own) of every combination."""
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[Entries]:
+        for cid, n, rest, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+            many = np.frombuffer(raw, np.uint64)
+            differ = (100 - percent) * n // percent - rest
+            for size in combination_sizes(n, percent):
+                reach = many[: size * (differ + 1)]
+                key, ok = windows(reach, np.array([0, len(reach)]), size)
+                key = mix(key[ok] + np.uint64(size))
+                yield key, np.full(len(key), cid), np.full(len(key), n), np.full(len(key), rest)
+
+    return tokens
+
+
+def _sorted(held: list[Entries]) -> Entries:
+    """All entries by key, then fewest own tokens."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order = np.lexsort((columns[1], columns[3], columns[0]))
+    return tuple(c[order] for c in columns)
+
+
+def _held(batches: Iterator[pa.RecordBatch], tokens: Callable) -> Iterator[Entries]:
+    """The entries of a task in sorted runs of about FLUSH."""
+    held, size = [], 0
+    for batch in batches:
+        for entry in tokens(batch):
+            held.append(entry)
+            size += len(entry[0])
+            if size >= FLUSH:
+                yield _sorted(held)
+                held, size = [], 0
+    if size:
+        yield _sorted(held)
+
+
+def _pack(parts: int, tokens: Callable, percent: int, stars: bool):
+    """Pack entries by key; with stars, classes of a hot key meet its head here and only that goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cid, n, rest in _held(batches, tokens):
+            found, hot, go = [], np.zeros(len(key), bool), np.ones(len(key), bool)
+            if stars:
+                place, length = _runs(key)
+                hot = length > BLOCK
+                pairs = _stars(key[hot], cid[hot], n[hot], rest[hot], percent)
+                if len(pairs):
+                    found.append((int(pairs[0, 0]) % parts, _PAIRS, 0, pairs.tobytes()))
+                go = ~hot | (place == 0)
+            for p, (x, c, m, r, h) in by_part((key[go] % np.uint64(parts)).astype(np.int64), key[go], cid[go], n[go], rest[go], hot[go]):
+                halves = [y for v in (x, c.view(np.uint64)) for y in (v >> _HALF, v & _LOW)]
+                found.append((p, _KEYS, 0, pack_planes(*halves, m, r * 2 + h)))
+            yield _rows(found)
+
+    return run
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    a, b, c, d, n, mark = unpack_planes(raw, 6).astype(np.uint64)
+    return (a << _HALF) | b, ((c << _HALF) | d).view(np.int64), n.astype(np.int64), mark.astype(np.int64)
+
+
+def _allowed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """In how many tokens linked sets of these sizes may differ."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def _fitting(cid: np.ndarray, n: np.ndarray, rest: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (smaller, larger) whose sizes and own tokens let them be linked.
+
+    Pairs that share a rare token are candidates by that; others differ in all their own tokens.
+    """
+    fit = (np.maximum(np.abs(n[i] - n[j]), rest[i] + rest[j]) <= _allowed(n[i], n[j], percent)) & (cid[i] != cid[j])
+    a, b = cid[i[fit]], cid[j[fit]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+
+def _pairs(key: np.ndarray, cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int, most: int, ok: np.ndarray) -> np.ndarray:
+    """Distinct fitting pairs of entries in runs of at most most."""
     out = [np.zeros((0, 2), np.int64)]
-    _, length = _runs(key)
-    ok = (length > 1) & (length <= most) & (~exclude if exclude is not None else True)
     for o in range(1, most):
         i = np.flatnonzero(ok[:-o] & (key[:-o] == key[o:])) if len(key) > o else np.zeros(0, np.int64)
-        j = i + o
-        fit = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (cid[i] != cid[j])
-        i, j = i[fit], j[fit]
-        out.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], axis=1))
+        out.append(_fitting(cid, n, rest, i, i + o, percent))
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _stars(key: np.ndarray, cid: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct pairs of each run's first entry with its others."""
+def _stars(key: np.ndarray, cid: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Distinct fitting pairs of each run's first entry with its others."""
     place, _ = _runs(key)
-    head = np.arange(len(key)) - place
-    fit = (place > 0) & (100 * np.minimum(n, n[head]) >= percent * np.maximum(n, n[head])) & (cid != cid[head])
-    a, b = cid[head[fit]], cid[fit]
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    i = np.flatnonzero(place > 0)
+    return np.unique(_fitting(cid, n, rest, i - place[i], i, percent), axis=0)
 
 
-def _batch(pairs: np.ndarray, key: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
-    n, m = len(pairs), len(member)
+def _batch(pairs: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    n, m = len(pairs), len(hot)
+    none = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([np.zeros(n, np.int64), key.astype(np.uint64).view(np.int64)])),
-        pa.array(np.concatenate([pairs[:, 0], member]).astype(np.int64)),
-        pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.int64)]), mask=np.concatenate([np.zeros(n, bool), np.ones(m, bool)])),
+        pa.array(np.concatenate([np.zeros(n, np.int64), hot.view(np.int64)])),
+        pa.array(np.concatenate([pairs[:, 0], np.zeros(m, np.int64)]), mask=none),
+        pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.int64)]), mask=none),
     ], ["key", "a", "b"])
 
 
-def _sorted(held: list) -> tuple[np.ndarray, ...]:
-    cid, n, key = (np.concatenate(c) for c in zip(*held, strict=True))
-    order = np.lexsort((cid, n, key))
-    return key[order], cid[order], n[order]
-
-
 def _gather(percent: int, stars: bool):
-    """Candidates of a part: (0, a, b); a class in a frequent run is (key, class, null)."""
-    most = BLOCK if stars else RARE
+    """Candidates of a part: (0, a, b), and (key, null, null) for each hot key."""
+    most = BLOCK if stars else RARE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sure = [], []
+        held, none = [], np.zeros(0, np.uint64)
         for batch in batches:
-            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                entry = load(payload.as_py())
-                if kind == KEYS:
-                    held.append(entry)
-                elif stars:
-                    sure.append(entry)
+            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if kind == _PAIRS:
+                    yield _batch(np.frombuffer(payload.as_py(), np.int64).reshape(-1, 2), none)
                 else:
-                    cid = np.unique(entry[0])
-                    yield _batch(np.zeros((0, 2), np.int64), np.zeros(len(cid)), cid)
-        if sure:
-            key, cid, n = _sorted(sure)
-            yield _batch(_stars(key, cid, n, percent), key, cid)
-        if held:
-            key, cid, n = _sorted(held)
-            _, length = _runs(key)
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            hot = np.repeat(np.maximum.reduceat(n & 1, begin) > 0, np.diff(np.append(begin, len(key)))) | (length > most)
-            n = n >> 1
-            pairs = _pairs(key, cid, n, percent, most, hot)
-            if stars:
-                pairs = np.unique(np.concatenate([pairs, _stars(key[hot], cid[hot], n[hot], percent)]), axis=0)
-                yield _batch(pairs, key[hot], cid[hot])
-            else:
-                member = np.unique(cid[hot])
-                yield _batch(pairs, np.zeros(len(member)), member)
+                    held.append(_unpack(payload.as_py()))
+        if not held:
+            return
+        key, cid, n, mark = _sorted(held)
+        if not stars:
+            yield _batch(_pairs(key, cid, n, np.zeros(len(key), np.int64), percent, most, np.ones(len(key), bool)), none)
+            return
+        _, length = _runs(key)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        hot = np.repeat(np.maximum.reduceat(mark & 1, begin) > 0, length[begin]) | (length > most)
+        rest = mark >> 1
+        pairs = np.concatenate([_pairs(key, cid, n, rest, percent, most, ~hot), _stars(key[hot], cid[hot], n[hot], rest[hot], percent)])
+        yield _batch(np.unique(pairs, axis=0), np.unique(key[hot]))
 
     return run
 
 
-def _candidates(rows: DataFrame, parts: int, tokens: Callable, percent: int, stars: bool) -> DataFrame:
-    packed = rows.mapInArrow(_pack(parts, tokens, BLOCK if stars else RARE, stars), "part int, kind int, payload binary")
+def _candidates(sets: DataFrame, parts: int, tokens: Callable, percent: int, stars: bool) -> DataFrame:
+    packed = sets.mapInArrow(_pack(parts, tokens, percent, stars), _ROW)
     return packed.repartitionById(parts, F.col("part")).mapInArrow(_gather(percent, stars), "key bigint, a bigint, b bigint")
 
 
@@ -229,7 +402,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [[s for c in chunks(batch.column(i)) for s in shingle_sets(c, k)] for i in (2, 3)]
+            sides = [(s for c in chunks(batch.column(i)) for s in shingle_sets(c, k)) for i in (2, 3)]
             ok = []
             for x, y in zip(*sides, strict=True):
                 both = np.sort(np.concatenate([x, y]))
@@ -250,6 +423,89 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(ra, "a", "left").join(rb, "b", "left").filter(~same).select("a", "b")
 
 
+def _within(percent: int):
+    """Pairs within the bounds: the members of a slot come first and are held, strays are compared as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+        for batch in batches:
+            key, slot, stray, cid, root, n, rest, alone = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8))
+            bits = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(len(key), -1)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]) | (stray[1:] != stray[:-1])]))
+            for lo, hi in zip(edge, np.append(edge[1:], len(key)), strict=True):
+                rows = tuple(x[lo:hi] for x in (cid, root, n, rest, alone, bits))
+                if (key[lo], slot[lo]) != now:
+                    now, members = (key[lo], slot[lo]), []
+                if not stray[lo]:
+                    members.append(rows)
+                    continue
+                members = [tuple(np.concatenate(x) for x in zip(*members, strict=True))]
+                c, r, m, own, lone, b = members[0]
+                for at in range(0, hi - lo, 256):
+                    x = [v[at : at + 256] for v in rows]
+                    fit = np.maximum(np.abs(x[2][:, None] - m), x[3][:, None] + own) <= _allowed(x[2][:, None], m, percent)
+                    i, j = np.nonzero(fit & (x[1][:, None] != r))
+                    differ = x[4][i] + lone[j] + np.bitwise_count(x[5][i] ^ b[j]).sum(axis=1, dtype=np.int64)
+                    ok = differ <= _allowed(x[2][i], m[j], percent)
+                    one, two = x[0][i[ok]], c[j[ok]]
+                    if len(one):
+                        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a hot key, are still in different components and within the bounds.
+
+    First each task tells which components its keys reach, once for each; only members of keys that
+    reach several are listed.  Those outside a key's largest component are compared with its members
+    in slots of about LATE, so no task holds a key whole.
+    """
+    tokens = _combinations(percent)
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def by_root(batch: pa.RecordBatch) -> Iterator[Entries]:
+            root = dict(zip(batch.column(0).to_pylist(), batch.column(7).to_pylist(), strict=True))
+            for key, cid, n, _ in tokens(batch):
+                yield key, n, n, np.full(len(key), root[cid[0]] if len(key) else 0, np.int64)
+
+        for key, _, _, root in _held(batches, by_root):
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(root[new])], ["key", "root"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, cid, _, _ in tokens(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(key).view(np.int64)), pa.array(cid[: len(np.unique(key))])], ["key", "cid"])
+
+    rooted = many.join(roots, F.col("cid") == F.col("node"), "left").select(*many.columns, F.coalesce("root", "cid").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    spread = rooted.mapInArrow(reached, "key bigint, root bigint").join(hot, "key", "left_semi").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    split = materialise(spread.filter("lo < hi").select("key"), "split")
+    members = rooted.mapInArrow(listed, "key bigint, cid bigint").join(split, "key", "left_semi").join(rooted.drop("rare", "many"), "cid")
+    members = materialise(members.select("key", "cid", "root", "n", "rest", "alone", "bits"), "members")
+    per = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.ceil(F.sum("count") / LATE).cast("int").alias("slots"))
+    sized = members.join(per, "key")
+    slots = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("slots") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("slots")).cast("int")))
+    both = sized.withColumn("stray", F.explode(F.when(F.col("root") == F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    both = both.withColumn("slot", F.explode(slots)).select("key", "slot", F.col("stray").cast("int").alias("stray"), "cid", "root", "n", "rest", "alone", "bits")
+    met = both.repartition("key", "slot").sortWithinPartitions("key", "slot", "stray")
+    return met.mapInArrow(_within(percent), "a bigint, b bigint").distinct()
+
+
+def _classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """(every row's class, one row for each class, the seed with which all classes have their own id)."""
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("row_key string, n bigint, set_key binary, cid bigint").fields])
+    for seed in range(8):
+        described = materialise(rows.mapInArrow(_describe(k, seed), schema), "sets")
+        classes = materialise(described.filter("n > 0").groupBy("set_key", "cid").agg(F.min("doc_id").alias("low"), F.min("row_key").alias("pick")), "classes")
+        if not classes.groupBy("cid").count().filter("count > 1").limit(1).count():
+            return described, classes, seed
+        forget(described, classes)
+    raise RuntimeError("classes share ids with every seed")
+
+
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, row_key, root for every row.
 
@@ -261,47 +517,37 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is from 1 to 100")
-    least = -(-percent // max(1, 100 - percent))  # smaller sets are linked to equal sets only
     parts = partitions(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("row_key string, n bigint, set_key binary, prefix binary").fields])
-    described = materialise(rows.mapInArrow(_describe(k, percent), schema), "sets")
-    classes = described.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.min("row_key").alias("pick"))
-    classes = materialise(classes.withColumn("cid", F.xxhash64("set_key")), "classes")
-    picks = classes.select("cid", F.col("pick").alias("row_key"))
-    heads = materialise(described.select("row_key", "n", "prefix").join(picks.hint("merge"), "row_key").dropDuplicates(["cid"]).select("cid", "n", "prefix"), "heads")
-    found = materialise(_candidates(heads.filter(F.col("n") >= least), parts, _prefix_tokens, percent, False), "singles")
-    frequent = found.filter("b is null").select(F.col("a").alias("cid")).distinct().withColumn("frequent", F.lit(True))
-    active = found.select(F.col("a").alias("cid")).unionByName(found.filter("b is not null").select(F.col("b").alias("cid"))).distinct()
-    wanted = active.join(frequent, "cid", "left").join(picks, "cid")
-    texts = materialise(rows.select("row_key", "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["cid"]).select("cid", "text", "frequent"), "texts")
-    combined = materialise(_candidates(texts.filter("frequent").select("cid", "text"), parts, _combinations(k, percent), percent, True), "combinations")
-    pairs = found.unionByName(combined).filter("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    described, classes, seed = _classes(rows, k)
+    lists = rows.select("text").mapInArrow(_tokens(parts, k, percent, seed), _ROW).repartitionById(parts, F.col("part"))
+    told = lists.mapInArrow(_count(parts), _ROW).repartitionById(parts, F.col("part")).sortWithinPartitions("block", "kind")
+    sets = told.mapInArrow(_prefixes(percent), _SET)
+    sets = materialise(sets.dropDuplicates(["cid"]), "prefixes")
+    many = sets.filter(F.octet_length("many") > 0)
+    single = materialise(_candidates(sets, parts, _rare_tokens, percent, False), "singles")
+    combined = materialise(_candidates(many, parts, _combinations(percent), percent, True), "combinations")
+    pairs = single.unionByName(combined).filter("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
     pairs = materialise(pairs, "pairs")
+    wanted = sets.select("cid").join(classes.select("cid", F.col("pick").alias("row_key")), "cid")
+    texts = materialise(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["cid"]).select("cid", "text"), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     links = materialise(_verify(best, texts, k, percent), "links")
-    roots = materialise(components(links), "roots")
+    roots = components(links)
     rest = materialise(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(materialise(_verify(rest, texts, k, percent), "links"))
-        roots = materialise(components(links), "roots")
-    hot = combined.filter("b is null").select("key", F.col("a").alias("cid"))
-    members = hot.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    members = materialise(members.join(split, "key"), "members")
-    if not members.isEmpty():
-        largest = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-        sized = members.join(largest, "key").join(heads.select("cid", "n"), "cid")
-        stray = sized.filter("root <> largest").select("key", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-        fit = (F.col("rx") != F.col("root")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-        late = stray.join(sized.select("key", "cid", "root", "n"), "key").filter(fit).select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
-        late = late.join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(materialise(_verify(late, texts, k, percent), "links"))
-        roots = materialise(components(links), "roots")
-    named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("set_key", "low", F.coalesce("root", "cid").alias("root"))
+        links = materialise(links.unionByName(_verify(rest, texts, k, percent)), "links")
+        roots = components(links)
+    hot = materialise(combined.filter("a is null").select("key").distinct(), "hot")
+    if not hot.isEmpty():
+        late = materialise(_late(many, hot, roots, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "late")
+        if not late.isEmpty():
+            roots = components(materialise(links.unionByName(_verify(late, texts, k, percent)), "links"))
+    named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "root").select("set_key", "component_id", "root")
-    out = described.select("doc_id", "row_key", "n", "set_key").join(named, "set_key", "left")
+    named = materialise(named.join(low, "root").select("cid", "component_id", "root"), "named")
+    forget(sets, single, combined, pairs, texts, links, rest, hot, classes)
+    out = described.select("doc_id", "row_key", "n", "cid").join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 
 

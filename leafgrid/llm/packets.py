@@ -51,6 +51,23 @@ def load(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(doc, count), number.astype(np.int64), key
 
 
+def pack_planes(*columns: np.ndarray) -> bytes:
+    """Equally long columns of 32-bit numbers, byte by byte of equal weight and compressed."""
+    n = len(columns[0])
+    raw = np.ascontiguousarray(np.stack(columns).astype("<u4").view(np.uint8).reshape(len(columns), n, 4).transpose(0, 2, 1)).tobytes()
+    small = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 64 else raw
+    return np.uint32(n * 2 + (small is not raw)).tobytes() + small
+
+
+def unpack_planes(raw: bytes, columns: int) -> np.ndarray:
+    """The columns that pack_planes packed, one row each."""
+    head = int(np.frombuffer(raw, "<u4", 1)[0])
+    n, body = head >> 1, raw[4:]
+    if head & 1:
+        body = pa.decompress(body, decompressed_size=4 * columns * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(columns, 4, n).transpose(0, 2, 1)).view("<u4").reshape(columns, n)
+
+
 def by_part(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns' entries of each part, in their order."""
     if not len(part):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,16 +28,29 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     Cuts lineage, so that lost executors never repeat earlier stages, and fixes values such as row
-    numbers that another evaluation could assign differently.
+    numbers that another evaluation could assign differently.  Shuffle files go when the write ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/leafgrid/{uuid.uuid4().hex}-{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     _written.append(path)
-    spark._jvm.System.gc()  # shuffle files of the plan just written go when the driver drops its objects
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leafgrid_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialised tables; call when no DataFrame that reads them will run again."""
+    for df in tables:
+        if (path := df._leafgrid_path) in _written:
+            release(df.sparkSession, [path])
 
 
 def written() -> list[str]:
@@ -48,9 +62,10 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables; call when no DataFrame that reads them will run again."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _written.remove(path)
+        if path in _written:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            _written.remove(path)
 
 
 def row_key(id_col: str, text_col: str) -> Column:

@@ -129,6 +129,27 @@ def test_jaccard_join_frequent_groups(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows)
 
 
+def test_jaccard_join_passages_and_split_groups(spark):
+    """A passage in the middle of many texts, texts mixed of common passages, and a large group whose members link only to neighbours."""
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(1 << 40))
+    fresh = lambda n: [word() for _ in range(n)]
+    passages = [fresh(40) for _ in range(5)]
+    texts = [[*fresh(30), *passages[0], *passages[1], *fresh(int(rng.integers(5, 60)))] for _ in range(80)]
+    texts += [[w for j in rng.permutation(5)[:3] for w in passages[j]] for _ in range(80)]
+    base = fresh(100)
+    for step in range(50):  # neighbours share 96 words, the first and the last nearly none
+        texts.append(base[2 * step :] + [f"s{i}" for i in range(2 * step)])
+    for _ in range(40):  # copies that a tenth of the words tells apart from the base, so few link to each other
+        t = list(base)
+        for i in rng.choice(100, 3, replace=False):
+            t[i] = word()
+        texts.append(t)
+    rows = [(i, " ".join(texts[j])) for i, j in enumerate(rng.permutation(len(texts)))]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows)
+
+
 def test_near_copies_keep_unrelated_rows_of_null_and_repeated_ids(spark):
     one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
     rows = [(None, one), (None, two), (None, one + " more"), (7, three), (7, four), (8, ""), (8, ""), (None, None), (None, None), (9, " \n")]
@@ -149,13 +170,11 @@ def test_combinations_are_complete():
 
     for _ in range(3000):
         n = int(rng.integers(6, 90))
-        common = rng.choice(10**6, n, replace=False)
-        spare = 10**6 + rng.choice(10**6, 40, replace=False)
+        tokens = rng.permutation(n + 40)
+        common, spare = tokens[:n], tokens[n:]
         most = n * 15 // 85
         a = int(rng.integers(0, most + 1))
         x, y = np.concatenate([common, spare[:a]]), np.concatenate([common, spare[a : most]])
-        shift = rng.permutation(2 * 10**6 + 1)
-        x, y = shift[x], shift[y]
         assert 100 * n >= 85 * (len(x) + len(y) - n)
         if len(x) > 5 and len(y) > 5 and set(x) != set(y):
             assert combos(x) & combos(y), (n, a, most)
