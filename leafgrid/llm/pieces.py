@@ -7,7 +7,10 @@ agenda comes to it.
 Pieces are only ever split differently, so every segmentation decodes to the same bytes.
 
 Words of a chunk are encoded at the same time, BLOCK characters at once: each round merges the head of
-every word's agenda with array operations.  Without dropout each distinct word is encoded once.  Words beyond LONG characters go through a heap.
+every word's agenda with array operations.  Each distinct word is first encoded without dropout, and the
+merges made are noted and kept for later chunks: an occurrence that loses none of these has the same
+pieces, whatever becomes of the candidates that were not reached.  Only the other occurrences go through an agenda of their own.
+Words beyond LONG characters go through a heap.
 
 Scale: one pass over whole texts, no shuffle; the vocabulary (a few hundred kB) travels with the
 task, so executors need no model file.
@@ -28,11 +31,49 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .kernel import chunks, mix, ragged, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, LONG, PART, BLOCK = 0.1, 11, 64, 1 << 20, 1 << 20
+DROPOUT, SEED, LONG, PART, BLOCK, KNOWN = 0.1, 11, 64, 1 << 20, 1 << 20, 1 << 19
 MARK = "▁"
 _NONE = np.int64(1) << 62
 
 
+def _place(a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for the candidate [a, m), [m, b) of a word."""
+    return mix(((a.astype(np.uint64) << np.uint64(42)) | (m.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)) + np.uint64(1))
+
+
+class _Known:
+    """Words encoded without dropout: pieces, their first characters, and the places of the merges made.
+
+    Words are found by 64-bit hashes.  At most KNOWN words are kept; beyond, it starts again.
+    """
+
+    def __init__(self):
+        self.key = np.zeros(0, np.uint64)
+        self.ids, self.at, self.place = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        self.first, self.made = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def missing(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.ones(len(words), bool)
+        return self.key[np.minimum(np.searchsorted(self.key, words), len(self.key) - 1)] != words
+
+    def add(self, words: np.ndarray, ids: np.ndarray, own: np.ndarray, at: np.ndarray, made: list) -> None:
+        made_own, place = (np.concatenate([m[k] for m in made] or [np.zeros(0, t)]) for k, t in ((0, np.int64), (1, np.uint64)))
+        place = place[np.argsort(made_own, kind="stable")]
+        key = np.concatenate([self.key, words])
+        order = np.argsort(key, kind="stable")
+        pieces = np.concatenate([np.diff(self.first), np.bincount(own, minlength=len(words))])
+        merges = np.concatenate([np.diff(self.made), np.bincount(made_own, minlength=len(words))])
+        of_piece = ragged((np.cumsum(pieces) - pieces)[order], pieces[order])
+        of_merge = ragged((np.cumsum(merges) - merges)[order], merges[order])
+        self.key = key[order]
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])[of_piece]
+        self.at = np.concatenate([self.at, at.astype(np.int32)])[of_piece]
+        self.place = np.concatenate([self.place, place])[of_merge]
+        self.first = np.concatenate([[0], np.cumsum(pieces[order])])
+        self.made = np.concatenate([[0], np.cumsum(merges[order])])
+
+
 class Codec:
     """A vocabulary, ready to encode and decode chunks of texts."""
 
@@ -42,7 +83,7 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
-        self.limit, self.seed, self.size = int(dropout * 2**32), seed, n
+        self.limit, self.seed, self.size, self.known = int(dropout * 2**32), seed, n, _Known()
         ids = {p: i for i, p in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         if any(MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("pieces that go on after a word's end are not supported")
@@ -59,17 +100,20 @@ class Codec:
         pairs = sorted((ids[p[:k]] * n + ids[p[k:]], place[-sp.get_score(i)], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.pair, self.rank, self.joined = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
 
-    def _look(self, left: np.ndarray, right: np.ndarray, word: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of merging left [a, m) and right [m, b); no rank if impossible or dropped."""
+    def _lost(self, word: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the candidate at a place of a word is skipped."""
+        return (mix(word ^ place) >> np.uint64(32)) < np.uint64(self.limit)
+
+    def _look(self, left: np.ndarray, right: np.ndarray, word: np.ndarray | None, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merging left [a, m) and right [m, b); no rank if impossible or dropped (with words to draw by)."""
         key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         ok = (self.pair[at] == key) & (left >= 0) & (right >= 0)
-        if self.limit:
-            place = (a.astype(np.uint64) << np.uint64(42)) | (m.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)
-            ok &= (mix(word ^ mix(place + np.uint64(1))) >> np.uint64(32)) >= np.uint64(self.limit)
+        if word is not None:
+            ok &= ~self._lost(word, _place(a, m, b))
         return np.where(ok, self.rank[at], _NONE >> 24), self.joined[at]
 
-    def _agenda(self, sym: np.ndarray, word: np.uint64) -> np.ndarray:
+    def _agenda(self, sym: np.ndarray, word: np.uint64 | None) -> np.ndarray:
         """One word by a heap of candidates: (rank, start) of the left piece."""
         n = len(sym)
         ids, end, before, after = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -80,7 +124,7 @@ class Codec:
             if not starts:
                 return
             i, j = np.array(starts), np.array([after[s] for s in starts])
-            rank, got = self._look(np.array([ids[s] for s in starts]), np.array([ids[s] for s in j]), np.full(len(i), word, np.uint64), i, j, np.array([end[s] for s in j]))
+            rank, got = self._look(np.array([ids[s] for s in starts]), np.array([ids[s] for s in j]), None if word is None else np.full(len(i), word, np.uint64), i, j, np.array([end[s] for s in j]))
             for s, t, r, g in zip(starts, j.tolist(), rank.tolist(), got.tolist(), strict=True):
                 if r < _NONE >> 24:
                     heapq.heappush(heap, (r, s, end[t], t, g))
@@ -96,17 +140,18 @@ class Codec:
             offer([before[i], i])
         return np.array([v for v, a in zip(ids, alive, strict=True) if a], np.int64), np.array([i for i in range(n) if alive[i]])
 
-    def _merge(self, sym: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _merge(self, sym: np.ndarray, first: np.ndarray, word: np.ndarray | None, made: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of all words at once: (piece or -1, word, first character), by word.
 
-        sym: characters' pieces, -1 if unknown; first: where each word begins; word: each one's key.
+        sym: characters' pieces, -1 if unknown; first: where each word begins; word: what each one's
+        merges are drawn by, none without dropout; made: takes the merges (word, place) of all but long words.
         """
         length = np.diff(first)
-        own = np.repeat(np.arange(len(word)), length)
+        own = np.repeat(np.arange(len(length)), length)
         a = np.arange(len(sym)) - np.repeat(first[:-1], length)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for w in np.flatnonzero(length > LONG):
-            ids, at = self._agenda(sym[first[w] : first[w + 1]], word[w])
+            ids, at = self._agenda(sym[first[w] : first[w + 1]], None if word is None else word[w])
             done.append((ids, np.full(len(ids), w), at))
         live = length[own] <= LONG
         sym, own, a = sym[live].astype(np.int64), own[live], a[live]
@@ -117,7 +162,7 @@ class Codec:
             rank[i] = _NONE >> 24
             i = i[i + 1 < len(sym)]
             i = i[own[i] == own[i + 1]]
-            rank[i], got[i] = self._look(sym[i], sym[i + 1], word[own[i]], a[i], a[i + 1], b[i + 1])
+            rank[i], got[i] = self._look(sym[i], sym[i + 1], None if word is None else word[own[i]], a[i], a[i + 1], b[i + 1])
 
         renew(np.arange(len(sym)))
         while len(sym):
@@ -130,6 +175,8 @@ class Codec:
             if idle.any():
                 done.append((sym[over], own[over], a[over]))
             hit = np.flatnonzero((value == np.repeat(least, size)) & ~over)
+            if made is not None:
+                made.append((own[hit], _place(a[hit], a[hit + 1], b[hit + 1])))
             sym[hit], b[hit] = got[hit], b[hit + 1]
             keep = ~over
             keep[hit + 1] = False
@@ -144,15 +191,29 @@ class Codec:
         order = np.lexsort((at, words))
         return ids[order], words[order], at[order]
 
-    def _merge_blocks(self, sym: np.ndarray, first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _merge_blocks(self, sym: np.ndarray, first: np.ndarray, word: np.ndarray | None, made: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """_merge, about BLOCK characters at once."""
-        cuts = np.unique(np.append(np.searchsorted(first[:-1], np.arange(0, len(sym), BLOCK)), len(word)))
-        done = []
+        cuts = np.unique(np.append(np.searchsorted(first[:-1], np.arange(0, len(sym), BLOCK)), len(first) - 1))
+        done = [(np.zeros(0, np.int64),) * 3]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            ids, own, at = self._merge(sym[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], word[lo:hi])
+            own_made = None if made is None else []
+            ids, own, at = self._merge(sym[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], None if word is None else word[lo:hi], own_made)
             done.append((ids, own + lo, at))
+            if made is not None:
+                made += [(w + lo, place) for w, place in own_made]
         return tuple(np.concatenate(d) for d in zip(*done, strict=True))
 
+    def _deviating(self, word: np.ndarray, long: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Occurrences (of known words) that lose a merge of their word, or whose word is long."""
+        out = long.copy()
+        for lo in range(0, len(word), BLOCK):
+            w = word[lo : lo + BLOCK]
+            begin = self.known.made[w]
+            n = self.known.made[w + 1] - begin
+            lost = self._lost(np.repeat(draws[lo : lo + BLOCK], n), self.known.place[ragged(begin, n)])
+            out[lo + np.repeat(np.arange(len(w)), n)[lost]] = True
+        return np.flatnonzero(out)
+
     def encode(self, data: np.ndarray, at: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts, and where each text's begin; an empty text has none.
 
@@ -173,12 +234,7 @@ class Codec:
         end = np.append(start[1:], len(text))
         doc = np.searchsorted(grown, start, "right") - 1
         key = span_hashes(text, start, end)
-        if self.limit:
-            place = np.arange(len(start)) - np.searchsorted(doc, doc)
-            words = mix(key ^ mix(mix(draw[doc].astype(np.uint64) ^ np.uint64(self.seed + 1)) + place.astype(np.uint64)))
-            sample = which = np.arange(len(words))
-        else:
-            words, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        words, sample, which = np.unique(key, return_index=True, return_inverse=True)
         # characters of the words to encode
         length = end[sample] - start[sample]
         raw = text[ragged(start[sample], length)]
@@ -195,13 +251,33 @@ class Codec:
         symbol[wide] = known[back]
         edges = np.concatenate([[0], np.cumsum(length)])
         first = np.searchsorted(head, edges)
-        ids, own, at_char = self._merge_blocks(symbol, first, words)
+        chars = np.diff(first)
+        if len(self.known.key) + len(words) > KNOWN:
+            self.known = _Known()
+        new = np.flatnonzero(self.known.missing(words))
+        made: list = []
+        self.known.add(words[new], *self._merge_blocks(symbol[ragged(first[:-1][new], chars[new])], np.concatenate([[0], np.cumsum(chars[new])]), None, made), made)
+        place = np.searchsorted(self.known.key, words)
+        size = self.known.first[place + 1] - self.known.first[place]
+        held = ragged(self.known.first[place], size)
+        ids, own, at_char = self.known.ids[held].astype(np.int64), np.repeat(np.arange(len(words)), size), self.known.at[held].astype(np.int64)
+        source = np.arange(len(words))
+        if self.limit:
+            turn = np.arange(len(start)) - np.searchsorted(doc, doc)
+            draws = mix(key ^ mix(mix(draw[doc].astype(np.uint64) ^ np.uint64(self.seed + 1)) + turn.astype(np.uint64)))
+            other = self._deviating(place[which], (chars > LONG)[which], draws)
+            size = chars[which[other]]
+            more = self._merge_blocks(symbol[ragged(first[:-1][which[other]], size)], np.concatenate([[0], np.cumsum(size)]), draws[other])
+            ids, own, at_char = np.concatenate([ids, more[0]]), np.concatenate([own, more[1] + len(words)]), np.concatenate([at_char, more[2]])
+            source = np.concatenate([source, which[other]])
+            which = which.copy()
+            which[other] = len(words) + np.arange(len(other))
         # unknown characters become byte pieces
-        unknown = ids < 0
-        count = np.where(unknown, width[first[own] + at_char], 1)
+        unknown, char = ids < 0, first[source[own]] + at_char
+        count = np.where(unknown, width[char], 1)
         out = np.repeat(ids, count)
-        out[np.repeat(unknown, count)] = self.byte[raw[ragged(head[(first[own] + at_char)[unknown]], count[unknown])]]
-        per = np.bincount(own, count, len(words)).astype(np.int64)
+        out[np.repeat(unknown, count)] = self.byte[raw[ragged(head[char[unknown]], count[unknown])]]
+        per = np.bincount(own, count, len(source)).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(per)])
         tokens = out[ragged(begin[which], per[which])].astype(np.int32)
         return tokens, np.concatenate([[0], np.cumsum(np.bincount(doc, per[which], len(n)))]).astype(np.int64)
