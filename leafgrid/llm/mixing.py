@@ -84,13 +84,8 @@ def _meet(seed: int):
     return run
 
 
-def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, row_key, size, source_size, target, copies, taken for every row.
-
-    Rows with equal id, text and source are decided together.  Documents without words take no
-    part and get as many copies as the whole part gives.  A null source is a source of its own; an
-    empty table gives an empty result; other columns are ignored.
-    """
+def _plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """plan_copies, with each row's source."""
     rows = materialise(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), row_key(id_col, text_col).alias("row_key"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -121,12 +116,27 @@ def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
     out = rows.alias("r").join(asked.alias("a"), F.expr("r.source <=> a.source")).select("doc_id", "row_key", F.col("r.source").alias("source"), "size", "source_size", "target", "whole")
     out = out.join(ups, F.expr("row_key = key and source <=> s"), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
-    return out.select("doc_id", "row_key", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "row_key", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, row_key, size, source_size, target, copies, taken for every row.
+
+    Rows with equal id, text and source are decided together.  Documents without words take no
+    part and get as many copies as the whole part gives.  A null source is a source of its own; an
+    empty table gives an empty result; other columns are ignored.
+    """
+    return _plan(docs, weights, cap, seed, id_col, text_col, source_col).drop("source")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    plan = plan_copies(docs, weights, cap, seed, id_col, text_col, source_col).filter("copies > 0")
-    plan = plan.groupBy("row_key").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("row_key", "__key")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(plan.hint("merge"), "__key")
+    """The rows of docs, each as often as the mix takes it; rows with equal id and text in two sources are apart.
+
+    A row that the mix takes no copy of goes, as do all rows of an empty table.
+    """
+    key = F.md5(F.concat_ws(":", F.col("row_key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    plan = _plan(docs, weights, cap, seed, id_col, text_col, source_col).filter("copies > 0")
+    plan = plan.groupBy(key.alias("__key")).agg(F.max("copies").cast("int").alias("__copies"))
+    own = F.md5(F.concat_ws(":", row_key(id_col, text_col), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))))
+    keyed = docs.withColumn("__key", own).join(plan.hint("merge"), "__key")
     return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__key", "__copies", "__copy")
