@@ -4,11 +4,11 @@ Each document's histogram of character classes and of common words is compared w
 of its corpus' languages by Jensen-Shannon distance; the nearest reference counts.  References are
 sums over all documents of a language that pass the base rules.  Documents below a least length
 have too few observations for a stable histogram and are judged by the base rules alone, and so are
-documents in a language that has no reference: other languages' references say nothing about them.
+documents in a language with fewer than LEAST_REFERENCE words to refer to: other languages' references say nothing about them.
 
 Scale: one pass over the texts makes a narrow table of counts, in which each document stays in its
 own row (no shuffle); references are sums with map-side combine; the verdict is a projection with
-at most ``1 / LANG_SHARE`` literal references.
+one literal reference for each language, 35 numbers; the languages of a corpus are some hundreds.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ LEAST_WORDS = 50
 DIVERGENCE_WORDS = 100
 CHAR_LIMIT = 0.28
 WORD_LIMIT = 0.28
-LANG_SHARE = 0.001
+LEAST_REFERENCE = 1000
 
 
 def _count(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -86,14 +86,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base counts, base_failed, kept, char_distance and word_distance for every row.
 
     Null and empty texts have no words and fail the base rules; null languages give no reference
-    and are judged by the nearest one; languages below LANG_SHARE by the base rules alone; repeated rows are judged alike; without any reference the base rules decide alone.
+    and are judged by the nearest one; languages with fewer than LEAST_REFERENCE words in good documents by the base rules alone; repeated
+    rows are judged alike; without any reference the base rules decide alone.  Other columns are ignored.
     """
     rows = materialise(features(docs, id_col, text_col, lang_col), "quality")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = rows.filter(~failed & F.col("lang").isNotNull())
     sums = [F.sum(F.get("char_hist", F.lit(i))).alias(f"c{i}") for i in range(6)] + [F.sum(F.get("word_hist", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    least = LANG_SHARE * good.count()
-    found = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).filter(F.col("n") >= least).orderBy("lang").collect()
+    found = good.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).filter(F.col("n") >= LEAST_REFERENCE).orderBy("lang").collect()
     share = lambda xs: [x / max(1, sum(xs)) for x in xs]
     refs = [(share([r[f"c{i}"] for i in range(6)]), share([r[f"w{i}"] for i in range(len(COMMON) + 1)])) for r in found]
     nearest = lambda cols: reduce(lambda a, b: F.least(a, b), cols, F.lit(1.0))
