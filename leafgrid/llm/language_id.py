@@ -36,7 +36,11 @@ def _symbols(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     second[:-1], third[:-2] = b[1:], b[2:]
     upper = (b == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
     second = np.where(upper, second + 0x20, second)
-    sign = (b == 0xC2) | ((b == 0xE2) & (second <= 0xAF)) | ((b == 0xE3) & (second == 0x80)) | (b == 0xEF) | ((b == 0xF0) & (second == 0x9F))
+    # Signs: Latin-1 ones but for the three letters, general punctuation to supplemental arrows, CJK
+    # signs, variation selectors, full-width signs, specials, emoji.
+    latin = (b == 0xC2) & (second != 0xAA) & (second != 0xB5) & (second != 0xBA)
+    wide = (b == 0xEF) & ((second == 0xB8) | (second == 0xBF) | ((second == 0xBC) & (third < 0xA1)))
+    sign = latin | ((b == 0xE2) & (second <= 0xAF) & (second != 0x84)) | ((b == 0xE3) & (second == 0x80)) | wide | ((b == 0xF0) & (second == 0x9F))
     symbol = np.where(b < 0x80, _ASCII[b], np.where(sign, 0, 27 + (b * 7 + second * 31 + np.where(b >= 0xE0, third, 0)) % 37))
     text = np.repeat(np.arange(len(chunk)), np.diff(chunk.at))
     keep = (b & 0xC0) != 0x80
@@ -101,9 +105,9 @@ def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
     """All columns of docs, lang_pred and score.
 
-    score is one minus the distance as a share of the greatest possible.  A null text or one
-    without a letter is ``und`` with score 0, as is every text if there are no profiles; equal
-    distances go to the first language by name.
+    score is one minus the distance as a share of the greatest possible, 0 for a text without an
+    n-gram.  A null text or one without a letter is ``und`` with score 0, as is every text if there are
+    no profiles; equal distances go to the first language by name.
     """
     names = sorted(profiles)
     docs = docs.drop("lang_pred", "score", "__letter").withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
@@ -121,7 +125,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
                 far = np.stack(apart) if names else np.zeros((1, len(c)))
                 best = far.argmin(0)
                 ok = letter[c.lo : c.hi] & bool(names)
-                score = np.where(ok, 1 - far[best, np.arange(len(c))] / np.maximum(1, TOP * np.bincount(text, minlength=len(c))), 0.0)
+                grams = np.bincount(text, minlength=len(c))
+                score = np.where(ok & (grams > 0), 1 - far[best, np.arange(len(c))] / np.maximum(1, TOP * grams), 0.0)
                 said = [names[b] if o else "und" for b, o in zip(best, ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(c.lo, len(c)).columns, pa.array(said, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
