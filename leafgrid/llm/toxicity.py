@@ -134,13 +134,14 @@ def _presence(slots: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_train: int = MAX_TRAIN, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit the chain on at most max_train labelled documents; rows with a null label are left out.
 
-    A document labelled more than once has a category if any label says so.  Without labelled
+    A document labelled more than once has a category if any label says so; of several texts with one
+    id the first by code point counts, so no more than max_train rows reach the driver.  Without labelled
     documents every probability is one half.
     """
     marks = labels.filter(F.col(id_col).isNotNull()).dropna(subset=categories).groupBy(F.col(id_col).alias("doc_id")).agg(F.array(*[F.max(F.col(c).cast("int")) for c in categories]).alias("marks"))
     chosen = marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.to_json("marks").alias("marks"), "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.to_json(F.first("marks")).alias("marks"), F.min("text").alias("text"))
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("marks string, slots binary, shape array<double>").fields])
     found = rows.mapInArrow(_extract, schema).toPandas()
     found = found.drop_duplicates(subset=["slots"]).sort_values("doc_id").head(max_train)
