@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,18 +29,25 @@ def shares(sizes, weights=(5, 2, 1), cap=3.0):
 def test_mixing(odd, rows):
     found = mixing.plan_copies(odd).collect()
     assert len(found) == len(rows)
-    sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
-    by_id = {}
     for r in found:
         assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
-        by_id[r.row_key] = r
     from_rows = defaultdict(int)
     for r in rows:
-        from_rows[r[3]] += len((r[1] or "").split())
+        from_rows[r[3]] += len(re.findall("[^\x20\x09-\x0d]+", r[1] or ""))
     want = shares(dict(from_rows))
     got = {r.source_size: r.target for r in found}
     assert {from_rows[s]: pytest.approx(t) for s, t in want.items()} == got
-    del sizes, taken, largest
+
+
+def test_mixing_keeps_sources_apart(spark):
+    """One id and text in two sources: each row takes the copies of its own source."""
+    rows = [(1, "same words here", "a"), (1, "same words here", "b")] + [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {(r.doc_id, r.row_key, r.source_size): r.copies for r in mixing.plan_copies(docs).collect()}
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    assert size["a"] != size["b"]
+    want = Counter({(i, s): n for (i, _, z), n in plan.items() for s in "ab" if z == size[s] and n})
+    assert Counter((r.doc_id, r.source) for r in mixing.mix(docs).collect()) == want
 
 
 def test_mixing_hits_targets(spark):
@@ -148,6 +156,28 @@ def test_language_odd(odd, rows):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_letters_without_evidence(spark):
+    """Letters that fold to nothing score 0; full-width and Arabic presentation letters are letters."""
+    texts = [(0, "aa ab. ab", "x"), (1, "zz yz", "y"), (2, "\uff21\uff22\uff23 \uff24\uff25\uff26", "wide"), (3, "\ufe8e\ufeea\ufee2", "ar"), (4, "\u02b0", None), (5, "\U0001f130 !", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.identify(docs, language_id.train_profiles(docs)).collect()}
+    assert [found[i].lang_pred for i in range(4)] == ["x", "y", "wide", "ar"] and all(found[i].score == 1 for i in range(4))
+    profiles = {"de": [1, 2], "en": [3]}
+    odd = spark.createDataFrame([(0, "\u24d0\u2100")], "doc_id long, text string")
+    assert all(r.score < 1 for r in language_id.identify(odd, profiles).collect())
+
+
+def test_toxicity_chain_of_the_query_held_out(spark):
+    """On as many labels as the query's bound is made for; the few hundred of sf0.01 teach too few words."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.train_chain(docs, labels.filter("doc_id % 2 = 0"), ["low_quality", "toxic"])
+    found = toxicity.score(docs, chain).join(labels.filter("doc_id % 2 = 1"), "doc_id").select("toxic", (F.col("p_toxic") >= 0.5).alias("said")).collect()
+    clean, toxic = [r for r in found if not r.toxic], [r for r in found if r.toxic]
+    print("held out: clean", len(clean), sum(r.said for r in clean), "toxic", len(toxic), sum(r.said for r in toxic))
+    assert sum(r.said for r in clean) <= 0.05 * len(clean) and sum(r.said for r in toxic) >= 0.5 * len(toxic)
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
