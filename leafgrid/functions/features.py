@@ -121,15 +121,20 @@ def strided_windows(sequences: DataFrame, length_col: str = "n_tokens", window:
     return rows.select(key, "window_idx", (F.col("window_idx") * stride).cast("int").alias("begin"), F.least(F.col("window_idx") * stride + window, F.col("__n")).cast("int").alias("end"))
 
 
-def best_context(windows: DataFrame, key: str = "doc_id") -> DataFrame:
+def best_context(sequences: DataFrame, length_col: str = "n_tokens", window: int = 510, stride: int = 255, key: str = "doc_id") -> DataFrame:
     """key, token, window_idx: for each token the window in which it stands farthest from the edges.
 
-    The edges are the special tokens around a window; of equals the later window wins.
+    Windows are those of ``strided_windows``; the edges are the special tokens around a window; of
+    equals the later window wins.  The few windows that hold a token follow from its place, so every
+    token is decided in its own row.
     """
-    each = windows.withColumn("token", F.explode(F.when(F.col("end") > F.col("begin"), F.sequence(F.col("begin"), F.col("end") - 1)).otherwise(F.array().cast("array<int>"))))
-    pos = F.col("token") - F.col("begin") + 1
-    score = F.greatest(F.least(pos, F.col("end") - F.col("begin") + 1 - pos), F.lit(0))
-    return each.groupBy(key, "token").agg(F.max_by("window_idx", F.struct(score, F.col("window_idx"))).alias("window_idx"))
+    inner = F.greatest(F.col(length_col) - 2, F.lit(0))
+    last = F.greatest(F.lit(0), F.ceil((inner - window) / stride)).cast("int")
+    rows = sequences.select(key, inner.alias("__n"), last.alias("__last"), F.explode(F.when(inner > 0, F.sequence(F.lit(0), inner - 1)).otherwise(F.array().cast("array<int>"))).alias("token"))
+    first = F.greatest(F.lit(0), (F.floor((F.col("token") - window) / stride) + 1).cast("int"))
+    score = lambda w: F.greatest(F.least(F.col("token") - w * stride + 1, F.least(w * stride + window, F.col("__n")) - F.col("token")), F.lit(0))
+    held = F.sequence(first, F.least(F.col("__last"), F.floor(F.col("token") / stride).cast("int")))
+    return rows.select(key, "token", F.array_max(F.transform(held, lambda w: F.struct(score(w).alias("score"), w.alias("window_idx"))))["window_idx"].alias("window_idx"))
 
 
 def line_pooling(vectors: DataFrame, keys: tuple[str, ...], vector_col: str = "embedding", mode: str = "mean") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .geometry import MARGIN, Region, align_regions
 
@@ -33,11 +34,12 @@ def random_classify(boxes: DataFrame, labels: Sequence[str] | Mapping[str, float
     """Draw labels by weight from a generator keyed by document, box and seed.
 
     The draw depends on nothing else, so it is the same in any partitioning; it is integer
-    arithmetic, so that other engines can repeat it.
+    arithmetic, so that other engines can repeat it.  Ids that are no integers count by their CRC-32.
     """
     weights = dict(labels) if isinstance(labels, Mapping) else {x: 1.0 for x in labels}
     total, up = sum(weights.values()), 0.0
-    draw = F.expr(f"pmod((doc_id % 1000003 * 7919 + box_idx * 104729 + {seed}) * 48271, 2147483647) / 2147483647D")
+    number = "doc_id" if isinstance(boxes.schema["doc_id"].dataType, IntegralType) else "crc32(CAST(doc_id AS BINARY))"
+    draw = F.expr(f"pmod(({number} % 1000003 * 7919 + box_idx * 104729 + {seed}) * 48271, 2147483647) / 2147483647D")
     label = None
     names = list(weights)
     for name in names[:-1]:

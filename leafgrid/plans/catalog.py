@@ -179,13 +179,16 @@ def vocabulary(spark, sf_dir):
 
 def vocabulary_encode(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
-    known = features.build_vocabulary(docs.filter("doc_id % 3 <> 1"), "source", ("doc_id",))
+    known = features.build_vocabulary(docs, "source", ("doc_id",))
     return features.encode(docs, known, "source").select("doc_id", F.col("idx").cast("long").alias("idx"))
 
 
+def _lengths(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", (F.size(F.split("text", " ", -1)) + 2).alias("n_tokens"))
+
+
 def _windows(spark, sf_dir):
-    lengths = _read(spark, sf_dir, "documents").select("doc_id", (F.size(F.split("text", " ", -1)) + 2).alias("n_tokens"))
-    return features.strided_windows(lengths, window=510, stride=255)
+    return features.strided_windows(_lengths(spark, sf_dir), window=510, stride=255)
 
 
 def strided_windows(spark, sf_dir):
@@ -193,7 +196,7 @@ def strided_windows(spark, sf_dir):
 
 
 def best_context(spark, sf_dir):
-    return features.best_context(_windows(spark, sf_dir))
+    return features.best_context(_lengths(spark, sf_dir), window=510, stride=255)
 
 
 def line_pooling(spark, sf_dir):
@@ -361,7 +364,7 @@ ORACLES: dict[str, str] = {
     "word_shape": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape FROM words",
     "affixes": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix, lower(trim(word)) AS norm FROM words",
     "vocabulary": "SELECT source AS value, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents GROUP BY source",
-    "vocabulary_encode": "WITH v AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents WHERE doc_id % 3 <> 1 GROUP BY source) SELECT d.doc_id, coalesce(v.idx, 0) AS idx FROM documents d LEFT JOIN v ON d.source = v.source",
+    "vocabulary_encode": "WITH v AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents GROUP BY source) SELECT d.doc_id, coalesce(v.idx, 0) AS idx FROM documents d LEFT JOIN v ON d.source = v.source",
     "strided_windows": f'WITH {_LENGTHS} SELECT doc_id, CAST(w AS INTEGER) AS window_idx, CAST(w * 255 AS INTEGER) AS "begin", CAST(least(w * 255 + 510, n) AS INTEGER) AS "end" FROM wins',
     "best_context": f"""WITH {_LENGTHS}, e AS (SELECT doc_id, w, w * 255 AS b, least(w * 255 + 510, n) AS t, unnest(range(w * 255, least(w * 255 + 510, n))) AS token FROM wins),
         s AS (SELECT doc_id, token, w, row_number() OVER (PARTITION BY doc_id, token ORDER BY greatest(least(token - b + 1, t - b + 1 - (token - b + 1)), 0) DESC, w DESC) AS place FROM e)

@@ -79,3 +79,10 @@ def test_merge():
     rects = [(0, 1, 0, 0.1), (0, 1, 0.1, 0.2), (0, 1, 0.3, 0.4), (0, 1, 0.5, 0.6)]
     first, second, other, last = geometry.merge_keys(rects, ["body", "body", "other", "body"])
     assert first == second and len({first, other, last}) == 3
+
+
+def test_random_classify_of_text_ids(spark):
+    rows = [(f"doc-{i}", j) for i in range(200) for j in range(5)]
+    found = classify.random_classify(spark.createDataFrame(rows, "doc_id string, box_idx int"), {"body": 3, "header": 1}, 1).groupBy("label").count().collect()
+    counts = {r["label"]: r["count"] for r in found}
+    assert sum(counts.values()) == 1000 and 600 < counts["body"] < 900
