@@ -534,19 +534,17 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     links = materialise(_verify(best, texts, k, percent), "links")
     roots = components(links)
-    rest = materialise(_apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "rest")
-    if not rest.isEmpty():
-        links = materialise(links.unionByName(_verify(rest, texts, k, percent)), "links")
-        roots = components(links)
+    more = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
     hot = materialise(combined.filter("a is null").select("key").distinct(), "hot")
     if not hot.isEmpty():
-        late = materialise(_late(many, hot, roots, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "late")
-        if not late.isEmpty():
-            roots = components(materialise(links.unionByName(_verify(late, texts, k, percent)), "links"))
+        more = more.unionByName(_late(many, hot, roots, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    more = materialise(more, "rest")
+    if not more.isEmpty():
+        roots = components(materialise(links.unionByName(_verify(more, texts, k, percent)), "links"))
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialise(named.join(low, "root").select("cid", "component_id", "root"), "named")
-    forget(sets, single, combined, pairs, texts, links, rest, hot, classes)
+    forget(sets, single, combined, pairs, texts, links, more, hot, classes)
     out = described.select("doc_id", "row_key", "n", "cid").join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 
