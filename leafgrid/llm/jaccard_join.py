@@ -19,7 +19,8 @@ a task share pairs them with one head there, the one with the fewest tokens of i
 head on; heads meet the same way, so a group of near copies gives a star of candidates and no task
 holds it whole.  What the stars leave in different components is compared afterwards in slots of
 about LATE, so no link is lost: first by bounds that need no text (tokens of its own, and bitmaps of
-the others), and only pairs within the bounds are listed.
+the others).  Each class left outside is linked to its closest one, and then the pairs within the
+bounds that are still in different components are listed.
 
 Tokens are 64-bit hashes and classes 128-bit ones.  Class ids are 64 bits of those; should two
 classes have one id, all ids are drawn again.
@@ -423,8 +424,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(ra, "a", "left").join(rb, "b", "left").filter(~same).select("a", "b")
 
 
-def _within(percent: int):
-    """Pairs within the bounds: the members of a slot come first and are held, strays are compared as they come."""
+def _within(percent: int, closest: bool):
+    """Pairs within the bounds: the members of a slot come first and are held, strays are compared as they come.
+
+    With closest, each stray is paired only with the member of the slot that differs least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, []
@@ -446,7 +450,10 @@ def _within(percent: int):
                     fit = np.maximum(np.abs(x[2][:, None] - m), x[3][:, None] + own) <= _allowed(x[2][:, None], m, percent)
                     i, j = np.nonzero(fit & (x[1][:, None] != r))
                     differ = x[4][i] + lone[j] + np.bitwise_count(x[5][i] ^ b[j]).sum(axis=1, dtype=np.int64)
-                    ok = differ <= _allowed(x[2][i], m[j], percent)
+                    ok = np.flatnonzero(differ <= _allowed(x[2][i], m[j], percent))
+                    if closest:
+                        ok = ok[np.lexsort((c[j[ok]], differ[ok], i[ok]))]
+                        ok = ok[_runs(i[ok])[0] == 0]
                     one, two = x[0][i[ok]], c[j[ok]]
                     if len(one):
                         pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
@@ -455,7 +462,7 @@ def _within(percent: int):
     return run
 
 
-def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs of classes that share a hot key, are still in different components and within the bounds.
 
     First each task tells which components its keys reach, once for each; only members of keys that
@@ -491,7 +498,7 @@ def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int) -> Da
     both = sized.withColumn("stray", F.explode(F.when(F.col("root") == F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     both = both.withColumn("slot", F.explode(slots)).select("key", "slot", F.col("stray").cast("int").alias("stray"), "cid", "root", "n", "rest", "alone", "bits")
     met = both.repartition("key", "slot").sortWithinPartitions("key", "slot", "stray")
-    return met.mapInArrow(_within(percent), "a bigint, b bigint").distinct()
+    return met.mapInArrow(_within(percent, closest), "a bigint, b bigint").distinct()
 
 
 def _classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
@@ -534,17 +541,23 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     links = materialise(_verify(best, texts, k, percent), "links")
     roots = components(links)
-    more = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
     hot = materialise(combined.filter("a is null").select("key").distinct(), "hot")
-    if not hot.isEmpty():
-        more = more.unionByName(_late(many, hot, roots, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    more = materialise(more, "rest")
-    if not more.isEmpty():
-        roots = components(materialise(links.unionByName(_verify(more, texts, k, percent)), "links"))
+    seen = pairs.select("a", "b")
+    more = _apart(seen.join(best, ["a", "b"], "left_anti"), roots)
+    # A large group first joins by each stray's closest member, so that few pairs remain to be listed in full.
+    for closest in (True, False):
+        late = None if hot.isEmpty() else _late(many, hot, roots, percent, closest).join(seen, ["a", "b"], "left_anti")
+        more = materialise(late if more is None else more if late is None else more.unionByName(late), "rest")
+        if not more.isEmpty():
+            links = materialise(links.unionByName(_verify(more, texts, k, percent)), "links")
+            roots = components(links)
+        if late is None:
+            break
+        seen, more = seen.unionByName(more), None
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialise(named.join(low, "root").select("cid", "component_id", "root"), "named")
-    forget(sets, single, combined, pairs, texts, links, more, hot, classes)
+    forget(sets, single, combined, pairs, texts, links, hot, classes)
     out = described.select("doc_id", "row_key", "n", "cid").join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 
