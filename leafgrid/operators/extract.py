@@ -7,9 +7,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .geometry import precedes
 
@@ -41,23 +40,36 @@ def normalise_boxes(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.drop("width", "height").filter("length(text) > 0 AND x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1")
 
 
-def style_runs(chars: DataFrame) -> DataFrame:
-    """doc_id, box_idx, run, begin, end, fontname, italic, bold for chars(doc_id, box_idx, pos, ch, fontname, upright).
+_STYLE = "struct<fontname:string,italic:boolean,bold:boolean>"
+_RUN = f"struct<begin:int,end:int,style:{_STYLE}>"
 
-    Blanks take the style before them, do not lengthen a run, and neither lead a text nor follow
-    each other; leading blanks open a run without style.  Windows are bounded by one line.
+
+def style_runs(lines: DataFrame, chars_col: str = "chars") -> DataFrame:
+    """doc_id, box_idx, run, begin, end, fontname, italic, bold for lines(doc_id, box_idx, chars).
+
+    chars is an array of struct(ch, fontname, upright).  Blanks take the style before them, do not
+    lengthen a run, and neither lead a text nor follow each other; leading blanks open a run without
+    style.  Lines without characters have no runs.  Each line is folded in its own row: no shuffle.
     """
-    line = Window.partitionBy("doc_id", "box_idx").orderBy("pos")
-    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
-    rows = chars.withColumn("blank", F.col("ch").rlike(r"^\s$"))
-    rows = rows.withColumn("kept", ~F.col("blank") | F.coalesce(~F.lag("blank").over(line), F.lit(False)))
-    style = F.when(~F.col("blank"), F.struct(F.col("fontname"), (~F.col("upright") | F.contains(F.lower("fontname"), F.lit("italic"))).alias("italic"), F.contains(F.lower("fontname"), F.lit("bold")).alias("bold")))
-    rows = rows.withColumn("style", F.last(style, ignorenulls=True).over(upto))
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.col("kept").cast("int")).over(before), F.lit(0)))
-    new = F.lag(F.lit(1)).over(line).isNull() | ~F.col("style").eqNullSafe(F.lag("style").over(line))
-    rows = rows.withColumn("run", F.sum(new.cast("int")).over(upto) - 1)
-    runs = rows.groupBy("doc_id", "box_idx", "run").agg(F.min("at").alias("begin"), F.max(F.when(~F.col("blank"), F.col("at") + 1)).alias("end"), F.first("style").alias("style"))
-    return runs.select("doc_id", "box_idx", F.col("run").cast("int").alias("run"), F.col("begin").cast("int").alias("begin"), F.coalesce("end", "begin").cast("int").alias("end"), "style.fontname", "style.italic", "style.bold")
+    style = lambda c: F.struct(c["fontname"].alias("fontname"), (~c["upright"] | F.contains(F.lower(c["fontname"]), F.lit("italic"))).alias("italic"), F.contains(F.lower(c["fontname"]), F.lit("bold")).alias("bold"))
+
+    def step(s: Column, c: Column) -> Column:
+        blank = c["ch"].rlike(r"^\s$")
+        own = F.when(blank, s["run"]["style"]).otherwise(style(c))
+        same = s["run"].isNotNull() & own.eqNullSafe(s["run"]["style"])
+        begin = F.when(same, s["run"]["begin"]).otherwise(s["at"])
+        end = F.when(~blank, s["at"] + 1).when(same, s["run"]["end"])
+        return F.struct(
+            (s["at"] + F.when(~blank | F.coalesce(~s["blank"], F.lit(False)), 1).otherwise(0)).alias("at"),
+            blank.alias("blank"),
+            F.struct(begin.alias("begin"), end.alias("end"), own.alias("style")).alias("run"),
+            F.when(same | s["run"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["run"]))).alias("done"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("boolean").alias("blank"), F.lit(None).cast(_RUN).alias("run"), F.array().cast(f"array<{_RUN}>").alias("done"))
+    every = F.aggregate(chars_col, start, step, lambda s: F.when(s["run"].isNotNull(), F.concat(s["done"], F.array(s["run"]))))
+    runs = lines.select("doc_id", "box_idx", F.posexplode(every).alias("run", "r"))
+    return runs.select("doc_id", "box_idx", "run", F.col("r.begin").alias("begin"), F.coalesce("r.end", "r.begin").alias("end"), "r.style.fontname", "r.style.italic", "r.style.bold")
 
 
 @extractor("plain-pdf")

@@ -40,9 +40,10 @@ def page_filter_normalise(spark, sf_dir):
 
 
 def style_runs(spark, sf_dir):
-    lines = _boxes(spark, sf_dir).select("doc_id", "box_idx", F.posexplode(F.split("text", "")).alias("pos", "ch"))
-    font = F.get(F.array(*map(F.lit, FONTS)), F.expr("(pos div 5) % 3").cast("int"))
-    return extract.style_runs(lines.filter("ch <> ''").withColumns({"fontname": font, "upright": F.expr("pos % 11 <> 0")}))
+    fonts = F.array(*map(F.lit, FONTS))
+    styled = lambda ch, pos: F.struct(ch.alias("ch"), F.get(fonts, F.floor(pos / 5).cast("int") % 3).alias("fontname"), (pos % 11 != 0).alias("upright"))
+    chars = F.filter(F.transform(F.split("text", ""), styled), lambda c: c["ch"] != "")
+    return extract.style_runs(_boxes(spark, sf_dir).select("doc_id", "box_idx", chars.alias("chars")))
 
 
 def extract_error_policy(spark, sf_dir):
