@@ -139,21 +139,38 @@ def merge_bbox(boxes: DataFrame, keys: Sequence[str] = ("doc_id", "page_num", "l
     return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n_boxes"))
 
 
-def _cliques(near: list[set[int]]) -> Iterator[list[int]]:
-    """Maximal cliques, by smallest member: Bron-Kerbosch with pivots on an explicit stack."""
-    stack = [([], set(range(len(near))), set())]
+def _members(bits: int) -> list[int]:
+    out = []
+    while bits:
+        low = bits & -bits
+        out.append(low.bit_length() - 1)
+        bits ^= low
+    return out
+
+
+def _cliques(near: list[int]) -> Iterator[list[int]]:
+    """Maximal cliques, by smallest member: Bron-Kerbosch with pivots on an explicit stack.
+
+    near[i] and all sets are bit masks over the boxes.  Members with the same closed neighbourhood
+    are in the same cliques, so one stands for all of them.
+    """
+    twins: dict[int, int] = {}
+    for i, m in enumerate(near):
+        twins[m | 1 << i] = twins.get(m | 1 << i, 0) | 1 << i
+    first = sum(t & -t for t in twins.values())
+    whole = {(t & -t).bit_length() - 1: t for t in twins.values()}
+    stack = [(0, first, 0)] if near else []
     found = []
     while stack:
         chosen, open_, seen = stack.pop()
-        if not open_ and not seen:
-            found.append(sorted(chosen))
-            continue
         if not open_:
+            if not seen:
+                found.append(sorted(_members(chosen)))
             continue
-        pivot = max(sorted(open_ | seen), key=lambda v: len(near[v] & open_))
-        for v in sorted(open_ - near[pivot]):
-            stack.append(([*chosen, v], open_ & near[v], seen & near[v]))
-            open_, seen = open_ - {v}, seen | {v}
+        pivot = max(_members(open_ | seen), key=lambda v: (near[v] & open_).bit_count())
+        for v in _members(open_ & ~near[pivot]):
+            stack.append((chosen | whole[v], open_ & near[v], seen & near[v]))
+            open_, seen = open_ & ~(1 << v), seen | 1 << v
     return iter(sorted(found))
 
 
@@ -174,7 +191,7 @@ def merge_keys(rects: list[tuple[float, float, float, float]], labels: list) ->
             # rectangles that the joint ones of i and each j meet, of another group than i
             meets = (np.minimum(joint_high[i][:, None], high[None]) > np.maximum(joint_low[i][:, None], low[None])).all(-1)
             free = ~(meets & (group != group[i])[None]).any(1) & (group == group[i])
-            near.append(set(np.flatnonzero(free).tolist()) - {i})
+            near.append(sum(1 << j for j in np.flatnonzero(free).tolist() if j != i))
         taken: dict[int, int] = {}
         clash = False
         for number, clique in enumerate(_cliques(near)):

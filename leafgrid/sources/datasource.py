@@ -6,6 +6,8 @@ Paths must be on a file system that all executors mount.
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +20,6 @@ class _Files(InputPartition):
     names: list[str]
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    names: list[str]
-
-
 class DocumentFiles(DataSource):
     """``document_files``: options path, suffix (.pdf) and filesPerTask (64)."""
 
@@ -58,21 +55,40 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write into a folder beside the target; the commit puts it in the target's place."""
+
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.suffix = options["path"], options.get("suffix", ".pdf")
-        old = [f for f in os.listdir(self.path) if f.endswith((self.suffix, ".json"))] if os.path.isdir(self.path) else []
-        if old and not overwrite:
+        self.path, self.suffix = options["path"].rstrip("/"), options.get("suffix", ".pdf")
+        self.staged = f"{self.path}.{uuid.uuid4().hex}.part"
+        if os.path.isdir(self.path) and os.listdir(self.path) and not overwrite:
             raise FileExistsError(f"{self.path} already holds documents")
 
+    def _place(self, name: str) -> str:
+        """Where a document goes; ids that lead out of the folder are refused."""
+        if not name or os.path.isabs(name) or ".." in name.split("/"):
+            raise ValueError(f"no file name: {name!r}")
+        return os.path.join(self.staged, name)
+
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        names = []
         for row in rows:
-            at = os.path.join(self.path, row["id"])
+            at = self._place(row["id"])
             os.makedirs(os.path.dirname(at), exist_ok=True)
             for suffix, value in ((self.suffix, row["content"]), (".json", row["json"] and row["json"].encode())):
                 if value is not None:
-                    with open(f"{at}{suffix}.part", "wb") as f:
+                    # A repeated attempt of a task replaces its own files whole.
+                    part = f"{at}{suffix}.{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
                         f.write(bytes(value))
-                    os.replace(f"{at}{suffix}.part", at + suffix)
-            names.append(row["id"])
-        return _Written(names)
+                    os.replace(part, at + suffix)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        os.makedirs(self.staged, exist_ok=True)
+        old = f"{self.staged}.old"
+        if os.path.isdir(self.path):
+            os.rename(self.path, old)
+        os.rename(self.staged, self.path)
+        shutil.rmtree(old, ignore_errors=True)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.staged, ignore_errors=True)

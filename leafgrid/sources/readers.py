@@ -41,7 +41,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, load_ann
     """
     at = located(path, filesystem)
     read = lambda glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(at)
-    base = F.lit(at.rstrip("/").rpartition("://")[2].lstrip("/") + "/")
+    base = at.rstrip("/").rpartition("://")[2].lstrip("/") + "/"
     stem = F.regexp_replace(F.substring_index(F.col("path"), base, -1), r"\.[^./]*$", "")
     files = read(pattern).select(stem.alias("doc_id"), "content", F.col("path").alias(FILENAME))
     if not keep_ipynb_checkpoints:
@@ -49,7 +49,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, load_ann
     if files.select("doc_id").isEmpty():
         raise FileNotFoundError(f"no {pattern} in {path}")
     if load_annotations or require_annotations:
-        sidecars = read("*.json").select(stem.alias("doc_id"), F.decode("content", F.lit("utf-8")).alias("annotations"))
+        sidecars = read("*.json").select(stem.alias("doc_id"), F.decode("content", "utf-8").alias("annotations"))
         files = files.join(sidecars, "doc_id", "inner" if require_annotations else "left")
     return _converted(files, converter, kwargs)
 
