@@ -46,9 +46,13 @@ def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def page(spark, pages=1):
-    rows = [(0, p, 3 * p + i, *r, None, "x") for p in range(pages) for i, r in enumerate([(0.1, 0.9, 0.1, 0.2), (0.1, 0.4, 0.6, 0.7), (0.1, 0.9, 0.6, 0.7)])]
-    return spark.createDataFrame(rows, "doc_id long, page_num int, box_idx int, x0 double, x1 double, y0 double, y1 double, label string, text string")
+KIND = "doc_id long, page_num int, box_idx int, x0 double, x1 double, y0 double, y1 double, label string, text string"
+
+
+def sheet(spark, pages=1):
+    """On each page a title across the top quarter, a note at the left and a table at the right below it."""
+    rows = [(7, p, 3 * p + i, *r, None, t) for p in range(pages) for i, (r, t) in enumerate([((0.0, 1.0, 0.0, 0.25), "title"), ((0.0, 0.25, 0.5, 0.75), "note"), ((0.5, 1.0, 0.5, 1.0), "table")])]
+    return spark.createDataFrame(rows, KIND)
 
 
 def labels(df):
@@ -56,23 +60,26 @@ def labels(df):
 
 
 def test_masks(spark):
-    assert labels(classify.mask_classify(page(spark), 0, 0.5, 0.5, 1, threshold=0.4)) == ["pollution", "body", "body"]
-    assert labels(classify.dummy_classify(page(spark), "body")) == ["body"] * 3
+    # the mask covers the whole note and half of the table
+    assert labels(classify.mask_classify(sheet(spark), 0, 0.5, 0.75, 1, threshold=0.5)) == ["pollution", "body", "body"]
+    assert labels(classify.mask_classify(sheet(spark), 0, 0.5, 0.75, 1, threshold=0.75)) == ["pollution", "body", "pollution"]
+    assert labels(classify.dummy_classify(sheet(spark), "any")) == ["any"] * 3
 
 
 def test_align(spark):
     kind = "doc_id long, page_num int, src_idx int, x0 double, x1 double, y0 double, y1 double, label string"
-    by_page = spark.createDataFrame([(0, 0, 0, 0.0, 1.0, 0.0, 1.0, "big"), (0, 1, 1, 0.1, 0.9, 0.1, 0.9, "small")], kind)
-    assert labels(geometry.align_box_labels(by_page, page(spark, 2))) == ["big"] * 3 + ["small"] * 3
-    anywhere = spark.createDataFrame([(0, None, 0, 0.0, 1.0, 0.0, 1.0, "big"), (0, None, 1, 0.1, 0.9, 0.1, 0.9, "small")], kind)
-    assert labels(geometry.align_box_labels(anywhere, page(spark, 2))) == ["small"] * 6
+    paged = spark.createDataFrame([(7, 1, 0, 0.0, 1.0, 0.5, 1.0, "lower"), (7, 2, 1, 0.0, 0.5, 0.0, 1.0, "left")], kind)
+    found = geometry.align_box_labels(paged, sheet(spark, 3), 0.5, "none")
+    assert labels(found) == ["none", "lower", "lower", "left", "left", "none"]  # page 0 has no annotation
+    everywhere = spark.createDataFrame([(7, None, 0, 0.0, 1.0, 0.0, 1.0, "page"), (7, None, 1, 0.5, 1.0, 0.5, 1.0, "corner")], kind)
+    assert labels(geometry.align_box_labels(everywhere, sheet(spark, 2), 0.5)) == ["page", "page", "corner"] * 2
 
 
 def test_aggregate_pages(spark):
-    lines = [(0, 0, 0, 0.1, 0.5, "Begin"), (0, 0, 1, 0.5, 0.6, "and"), (0, 0, 2, 0.6, 0.8, "end."), (0, 1, 3, 0.8, 0.9, "New page")]
-    rows = [(d, p, i, a, b, 0.8, 0.9, "body", t) for d, p, i, a, b, t in lines]
-    boxes = spark.createDataFrame(rows, "doc_id long, page_num int, box_idx int, x0 double, x1 double, y0 double, y1 double, label string, text string")
-    assert [r.text for r in aggregate.aggregate(boxes).collect()] == ["Begin and end.\n\nNew page"]
+    lines = [(0, 0.25, 0.0, 0.125, "Dear"), (0, 0.5, 0.0, 0.125, "reader,"), (0, 0.25, 0.25, 0.375, "far below"), (1, 0.25, 0.0, 0.125, "overleaf")]
+    rows = [(7, p, i, x, x + 0.25, a, b, "letter", t) for i, (p, x, a, b, t) in enumerate(lines)]
+    found = aggregate.aggregate(spark.createDataFrame(rows, KIND)).collect()
+    assert [(r.label, r.text, r.n_boxes) for r in found] == [("letter", "Dear reader,\n\nfar below\n\noverleaf", 4)]
 
 
 def test_merge():
