@@ -158,3 +158,18 @@ def test_empty(none):
     assert secret_scan.scan_secrets(none)[0].count() == 0
     assert quality_rules.quality_rules(none).count() == 0
     assert pii.find_pii(none).count() == 0
+
+
+def test_ledger_in_two_releases(spark, odd, rows):
+    """Rules added later scan only their own pairs, for blobs with and without findings; copies get theirs from the ledger."""
+    _, first = secret_scan.scan_secrets(odd, rules=secret_scan.RULES[:2])
+    ledger = secret_scan.extend_ledger(None, first)
+    found, more = secret_scan.scan_secrets(odd, ledger)
+    blobs = len({r[1] or "" for r in rows})
+    assert {r.rule for r in more.collect()} == {"hex"} and more.count() == blobs
+    assert Counter((r.doc_id, str(as_spans(r.spans))) for r in found.collect()) == Counter((r[0], str(secrets(r[1] or ""))) for r in rows)
+    grown = secret_scan.extend_ledger(ledger, more)
+    copies = spark.createDataFrame([(i, "token = abcdefgh1 " + "f" * 32) for i in range(300)], "doc_id long, text string")
+    found, more = secret_scan.scan_secrets(copies, grown)
+    assert more.count() == 3
+    assert {str(as_spans(r.spans)) for r in found.collect()} == {str([("assign", 0, 17), ("hex", 18, 50)])} and found.count() == 300
