@@ -111,16 +111,6 @@ def test_extract(spark, folder):
         extract.extract_boxes(docs, raise_on_error=True).collect()
 
 
-def test_style_runs_of_odd_lines(spark):
-    kind = "doc_id string, box_idx int, chars array<struct<ch:string,fontname:string,upright:boolean>>"
-    roman, bold = "Serif", "Serif-BOLD"
-    rows = [("d", 0, []), ("d", 1, None), ("d", 2, [(" ", roman, True), ("a", roman, True), (" ", bold, True), (" ", bold, True), ("b", bold, True), ("c", bold, False)]), ("d", 3, [(" ", roman, True)])]
-    found = extract.style_runs(spark.createDataFrame(rows, kind)).orderBy("box_idx", "run").collect()
-    assert [(r.box_idx, r.run, r.begin, r.end, r.fontname, r.italic, r.bold) for r in found] == [
-        (2, 0, 0, 0, None, None, None), (2, 1, 0, 1, roman, False, False), (2, 2, 2, 3, bold, False, True), (2, 3, 3, 4, bold, True, True), (3, 0, 0, 0, None, None, None),
-    ]
-
-
 def slow_cliques(near):
     n = len(near)
     ok = [s for s in range(1, 1 << n) if all(s & ~(near[i] | 1 << i) == 0 for i in range(n) if s >> i & 1)]
