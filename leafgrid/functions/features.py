@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,9 +70,15 @@ def ascii_fold(word: Column) -> Column:
 
 
 def word_shape(word: Column) -> Column:
-    """Upper-case letters as X, other letters as x, digits as d, runs cut at four; LONG from 100 on."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Lu}", "X"), r"(?!X)\p{L}", "x"), r"\p{Nd}", "d")
-    return F.when(F.length(word) >= 100, F.lit("LONG")).otherwise(F.regexp_replace(shape, r"(?s)(.)\1{4,}", "$1$1$1$1"))
+    """Upper-case letters as X, other letters as x, digits as d, runs cut at four; LONG from 100 on.
+
+    Words of ASCII alone, most of them, are translated character by character; patterns see the rest.
+    """
+    plain = F.translate(word, string.ascii_letters + string.digits, "x" * 26 + "X" * 26 + "d" * 10)
+    every = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Lu}", "X"), r"(?!X)\p{L}", "x"), r"\p{Nd}", "d")
+    shape = F.when(F.octet_length(word) == F.length(word), plain).otherwise(every)
+    cut = F.when(F.length(word) < 5, shape).otherwise(F.regexp_replace(shape, r"(?s)(.)\1{4,}", "$1$1$1$1"))
+    return F.when(F.length(word) >= 100, F.lit("LONG")).otherwise(cut)
 
 
 def affixes(words: DataFrame, col: str = "token") -> DataFrame:
