@@ -32,8 +32,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
-    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + eps)
+def layer_norm(x: np.ndarray, scale: np.ndarray | float = 1.0, shift: np.ndarray | float = 0.0, eps: float = 1e-5) -> np.ndarray:
+    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + eps) * scale + shift
 
 
 def grouped_linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
@@ -53,65 +53,142 @@ def gather(table: np.ndarray, index: np.ndarray) -> np.ndarray:
     return np.take_along_axis(table, np.broadcast_to(index, (len(table), *index.shape)), axis=-1)
 
 
+@dataclass(frozen=True)
+class Linear:
+    """x through weight (in, out) plus bias (out)."""
+
+    weight: np.ndarray
+    bias: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weight + self.bias
+
+
 @dataclass(frozen=True)
 class RelativeAttention:
-    """Attention with terms between contents and positions, each relative to the other box.
+    """Attention whose scores join contents with contents (c2c) and with places, both ways (c2p, p2c).
 
-    q, k, v: (size, heads * head) for contents; pos_q, pos_k: (positions, heads * head) for one
-    coordinate each.
+    places (n_places, size) embeds distances and is shared by both axes.  pos_query and pos_key are
+    (weight, bias) of grouped linear maps, one group for each coordinate: coordinate c meets the c-th
+    share of every head.  Terms are scaled by the root of the head's size, their sum by the root of
+    their number.
     """
 
-    q: np.ndarray
-    k: np.ndarray
-    v: np.ndarray
-    pos_q: tuple[np.ndarray, ...]
-    pos_k: tuple[np.ndarray, ...]
+    query: Linear
+    key: Linear
+    value: Linear
     heads: int
-
-    def __call__(self, x: np.ndarray, positions: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-        """x (n, size), positions (n, n, coordinates) -> (n, heads * head)."""
-        q, k, v = (make_heads(x @ w, self.heads) for w in (self.q, self.k, self.v))
-        scores, terms = q @ k.swapaxes(-1, -2), 1
-        for c, (pq, pk) in enumerate(zip(self.pos_q, self.pos_k, strict=True)):
-            places = len(pq)
-            at = np.clip(places // 2 + positions[..., c], 0, places - 1)
-            scores = scores + gather(q @ make_heads(pk, self.heads).swapaxes(-1, -2), at)
-            scores = scores + gather(k @ make_heads(pq, self.heads).swapaxes(-1, -2), at.T).swapaxes(-1, -2)
-            terms += 2
-        scores = scores / math.sqrt(q.shape[-1] * terms)
+    places: np.ndarray | None = None
+    pos_query: tuple[np.ndarray, np.ndarray] | None = None
+    pos_key: tuple[np.ndarray, np.ndarray] | None = None
+    modes: tuple[str, ...] = ("c2c", "c2p", "p2c")
+
+    def scores(self, x: np.ndarray, positions: np.ndarray | None = None, placed: np.ndarray | None = None) -> np.ndarray:
+        """(heads, n, n) for x (n, size) and positions (n, n, coordinates) of keys as queries see them.
+
+        Pairs that aren't placed (n, n) get no terms of position.
+        """
+        q, k = make_heads(self.query(x), self.heads), make_heads(self.key(x), self.heads)
+        size, terms = q.shape[-1], []
+        if "c2c" in self.modes:
+            terms.append(q @ k.swapaxes(-1, -2))
+        if positions is not None and self.places is not None:
+            at = np.clip(len(self.places) // 2 + positions, 0, len(self.places) - 1)
+            if "c2p" in self.modes:
+                terms.append(self._placed(q, self.pos_key, at, placed))
+            if "p2c" in self.modes:
+                terms.append(self._placed(k, self.pos_query, at.swapaxes(0, 1), None if placed is None else placed.T).swapaxes(-1, -2))
+        if not terms:
+            raise ValueError("no term is left: positions are missing")
+        return sum(terms) / math.sqrt(size * len(terms))
+
+    def _placed(self, contents: np.ndarray, projection: tuple[np.ndarray, np.ndarray], at: np.ndarray, placed: np.ndarray | None) -> np.ndarray:
+        coordinates = at.shape[-1]
+        table = grouped_linear(self.places, *projection).reshape(len(self.places), coordinates, self.heads, -1)
+        shares = np.split(contents, coordinates, axis=-1)
+        out = sum(gather(shares[c] @ table[:, c].transpose(1, 2, 0), at[..., c]) for c in range(coordinates))
+        return out if placed is None else np.where(placed, out, 0.0)
+
+    def __call__(self, x: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None, placed: np.ndarray | None = None) -> np.ndarray:
+        """(n, heads * head); keys whose mask (n) is false take no part."""
+        scores = self.scores(x, positions, placed)
         if mask is not None:
             scores = np.where(mask, scores, -10000.0)
-        return (softmax(scores) @ v).swapaxes(0, 1).reshape(len(x), -1)
+        return (softmax(scores) @ make_heads(self.value(x), self.heads)).swapaxes(0, 1).reshape(len(x), -1)
+
+
+@dataclass(frozen=True)
+class TransformerLayer:
+    """Attention, then a two-layer step; each is added through a gate and normalised.
+
+    Gates of 0 leave only the norms at work, gates of 1 give the usual layer.  norms are (scale, shift).
+    """
+
+    attention: RelativeAttention
+    up: Linear
+    down: Linear
+    norms: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    gates: tuple[float, float] = (0.0, 0.0)
+    activation: str = "gelu"
+
+    def __call__(self, x: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None, placed: np.ndarray | None = None) -> np.ndarray:
+        x = layer_norm(x + self.attention(x, positions, mask, placed) * self.gates[0], *self.norms[0])
+        return layer_norm(x + self.down(ACTIVATIONS[self.activation](self.up(x))) * self.gates[1], *self.norms[1])
 
 
 @dataclass(frozen=True)
 class BoxTransformer:
-    """Layers of relative attention and a gated feed-forward step; an empty token stands for the page."""
+    """Layers over the boxes of a page, ahead of which an empty token without a place stands."""
 
-    layers: tuple[tuple[RelativeAttention, np.ndarray, np.ndarray, np.ndarray], ...]
+    layers: tuple[TransformerLayer, ...]
     empty: np.ndarray
-    activation: str = "gelu"
 
     @staticmethod
-    def seeded(size: int, heads: int = 2, layers: int = 1, places: int = 64, seed: int = 0) -> BoxTransformer:
-        """Weights drawn from a seed: for tests and as a starting point."""
+    def seeded(size: int, heads: int = 2, layers: int = 2, places: int | None = 64, seed: int = 0, gate: float = 1.0, activation: str = "gelu", modes: tuple[str, ...] = ("c2c", "c2p", "p2c")) -> BoxTransformer:
+        """Weights drawn from a seed, for tests and as a starting point; the layers share one table of places."""
+        if size % (2 * heads):
+            raise ValueError("size must be a multiple of twice the heads")
         rng = np.random.default_rng(seed)
-        w = lambda *shape: rng.normal(0, 1 / math.sqrt(shape[0]), shape)
-        made = tuple(
-            (RelativeAttention(w(size, size), w(size, size), w(size, size), (w(places, size), w(places, size)), (w(places, size), w(places, size)), heads), w(size, size), w(size, 2 * size), w(2 * size, size))
-            for _ in range(layers)
-        )
-        return BoxTransformer(made, w(1, size)[0])
-
-    def __call__(self, x: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        draw = lambda *shape: rng.normal(0, 1 / math.sqrt(shape[-2]), shape)
+        linear = lambda n, m: Linear(draw(n, m), draw(1, m)[0])
+        grouped = lambda: (draw(2, size // 2, size // 2), draw(2, size // 2))
+        table = None if places is None else rng.normal(0, 1, (places, size))
+        inner = size if activation == "glu" else 2 * size
+        made = []
+        for _ in range(layers):
+            attention = RelativeAttention(linear(size, size), linear(size, size), linear(size, size), heads, table, *((None, None) if table is None else (grouped(), grouped())), modes)
+            norms = ((np.ones(size), np.zeros(size)), (np.ones(size), np.zeros(size)))
+            made.append(TransformerLayer(attention, linear(size, 2 * size), linear(inner, size), norms, (gate, gate), activation))
+        return BoxTransformer(tuple(made), rng.normal(0, 1, size))
+
+    def __call__(self, x: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None) -> np.ndarray:
         n = len(x)
-        x = np.concatenate([x, self.empty[None]])
-        at = np.zeros((n + 1, n + 1, positions.shape[-1]), int)
-        at[:n, :n] = positions
-        for attention, out, up, down in self.layers:
-            x = layer_norm(x + attention(x, at) @ out)
-            x = layer_norm(x + ACTIVATIONS[self.activation](x @ up) @ down)
-        return x[:n]
+        x = np.concatenate([self.empty[None], x])
+        at = placed = None
+        if positions is not None:
+            at = np.zeros((n + 1, n + 1, positions.shape[-1]), int)
+            at[1:, 1:] = positions
+            placed = np.zeros((n + 1, n + 1), bool)
+            placed[1:, 1:] = True
+        if mask is not None:
+            mask = np.concatenate([[True], mask])
+        for layer in self.layers:
+            x = layer(x, at, mask, placed)
+        return x[1:]
+
+
+def page_positions(x0: np.ndarray, y0: np.ndarray, y1: np.ndarray, n: int = 64) -> np.ndarray:
+    """(boxes, boxes, 2): grid steps and lines from each box to every other, as in ``relative_positions``."""
+    dx = np.trunc((x0[None] - x0[:, None]) * n)
+    height = y1 - y0
+    ref = np.where(y0[None] >= y0[:, None], height[:, None], height[None])
+    far, near = y1[None] - y0[:, None], y0[None] - y1[:, None]
+    below, above = (far > -0.5) & (near > -0.5), (far < 0.5) & (near < 0.5)
+    reach = np.where(below, np.minimum(far, near), np.maximum(far, near))
+    lines = reach / np.where(ref == 0, 1.0, ref)
+    dy = np.where(below, np.ceil(lines + 0.5), np.floor(lines - 0.5))
+    dy = np.where(ref == 0, np.sign(reach) * n, dy)
+    return np.stack([dx, np.where(below | above, dy, 0)], -1).astype(int)
 
 
 def cnn_pool(words: np.ndarray, kernels: dict[int, np.ndarray], out: np.ndarray, activation: str = "relu") -> np.ndarray:
@@ -135,11 +212,7 @@ def contextualise(boxes: DataFrame, model: BoxTransformer, embedding_col: str =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("box_idx")
-        x0, y0, y1 = (pdf[c].to_numpy() for c in ("x0", "y0", "y1"))
-        height = np.where(y1 - y0 == 0, 1.0, y1 - y0)
-        dx = np.trunc((x0[None] - x0[:, None]) * n)
-        dy = np.rint((y0[None] - y0[:, None]) / height[:, None])
-        positions = np.clip(np.stack([dx, dy], -1), -n, n).astype(int)
+        positions = page_positions(*(pdf[c].to_numpy(float) for c in ("x0", "y0", "y1")), n)
         out = model(np.array(pdf[embedding_col].tolist(), float), positions)
         return pdf.assign(**{out_col: list(out)})
 
