@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 # Quotation marks that count as punctuation beside the punctuation and symbol classes.
@@ -87,13 +88,32 @@ def affixes(words: DataFrame, col: str = "token") -> DataFrame:
     return words.withColumns({"prefix": F.left(low, F.lit(3)), "suffix": F.right(low, F.lit(3)), "norm": low})
 
 
-def build_vocabulary(values: DataFrame, value_col: str, order_cols: tuple[str, ...]) -> DataFrame:
-    """value, idx: distinct values numbered from 1 in order of first appearance; 0 is the unknown.
+def numbered(rows: DataFrame, order: tuple[str, ...], out_col: str) -> DataFrame:
+    """Adds out_col: places of rows from 0 in the given order.
 
-    One row for each value reaches the numbering, which is a global sort of a table of distinct values.
+    Ranges of the first column of the order, bounded by a sample of at most 32 keys for each shuffle
+    partition, are numbered side by side; their sizes, one number a range, go through the driver.  The
+    bounds are literals, so a task that runs again deals alike.  Rows with one value of that column
+    share a task.
     """
-    first = values.groupBy(F.col(value_col).alias("value")).agg(F.min(F.struct(*order_cols)).alias("__at"))
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("__at", "value"))).drop("__at")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(order[0])
+    sample = sorted(r[0] for r in rows.filter(key.isNotNull()).select(key).orderBy(F.xxhash64(key)).limit(32 * parts).collect())
+    bounds = sorted({sample[i] for i in range(32, len(sample), 32)})
+    kind = rows.schema[order[0]].dataType
+    limits = F.array(*map(F.lit, bounds)).cast(ArrayType(kind))
+    dealt = rows.withColumn("__range", F.coalesce(F.size(F.filter(limits, lambda x: x <= key)), F.lit(0)) if bounds else F.lit(0))
+    sizes = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
+    offsets = list(accumulate((sizes.get(i, 0) for i in range(len(bounds) + 1)), initial=0))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn(out_col, place + F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__range"))).drop("__range")
+
+
+def build_vocabulary(values: DataFrame, value_col: str, order_cols: tuple[str, ...]) -> DataFrame:
+    """value, idx: distinct values numbered from 1 in order of first appearance; 0 is the unknown."""
+    spots = [f"__at{i}" for i in range(len(order_cols))]
+    first = values.groupBy(F.col(value_col).alias("value")).agg(F.min(F.struct(*[F.col(c).alias(s) for c, s in zip(order_cols, spots, strict=True)])).alias("__at"))
+    return numbered(first.select("value", "__at.*"), (*spots, "value"), "idx").select("value", (F.col("idx") + 1).alias("idx"))
 
 
 def encode(values: DataFrame, vocabulary: DataFrame, value_col: str, out_col: str = "idx", default: int = 0) -> DataFrame:
@@ -171,13 +191,8 @@ def linear_schedule(step: Column, total: int, peak: float, start: float = 0.0, w
 
 
 def batch_docs(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
-    """Adds batch: consecutive documents, size in each.
-
-    Places follow from counts of sorted partitions, so no task sees all rows.
-    """
-    ordered = docs.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    rows = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] // size))
-    return docs.sparkSession.createDataFrame(rows, StructType([*docs.schema.fields, StructField("batch", LongType())]))
+    """Adds batch: consecutive documents, size in each."""
+    return numbered(docs, (key,), "batch").withColumn("batch", F.floor(F.col("batch") / size))
 
 
 def batch_by_count(docs: DataFrame, size: int, count_col: str, group_col: str, key: str = "doc_id") -> DataFrame:
