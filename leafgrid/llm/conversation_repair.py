@@ -255,30 +255,27 @@ class _Segment:
         return r
 
 
-def _segments(grammar: Grammar, fields: list[pa.Field]):
-    """A conversation is whole if the task has turns of others before and behind it and one segment holds it."""
+def _segments(grammar: Grammar, fields: list[pa.Field], size: int):
+    """Segments, numbered in each task; one is whole if the task has turns of other conversations before and behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chart, part, now, no, out, schema = Chart(grammar), TaskContext.get().partitionId(), None, 0, [], None
-        inner = False
+        fresh = False  # whether the segment begins a conversation, which is not known of a task's first
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field(0), *fields])
             for conv, turn, role, text, copies, fault in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                other = now is None or now.row["conv_id"] != conv
-                if now is not None and (other or len(now.row["roles"]) >= SEGMENT or now.chars >= SEGMENT_CHARS):
-                    fresh = inner and now.row["no"] == 0
+                other = now is not None and now.row["conv_id"] != conv
+                if other or now is not None and (len(now.row["roles"]) >= size or now.chars >= SEGMENT_CHARS):
                     out.append(now.close(chart, fresh, fresh and other))
-                    inner, no = inner or other, 0 if other else no + 1
-                    now = _Segment(grammar, conv, part, no)
+                    fresh, no, now = other, no + 1, None
                     if len(out) >= 64:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
-                if now is None:
-                    now = _Segment(grammar, conv, part, no)
+                now = now or _Segment(grammar, conv, part, no)
                 if copies:
                     now.add(turn, role, text, copies, fault)
         if now is not None:
-            out.append(now.close(chart, inner and now.row["no"] == 0, False))
+            out.append(now.close(chart, fresh, False))
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
@@ -318,12 +315,12 @@ def _ways(grammar: Grammar):
     return run
 
 
-def _chosen(turns: DataFrame, grammar: Grammar) -> tuple[DataFrame, StructField]:
+def _chosen(turns: DataFrame, grammar: Grammar, size: int) -> tuple[DataFrame, StructField]:
     """Segments with the way through each and the numbers of their conversations."""
     conv = turns.schema["conv_id"]
     dealt = _faults(turns).repartitionByRange(partitions(turns), "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
     fields = StructType.fromDDL(_SEGMENT)
-    segments = materialise(dealt.mapInArrow(_segments(grammar, list(to_arrow_schema(fields))), StructType([conv, *fields])), "segments")
+    segments = materialise(dealt.mapInArrow(_segments(grammar, list(to_arrow_schema(fields)), size), StructType([conv, *fields])), "segments")
     gaps = F.coalesce(F.col("last") - F.col("first") + 1 - F.col("turns"), F.lit(0).cast("long"))
     keep = ["conv_id", "part", "no", "whole", "roles", "texts", "faults", "copies"]
     settled = segments.filter("whole").select(*keep, "entry", "exit", F.lit(True).alias("ends"), gaps.alias("gaps"), *_NUMBERS[1:])
@@ -333,9 +330,9 @@ def _chosen(turns: DataFrame, grammar: Grammar) -> tuple[DataFrame, StructField]
     return settled.unionByName(parted.select(*keep).join(ways, ["part", "no"])), conv
 
 
-def repaired_turns(turns: DataFrame, grammar: Grammar = Grammar()) -> DataFrame:
+def repaired_turns(turns: DataFrame, grammar: Grammar = Grammar(), segment: int = SEGMENT) -> DataFrame:
     """conv_id, part, no, place, role, text of the repaired conversations, ordered within each by (part, no, place)."""
-    segments, conv = _chosen(turns, grammar)
+    segments, conv = _chosen(turns, grammar, segment)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chart = Chart(grammar)
@@ -347,7 +344,7 @@ def repaired_turns(turns: DataFrame, grammar: Grammar = Grammar()) -> DataFrame:
     return segments.mapInArrow(run, StructType([conv, *StructType.fromDDL("part int, no int, place int, role string, text string").fields]))
 
 
-def repair_conversations(turns: DataFrame, grammar: Grammar = Grammar()) -> DataFrame:
+def repair_conversations(turns: DataFrame, grammar: Grammar = Grammar(), segment: int = SEGMENT) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 for each conversation of turns(conv_id, turn, role, text, copies).
 
     Turns go by number, nulls first, then role and text.  A turn's first fault counts: blank, a
@@ -357,7 +354,7 @@ def repair_conversations(turns: DataFrame, grammar: Grammar = Grammar()) -> Data
     a role without an initial fits nowhere as it is; equal rows are copies; an empty table gives no
     rows; other columns are ignored.  Roles and texts are not null (see ``damage``).
     """
-    segments, conv = _chosen(turns.select("conv_id", "turn", "role", "text", "copies"), grammar)
+    segments, conv = _chosen(turns.select("conv_id", "turn", "role", "text", "copies"), grammar, segment)
     numbers = pa.schema([(n, pa.int64()) for n in _NUMBERS])
     out = StructType([conv, *StructType.fromDDL(", ".join(f"{n} bigint" for n in _NUMBERS) + ", audit string, repaired_sha256 string").fields])
 
