@@ -54,6 +54,23 @@ def derive_boxes(documents: DataFrame, varied: bool = False) -> DataFrame:
     ).withColumn("page_num", F.col("page_num").cast("int"))
 
 
+def derive_chars(documents: DataFrame) -> DataFrame:
+    """The characters of a document's lines on pages of 512 by 1024 units, y upwards; blanks leave a gap.
+
+    Every fourth line is followed by a wider gap, every 13th line is twice as high, and every 40
+    characters there is a gutter, so that lines break into columns and pages into blocks.  What a
+    line has beyond 120 characters lies on pages of its own.
+    """
+    chars = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    chars = chars.select("doc_id", "i", F.posexplode(F.split("text", "")).alias("k", "ch")).filter(~F.col("ch").rlike(r"^\s*$"))
+    y0 = "1024D - 20 * (i % 32 + 1) - 12 * (i % 32 div 4) + (doc_id + i) % 3"
+    x0 = "((7 * doc_id + 3 * i) % 8) * 4D + 8 * (k % 120) + 20 * (k % 120 div 40)"
+    return chars.selectExpr(
+        "doc_id", f"cast(i div {LINES_PER_PAGE} + 100 * (k div 120) as int) AS page_num", "i * 1000000L + k AS pos", f"{x0} AS x0", f"{x0} + 8 AS x1", f"{y0} AS y0",
+        f"{y0} + CASE WHEN i % 13 = 0 THEN 32 ELSE 16 END AS y1", "ch",
+    )
+
+
 def derive_props(boxes: DataFrame) -> DataFrame:
     """Two styles for each box: its first half bold on every third line, the rest italic on every fifth."""
     half = "length(text) div 2"

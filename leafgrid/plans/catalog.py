@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, layers
-from ..model import derive_annotations, derive_boxes, derive_props
-from ..operators import aggregate, classify, extract, geometry, metrics
+from ..model import derive_annotations, derive_boxes, derive_chars, derive_props
+from ..operators import aggregate, classify, extract, geometry, layout, metrics
+from ..runtime import settle
 
 MASKS = {"header": (0, 0, 1, 0.125), "body": (0, 0.125, 0.75, 0.9375)}
 LABEL_MAP = {"main": ["body", "header"], "copy": ["body"], "none": ["absent"]}
@@ -45,6 +46,27 @@ def style_runs(spark, sf_dir):
     return extract.style_runs(lines.filter("ch <> ''").withColumns({"fontname": font, "upright": F.expr("pos % 11 <> 0")}))
 
 
+def _layout_lines(spark, sf_dir):
+    return layout.lines_of_chars(derive_chars(_read(spark, sf_dir, "documents")))
+
+
+def layout_lines(spark, sf_dir):
+    return _layout_lines(spark, sf_dir)
+
+
+def layout_blocks(spark, sf_dir):
+    return layout.blocks_of_lines(settle(_layout_lines(spark, sf_dir))).select("doc_id", "page_num", "line_idx", "block")
+
+
+def block_order(spark, sf_dir):
+    return layout.block_order(layout.blocks_of_lines(settle(_layout_lines(spark, sf_dir))))
+
+
+def lines_in_order(spark, sf_dir):
+    blocks = settle(layout.blocks_of_lines(settle(_layout_lines(spark, sf_dir))))
+    return layout.lines_in_order(blocks, layout.block_order(blocks, None)).select("doc_id", "page_num", "block", "box_idx", "text")
+
+
 def extract_error_policy(spark, sf_dir):
     pages = extract.ensure_doc(_read(spark, sf_dir, "pages"), "html", None, "url")
     return extract.error_policy(pages, "contains(lower(html), '</html>')").select("page_id", "error", F.length("html").alias("n_chars"))
@@ -244,7 +266,7 @@ def box_transformer(spark, sf_dir):
 
 
 _ALL = (
-    text_boxes, page_filter_normalise, style_runs, extract_error_policy, mask_classify, multi_mask_classify, dummy_classify, random_classify, align_annotations,
+    layout_lines, layout_blocks, block_order, lines_in_order, text_boxes, page_filter_normalise, style_runs, extract_error_policy, mask_classify, multi_mask_classify, dummy_classify, random_classify, align_annotations,
     adapt_annotations, renumber_boxes, aggregate_simple, aggregate_sorted, aggregate_label_map, aggregate_styles, aggregate_markdown, reading_order_center, reading_order,
     merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, affixes,
     vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
@@ -298,6 +320,22 @@ pieces AS (SELECT *, text || CASE WHEN is_last THEN '' WHEN page_num <> np THEN
 texts AS (SELECT doc_id, label, string_agg(piece, '' ORDER BY ord) AS text, count(*) AS n_boxes FROM pieces GROUP BY doc_id, label)"""
 
 
+_LINES = """chars AS (SELECT doc_id, CAST(i // 32 + 100 * (k // 120) AS INTEGER) AS page_num, i * 1000000 + k AS pos, ((7 * doc_id + 3 * i) % 8) * 4.0::DOUBLE + 8 * (k % 120) + 20 * (k % 120 // 40) AS x0,
+  1024.0::DOUBLE - 20 * (i % 32 + 1) - 12 * (i % 32 // 4) + (doc_id + i) % 3 AS y0, CASE WHEN i % 13 = 0 THEN 32 ELSE 16 END AS h, ch
+  FROM (SELECT doc_id, i, unnest(range(length(t))) AS k, unnest(string_split(t, '')) AS ch FROM (SELECT doc_id, unnest(range(len(ts))) AS i, unnest(ts) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ts FROM documents)) WHERE length(t) > 0)
+  WHERE NOT regexp_matches(ch, '^\\s*$')),
+near AS (SELECT *, lag(x0 + 8) OVER w AS px, lag(x0) OVER w AS px0, lag(y0) OVER w AS py, lag(h) OVER w AS ph FROM chars WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY pos)),
+on_ AS (SELECT *, coalesce(py <= y0 + h AND y0 <= py + ph AND least(h, ph) * 0.5 < least(abs(py - y0 - h), abs(py + ph - y0)) AND CASE WHEN px0 <= x0 + 8 AND x0 <= px THEN 0 ELSE least(abs(px0 - x0 - 8), abs(px - x0)) END < 8 * 2.05, false) AS cont FROM near),
+numbered AS (SELECT *, CAST(sum(CASE WHEN cont THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_num ORDER BY pos) - 1 AS INTEGER) AS line_idx FROM on_),
+tl AS (SELECT doc_id, page_num, line_idx, min(x0) AS x0, max(x0 + 8) AS x1, min(y0) AS y0, max(y0 + h) AS y1, string_agg(CASE WHEN cont AND px < x0 - 0.1 * greatest(8, h) THEN ' ' ELSE '' END || ch, '' ORDER BY pos) AS text, count(*) AS n_chars FROM numbered GROUP BY doc_id, page_num, line_idx)"""
+_BLOCKS = f"""{_LINES},
+tn AS (SELECT a.doc_id, a.page_num, a.line_idx AS a, b.line_idx AS b, (a.y1 - a.y0) * 0.5 AS d, a.x0 AS ax0, a.x1 AS ax1, b.x0 AS bx0, b.x1 AS bx1 FROM tl a JOIN tl b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.line_idx <> b.line_idx
+  WHERE b.x1 > a.x0 AND b.x0 < a.x1 AND b.y1 > a.y0 - (a.y1 - a.y0) * 0.5 AND b.y0 < a.y1 + (a.y1 - a.y0) * 0.5 AND abs(b.y1 - b.y0 - a.y1 + a.y0) <= (a.y1 - a.y0) * 0.5),
+te AS (SELECT doc_id, page_num, a, b FROM tn WHERE abs(bx0 - ax0) <= d OR abs(bx1 - ax1) <= d OR abs((bx0 + bx1) / 2 - (ax0 + ax1) / 2) <= d),
+tt AS (SELECT doc_id, page_num, a, b FROM te UNION SELECT doc_id, page_num, b, a FROM te),
+tr AS (SELECT doc_id, page_num, line_idx AS v, line_idx AS root FROM tl UNION SELECT tr.doc_id, tr.page_num, tt.b, tr.root FROM tr JOIN tt ON tr.doc_id = tt.doc_id AND tr.page_num = tt.page_num AND tr.v = tt.a AND tr.root < tt.b),
+tb AS (SELECT tl.*, r.block FROM tl JOIN (SELECT doc_id, page_num, v, min(root) AS block FROM tr GROUP BY doc_id, page_num, v) r ON tl.doc_id = r.doc_id AND tl.page_num = r.page_num AND tl.line_idx = r.v)"""
+
 _B, _V = f"WITH {_sql_boxes()}", f"WITH {_sql_boxes(True)}"
 _M = _sql_masks(MASKS, 0.5)
 _DRAW = "(((doc_id % 1000003 * 7919 + box_idx * 104729 + 7) * 48271) % 2147483647) / 2147483647.0"
@@ -315,6 +353,11 @@ for _c in ("X", "x", "d", "!", "%", "&", "\\*", "\\$", "\\|", "-", "\\."):
     _CUT = f"regexp_replace({_CUT}, '{_c}{{5,}}', '{_c.strip(chr(92)) * 4}', 'g')"
 
 ORACLES: dict[str, str] = {
+    "layout_lines": f"WITH {_LINES} SELECT * FROM tl",
+    "layout_blocks": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, page_num, line_idx, block FROM tb",
+    "lines_in_order": f"""WITH RECURSIVE {_BLOCKS}, tm AS (SELECT doc_id, page_num, block, min(x0) AS left_, min(y0) AS low FROM tb GROUP BY doc_id, page_num, block)
+        SELECT tb.doc_id, tb.page_num, tb.block, CAST(row_number() OVER (PARTITION BY tb.doc_id ORDER BY tb.page_num, low DESC, left_, tb.block, y1 DESC, line_idx) - 1 AS INTEGER) AS box_idx, text
+        FROM tb JOIN tm ON tb.doc_id = tm.doc_id AND tb.page_num = tm.page_num AND tb.block = tm.block""",
     "text_boxes": f"{_B} SELECT doc_id, page_num, box_idx, x0, x1, y0, y1, text FROM boxes WHERE length(text) > 0 AND x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1",
     "page_filter_normalise": f"{_V} SELECT doc_id, page_num, box_idx, x0, x1, y0, y1, text FROM boxes WHERE length(text) > 0 AND x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1",
     "style_runs": f"""{_B}, chars AS (SELECT doc_id, box_idx, unnest(range(length(text))) AS pos, unnest(string_split(text, '')) AS ch FROM boxes WHERE length(text) > 0),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,3 +17,21 @@ def importable_on_workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([HOME, *paths])
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder of ``spark.checkpoint.dir`` and read again, which cuts its lineage.
+
+    A session that sets none gets a temporary folder if it is local, and an error otherwise.  Tables go when the session ends.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="leafgrid-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/leafgrid/{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
