@@ -1,16 +1,16 @@
 """Similarity join of documents by Jaccard similarity of their word shingles, with its components.
 
 Documents with equal shingle sets form one class, and classes are joined.  A token is a shingle's
-hash.  Tokens are counted over the whole corpus and fall into three classes: unique ones, rare ones
-(in at most RARE documents) and frequent ones.  Sets are ordered unique, rare, frequent, and a set's
-prefix is as long as the number of tokens that a linked set may lack, plus one: linked sets share a
-token within both prefixes.  A set whose prefix is all unique is linked with nothing and leaves.
-Rare tokens of a prefix are indexed alone, and all pairs that share one are candidates.  Where a
-prefix reaches the frequent tokens it is extended, and combinations of k consecutive frequent tokens
-are indexed: two linked sets without a common rare token have e differing frequent tokens at most, so
+hash.  Tokens are counted over the whole corpus and fall into classes: unique ones, rare ones
+(in at most RARE documents) and frequent ones, which have tiers by the digits of their count.  Sets
+are ordered by class and tier, and a set's prefix is as long as the number of tokens that a linked
+set may lack, plus one: linked sets share a token within both prefixes.  A set whose prefix is all
+unique is linked with nothing and leaves.  Rare and cool tokens (in fewer than 2**COOL documents) of
+a prefix are indexed alone.  A prefix that reaches tokens beyond is extended, and combinations of k
+consecutive frequent tokens are indexed: two linked sets without a common rare token have e differing frequent tokens at most, so
 of their first (k-1)(e+1)+1 common ones some k follow each other in both.  Texts that share a common
-passage have it at the end of their order and seldom reach it.  Candidates are verified on the whole
-sets.
+passage or template have it at the end of their order and seldom reach it.  Candidates within the
+bounds of unique tokens and bitmaps are verified on the whole sets.
 
 Scale: the count moves about 4 bytes for each token, packed and dealt by hash into parts whose number
 follows the input; a token in very many documents sends RARE + 1 entries per task.  Equal sets of a
@@ -45,10 +45,12 @@ from .storage import forget, materialise, only_rows, row_key
 
 SHINGLE, PERCENT = 4, 85
 RARE, BLOCK, FLUSH, LATE, BITS = 4, 16, 1 << 20, 1024, 1024
+#: Frequent tokens by the binary digits of how many documents have them: those in fewer than 64 are cool.
+COOL, _TIER, _UNKNOWN = 6, 6, 63
 _ROW = "part int, kind int, block bigint, payload binary"
 _LIST, _HEAD, _ANSWER = 0, 1, 2
 _KEYS, _PAIRS = 0, 1
-_SET = "cid bigint, n bigint, rest bigint, rare binary, many binary, alone bigint, bits binary"
+_SET = "cid bigint, n bigint, rest bigint, rare binary, many binary, alone bigint, bits binary, cool binary"
 _HALF = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -125,14 +127,15 @@ def _tokens(parts: int, k: int, percent: int, seed: int):
         found = [(home, _HEAD, block, cid.tobytes() + n.tobytes())]
         known = np.flatnonzero((length > RARE) & (place > RARE))
         if len(known):
-            found.append((home, _ANSWER, block, _answer(token[known], doc[known], np.ones(len(known), bool))))
+            found.append((home, _ANSWER, block, _answer(token[known], doc[known], np.full(len(known), _UNKNOWN))))
         go = place <= RARE
+        stands = np.where(place == RARE, length - RARE, 1).astype(np.uint32)[go]
         token, doc = token[go], doc[go]
         part = (token >> _HALF).astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         low = (token & _LOW).astype(np.uint32)
         for lo, hi in zip(edge, np.append(edge[1:], len(part)), strict=True):
-            found.append((int(part[lo]), _LIST, block, pack_planes(np.diff(low[lo:hi], prepend=np.uint32(0)), doc[lo:hi])))
+            found.append((int(part[lo]), _LIST, block, pack_planes(np.diff(low[lo:hi], prepend=np.uint32(0)), doc[lo:hi], stands[lo:hi])))
         return _rows(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,26 +158,31 @@ def _tokens(parts: int, k: int, percent: int, seed: int):
     return run
 
 
-def _answer(token: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> bytes:
-    return pack_planes((token >> _HALF).astype(np.uint32), (token & _LOW).astype(np.uint32), doc * np.uint32(2) + frequent.astype(np.uint32))
+def _answer(token: np.ndarray, doc: np.ndarray, tier: np.ndarray) -> bytes:
+    return pack_planes((token >> _HALF).astype(np.uint32), (token & _LOW).astype(np.uint32), (doc << np.uint32(_TIER)) | tier.astype(np.uint32))
+
+
+def _digits(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype(np.float64))[1]
 
 
 def _count(parts: int):
-    """Tell each block which of its documents' tokens are rare and which frequent; unique ones aren't told."""
+    """Tell each block its documents' tokens that others have too: tier 0 if rare, else the digits of their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blocks, lows, docs = None, [], [], []
+        part, blocks, lows, docs, stands = None, [], [], [], []
         for batch in batches:
             kind = batch.column(1).to_numpy()
             rest = np.flatnonzero(kind != _LIST)
             if len(rest):
                 yield batch.take(pa.array(rest))
             for i in np.flatnonzero(kind == _LIST):
-                delta, doc = unpack_planes(batch.column(3)[i].as_py(), 2)
+                delta, doc, stand = unpack_planes(batch.column(3)[i].as_py(), 3)
                 part = batch.column(0)[i].as_py()
                 blocks.append(batch.column(2)[i].as_py())
                 lows.append(np.cumsum(delta, dtype=np.uint32))
                 docs.append(doc)
+                stands.append(stand)
         if not blocks:
             return
         source = np.repeat(np.arange(len(blocks), dtype=np.uint32), [len(x) for x in lows])
@@ -182,26 +190,47 @@ def _count(parts: int):
         order.sort()
         low, at = order >> _HALF, (order & _LOW).astype(np.int64)
         _, length = _runs(low)
-        hit = length > 1
-        low, at, frequent = low[hit], at[hit], length[hit] > RARE
+        begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        count = np.repeat(np.add.reduceat(np.concatenate(stands)[at].astype(np.int64), begin), length[begin])
+        hit = count > 1
+        low, at, count = low[hit], at[hit], count[hit]
         doc, source = np.concatenate(docs)[at], source[at]
         token = (np.uint64(part) << _HALF) | low
-        for b, (t, d, f) in by_part(source.astype(np.int64), token, doc, frequent):
+        for b, (t, d, f) in by_part(source.astype(np.int64), token, doc, np.where(count > RARE, _digits(count), 0)):
             yield _rows([(blocks[b] % parts, _ANSWER, blocks[b], _answer(t, d, f))])
 
     return run
 
 
+def _told(token: np.ndarray, tier: np.ndarray) -> np.ndarray:
+    """Tiers with those that a block didn't know taken from its own entries of the same token."""
+    if not len(token):
+        return tier
+    order = np.argsort(token, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    known = np.maximum.reduceat(np.where(tier == _UNKNOWN, 0, tier)[order], begin)
+    out = np.empty_like(tier)
+    out[order] = np.repeat(known, np.diff(np.append(begin, len(token))))
+    return out
+
+
 def _prefixes(percent: int):
     """The sets that may be linked: class, size, unique and rare tokens, prefix of rare and of frequent ones,
-    unique tokens, and a bitmap in which every other token turns a bit."""
+    unique tokens, a bitmap in which every other token turns a bit, and the cool tokens of the prefix.
+
+    Frequent tokens go by their tier, so a prefix has the least frequent ones.  A prefix without a
+    token beyond the cool ones needs no combinations: what it shares with a linked set's is rare or cool.
+    """
 
     def settle(head: bytes, answers: list[bytes]) -> pa.RecordBatch:
         cid, n = np.frombuffer(head, np.int64).reshape(2, -1)
         high, low, mark = (np.concatenate(x) for x in zip(*(unpack_planes(a, 3) for a in answers), strict=True)) if answers else (np.zeros(0, np.uint32),) * 3
         token = (high.astype(np.uint64) << _HALF) | low
-        order = np.lexsort((token, mark))  # by document, then rare before frequent, then token
-        token, doc, frequent = token[order], (mark[order] >> np.uint32(1)).astype(np.int64), (mark[order] & np.uint32(1)).astype(bool)
+        tier = _told(token, (mark & np.uint32(_UNKNOWN)).astype(np.int64))
+        doc = (mark >> np.uint32(_TIER)).astype(np.int64)
+        order = np.lexsort((token, tier, doc))
+        token, doc, tier = token[order], doc[order], tier[order]
+        frequent = tier > 0
         rare, many = np.bincount(doc[~frequent], minlength=len(n)), np.bincount(doc[frequent], minlength=len(n))
         need = -(-percent * n // 100)
         at = np.concatenate([[0], np.cumsum(rare + many)])
@@ -209,15 +238,16 @@ def _prefixes(percent: int):
         for i in np.flatnonzero(rare + many >= need):
             unique = int(n[i] - rare[i] - many[i])
             reach = max(0, int(n[i] - need[i]) + 1 - unique)
-            mine = token[at[i] : at[i + 1]]
+            mine, late = token[at[i] : at[i + 1]], tier[at[i] + rare[i] : at[i] + max(rare[i], reach)]
             own, rest = mine[: min(reach, rare[i])], unique + int(rare[i])
             differ = (100 - percent) * int(n[i]) // percent - rest
-            far = max(combination_sizes(int(n[i]), percent), default=0) * (differ + 1) if reach > rare[i] else 0
+            far = max(combination_sizes(int(n[i]), percent), default=0) * (differ + 1) if (late > COOL).any() else 0
             bits = np.packbits(np.bincount(mix(mine) % np.uint64(BITS), minlength=BITS) % 2 == 1)
-            out.append((int(cid[i]), int(n[i]), rest, own.tobytes(), mine[rare[i] : rare[i] + far].tobytes(), unique, bits.tobytes()))
-        columns = zip(*out, strict=True) if out else [()] * 7
+            cool = mine[rare[i] : rare[i] + len(late)][late <= COOL]
+            out.append((int(cid[i]), int(n[i]), rest, own.tobytes(), mine[rare[i] : rare[i] + far].tobytes(), unique, bits.tobytes(), cool.tobytes()))
+        columns = zip(*out, strict=True) if out else [()] * 8
         long, raw = pa.int64(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (long, long, long, raw, raw, long, raw), strict=True)], ["cid", "n", "rest", "rare", "many", "alone", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (long, long, long, raw, raw, long, raw, raw), strict=True)], ["cid", "n", "rest", "rare", "many", "alone", "bits", "cool"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, head, answers = None, None, []
@@ -262,10 +292,13 @@ def _rare_tokens(batch: pa.RecordBatch) -> Iterator[Entries]:
 
 
 def _combinations(percent: int):
-    """(key, class, size, tokens of its own) of every combination."""
+    """(key, class, size, tokens of its own) of every cool token and every combination."""
 
     def tokens(batch: pa.RecordBatch) -> Iterator[Entries]:
-        for cid, n, rest, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+        for cid, n, rest, raw, cool in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 7)), strict=True):
+            if cool:
+                key = mix(np.frombuffer(cool, np.uint64) + np.uint64(BITS))
+                yield key, np.full(len(key), cid), np.full(len(key), n), np.full(len(key), rest)
             many = np.frombuffer(raw, np.uint64)
             differ = (100 - percent) * n // percent - rest
             for size in combination_sizes(n, percent):
@@ -417,6 +450,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, votes) that may be linked as far as unique tokens and bitmaps tell, without their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, own, other = (batch.column(i).to_numpy() for i in (3, 4, 5, 6))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (7, 8))
+            differ = own + other + np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1, 2]).filter(pa.array(differ <= _allowed(n, m, percent)))
+
+    side = lambda c, s: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{s}"), F.col("alone").alias(f"alone{s}"), F.col("bits").alias(f"bits{s}"))
+    both = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    return both.select("a", "b", "votes", "n1", "n2", "alone1", "alone2", "bits1", "bits2").mapInArrow(run, "a bigint, b bigint, votes bigint")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose members are not yet in one component."""
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -462,8 +510,8 @@ def _within(percent: int, closest: bool):
     return run
 
 
-def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs of classes that share a hot key, are still in different components and within the bounds.
+def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int, closest: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(pairs, tables that they read): pairs of classes that share a hot key, are still in different components and within the bounds.
 
     First each task tells which components its keys reach, once for each; only members of keys that
     reach several are listed.  Those outside a key's largest component are compared with its members
@@ -473,7 +521,7 @@ def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int, close
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def by_root(batch: pa.RecordBatch) -> Iterator[Entries]:
-            root = dict(zip(batch.column(0).to_pylist(), batch.column(7).to_pylist(), strict=True))
+            root = dict(zip(batch.column(0).to_pylist(), batch.column(8).to_pylist(), strict=True))
             for key, cid, n, _ in tokens(batch):
                 yield key, n, n, np.full(len(key), root[cid[0]] if len(key) else 0, np.int64)
 
@@ -490,7 +538,7 @@ def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int, close
     rooted = materialise(rooted, "rooted")
     spread = rooted.mapInArrow(reached, "key bigint, root bigint").join(hot, "key", "left_semi").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     split = materialise(spread.filter("lo < hi").select("key"), "split")
-    members = rooted.mapInArrow(listed, "key bigint, cid bigint").join(split, "key", "left_semi").join(rooted.drop("rare", "many"), "cid")
+    members = rooted.mapInArrow(listed, "key bigint, cid bigint").join(split, "key", "left_semi").join(rooted.drop("rare", "many", "cool"), "cid")
     members = materialise(members.select("key", "cid", "root", "n", "rest", "alone", "bits"), "members")
     per = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.ceil(F.sum("count") / LATE).cast("int").alias("slots"))
     sized = members.join(per, "key")
@@ -498,7 +546,7 @@ def _late(many: DataFrame, hot: DataFrame, roots: DataFrame, percent: int, close
     both = sized.withColumn("stray", F.explode(F.when(F.col("root") == F.col("largest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     both = both.withColumn("slot", F.explode(slots)).select("key", "slot", F.col("stray").cast("int").alias("stray"), "cid", "root", "n", "rest", "alone", "bits")
     met = both.repartition("key", "slot").sortWithinPartitions("key", "slot", "stray")
-    return met.mapInArrow(_within(percent, closest), "a bigint, b bigint").distinct()
+    return met.mapInArrow(_within(percent, closest), "a bigint, b bigint").distinct(), [rooted, split, members]
 
 
 def _classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
@@ -531,33 +579,39 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     told = lists.mapInArrow(_count(parts), _ROW).repartitionById(parts, F.col("part")).sortWithinPartitions("block", "kind")
     sets = told.mapInArrow(_prefixes(percent), _SET)
     sets = materialise(sets.dropDuplicates(["cid"]), "prefixes")
-    many = sets.filter(F.octet_length("many") > 0)
+    many = sets.filter(F.octet_length("many") + F.octet_length("cool") > 0)
     single = materialise(_candidates(sets, parts, _rare_tokens, percent, False), "singles")
     combined = materialise(_candidates(many, parts, _combinations(percent), percent, True), "combinations")
     pairs = single.unionByName(combined).filter("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_bounded(pairs, sets, percent), "pairs")
     wanted = sets.select("cid").join(classes.select("cid", F.col("pick").alias("row_key")), "cid")
     texts = materialise(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["cid"]).select("cid", "text"), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     links = materialise(_verify(best, texts, k, percent), "links")
     roots = components(links)
     hot = materialise(combined.filter("a is null").select("key").distinct(), "hot")
-    seen = pairs.select("a", "b")
+    seen, rests = pairs.select("a", "b"), []
     more = _apart(seen.join(best, ["a", "b"], "left_anti"), roots)
     # A large group first joins by each stray's closest member, so that few pairs remain to be listed in full.
     for closest in (True, False):
-        late = None if hot.isEmpty() else _late(many, hot, roots, percent, closest).join(seen, ["a", "b"], "left_anti")
+        late, read = (None, []) if hot.isEmpty() else _late(many, hot, roots, percent, closest)
+        if late is not None:
+            late = late.join(seen, ["a", "b"], "left_anti")
         more = materialise(late if more is None else more if late is None else more.unionByName(late), "rest")
+        rests.append(more)
+        forget(*read)
         if not more.isEmpty():
+            before = (links, roots)
             links = materialise(links.unionByName(_verify(more, texts, k, percent)), "links")
             roots = components(links)
+            forget(*before)
         if late is None:
             break
         seen, more = seen.unionByName(more), None
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialise(named.join(low, "root").select("cid", "component_id", "root"), "named")
-    forget(sets, single, combined, pairs, texts, links, hot, classes)
+    forget(sets, single, combined, pairs, texts, links, roots, hot, classes, *rests)
     out = described.select("doc_id", "row_key", "n", "cid").join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root")
 

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -129,6 +130,36 @@ def test_jaccard_join_frequent_groups(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows)
 
 
+@pytest.mark.parametrize("fillers", [400, 20])
+def test_jaccard_join_candidates_of_one_template(spark, monkeypatch, fillers):
+    """Unlinked documents of one template: listed pairs follow the documents, and none is left to verify."""
+    listed = {}
+    plain = jaccard_join.materialise
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        if tag in ("singles", "combinations", "pairs", "rest"):
+            listed[tag] = listed.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    per = []
+    for n in (2000, 4000):
+        rng = random.Random(9)
+        texts = []
+        for _ in range(n):
+            words = [f"w{i}" for i in range(150)]
+            for p in rng.sample(range(150), 7):
+                words[p] = f"f{rng.randrange(fillers)}"
+            texts.append(" ".join(words))
+        listed.clear()
+        found = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+        assert all(r.component_id == r.doc_id for r in found) and len(found) == n
+        assert listed["pairs"] == listed["rest"] == 0
+        per.append((listed["singles"] + listed["combinations"]) / n)
+    assert max(per) < 100
+
+
 def test_jaccard_join_passages_and_split_groups(spark):
     """A passage in the middle of many texts, texts mixed of common passages, and a large group whose members link only to neighbours."""
     rng = np.random.default_rng(8)
