@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import features, layers
+from ..functions import embedding, features, layers
 from ..model import derive_annotations, derive_boxes, derive_chars, derive_props
-from ..operators import aggregate, classify, extract, geometry, layout, metrics
+from ..operators import aggregate, classify, extract, geometry, layout, metrics, trainable
 from ..runtime import settle
 
 MASKS = {"header": (0, 0, 1, 0.125), "body": (0, 0.125, 0.75, 0.9375)}
@@ -259,6 +259,38 @@ def trained_classify(spark, sf_dir):
     return classify.trained_classify(rows, classify.train_classifier(rows)).select("doc_id", "box_idx", "label")
 
 
+def _text_vectors(spark, sf_dir):
+    rows = features.layout_features(_masked(spark, sf_dir, True))
+    return settle(trainable.box_vectors(rows))
+
+
+def _text_classified(spark, sf_dir):
+    """Boxes of odd documents, classified by what was learnt from even ones."""
+    vectors = _text_vectors(spark, sf_dir)
+    model, _ = trainable.train(vectors.filter("doc_id % 2 = 0"))
+    return trainable.classify(vectors.filter("doc_id % 2 = 1"), model)
+
+
+def train_boxes(spark, sf_dir):
+    return _text_classified(spark, sf_dir).select("doc_id", "box_idx", "label")
+
+
+def train_boxes_scores(spark, sf_dir):
+    gold = _masked(spark, sf_dir, True).filter("doc_id % 2 = 1")
+    return metrics.label_scores(gold, _text_classified(spark, sf_dir)).select("label", "support", *[F.round(c, 3).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+def text_embedding(spark, sf_dir):
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("word_idx", "word")).filter("word <> ''")
+    named = settle(features.affixes(words.withColumn("shape", features.word_shape(F.col("word"))), "word"))
+    tables = {}
+    for k, kind in enumerate(embedding.KINDS):
+        known = features.build_vocabulary(named, kind, ("doc_id", "word_idx")).filter("idx % 8 < 7")
+        vector = lambda i, k=k: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (i * 31 + j * 17 + k) % 64 / 64 - 0.5)
+        tables[kind] = known.select("value", vector(F.col("idx")).alias("vector")).unionByName(known.limit(1).select(F.lit(None).cast("string").alias("value"), vector(F.lit(0)).alias("vector")))
+    return embedding.text_embedding(words, tables, 4, keys=("doc_id",)).select("doc_id", *[F.get("embedding", j).alias(f"v{j}") for j in range(4)])
+
+
 def box_transformer(spark, sf_dir):
     rows = features.layout_embedding(features.layout_features(_boxes(spark, sf_dir)), 64, 12)
     out = layers.contextualise(rows.select("doc_id", "page_num", "box_idx", "x0", "y0", "y1", "embedding"), layers.BoxTransformer.seeded(12))
@@ -270,7 +302,7 @@ _ALL = (
     adapt_annotations, renumber_boxes, aggregate_simple, aggregate_sorted, aggregate_label_map, aggregate_styles, aggregate_markdown, reading_order_center, reading_order,
     merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, affixes,
     vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
-    trained_classify, box_transformer,
+    trained_classify, train_boxes, train_boxes_scores, text_embedding, box_transformer,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -406,6 +438,11 @@ ORACLES: dict[str, str] = {
         SELECT b.doc_id, b.box_idx, CAST(trunc(x0 * w) AS INTEGER) AS x0_px, CAST(trunc(y0 * h) AS INTEGER) AS y0_px, CAST(trunc(x1 * w) AS INTEGER) AS x1_px, CAST(trunc(y1 * h) AS INTEGER) AS y1_px FROM boxes b JOIN z ON b.doc_id = z.doc_id AND b.page_num = z.page_num""",
     "word_shape": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape FROM words",
     "affixes": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix, lower(trim(word)) AS norm FROM words",
+    "text_embedding": f"""WITH {_WORDS}, n AS (SELECT doc_id, word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix FROM words WHERE word <> ''),
+        e AS (SELECT doc_id, word_idx, unnest([0, 1, 2]) AS k, unnest([shape, prefix, suffix]) AS value FROM n),
+        v AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY min((doc_id, word_idx)), value) AS idx FROM e GROUP BY k, value),
+        s AS (SELECT e.doc_id, e.k, CASE WHEN idx % 8 < 7 THEN idx ELSE 0 END AS idx FROM e JOIN v ON e.k = v.k AND e.value = v.value)
+        SELECT doc_id, {", ".join(f"sum((idx * 31 + {17 * j} + k) % 64 / 64.0::DOUBLE - 0.5) AS v{j}" for j in range(4))} FROM s GROUP BY doc_id""",
     "vocabulary": "SELECT source AS value, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents GROUP BY source",
     "vocabulary_encode": "WITH v AS (SELECT source, row_number() OVER (ORDER BY min(doc_id)) AS idx FROM documents GROUP BY source) SELECT d.doc_id, coalesce(v.idx, 0) AS idx FROM documents d LEFT JOIN v ON d.source = v.source",
     "strided_windows": f'WITH {_LENGTHS} SELECT doc_id, CAST(w AS INTEGER) AS window_idx, CAST(w * 255 AS INTEGER) AS "begin", CAST(least(w * 255 + 510, n) AS INTEGER) AS "end" FROM wins',
