@@ -9,7 +9,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 # Quotation marks that count as punctuation beside the punctuation and symbol classes.
@@ -195,26 +195,6 @@ def batch_docs(docs: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     return numbered(docs, (key,), "batch").withColumn("batch", F.floor(F.col("batch") / size))
 
 
-def batch_by_count(docs: DataFrame, size: int, count_col: str, group_col: str, key: str = "doc_id") -> DataFrame:
-    """Adds batch within each group: greedy bins of at most size, a larger document alone in one.
-
-    Greedy filling is sequential, so it runs per group, as one worker fills its own batches.
-    """
-    schema = StructType([*docs.schema.fields, StructField("batch", LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        batch, total, out = 0, 0, []
-        for n in pdf[count_col]:
-            if total and total + n > size:
-                batch, total = batch + 1, 0
-            total += n
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return docs.groupBy(group_col).applyInPandas(run, schema)
-
-
 def batches(items: list, size: int) -> Iterator[list]:
     """Consecutive lists of at most size items."""
     for i in range(0, len(items), size):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import embedding, features, layers
+from ..functions import batching, embedding, features, layers
 from ..model import derive_annotations, derive_boxes, derive_chars, derive_props
 from ..operators import aggregate, classify, extract, geometry, layout, metrics, trainable
 from ..runtime import settle
@@ -230,8 +230,13 @@ def batch_docs(spark, sf_dir):
 
 
 def batch_by_boxes(spark, sf_dir):
-    counts = _read(spark, sf_dir, "documents").select("doc_id", "source", F.size(F.split("text", "\n", -1)).cast("long").alias("n_boxes"))
-    return features.batch_by_count(counts, 64, "n_boxes", "source").select("doc_id", "source", "n_boxes", "batch")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return batching.batch_by_boxes(_boxes(spark, sf_dir), docs, 64, "source").select("doc_id", "source", "n_boxes", "batch")
+
+
+def batch_by_pages(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id")
+    return batching.batch_by_pages(_boxes(spark, sf_dir), docs, 4).select("doc_id", "n_pages", "batch")
 
 
 def label_scores(spark, sf_dir):
@@ -301,7 +306,7 @@ _ALL = (
     layout_lines, layout_blocks, block_order, lines_in_order, text_boxes, page_filter_normalise, style_runs, extract_error_policy, mask_classify, multi_mask_classify, dummy_classify, random_classify, align_annotations,
     adapt_annotations, renumber_boxes, aggregate_simple, aggregate_sorted, aggregate_label_map, aggregate_styles, aggregate_markdown, reading_order_center, reading_order,
     merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, affixes,
-    vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
+    vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, batch_by_pages, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
     trained_classify, train_boxes, train_boxes_scores, text_embedding, box_transformer,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -352,6 +357,14 @@ pieces AS (SELECT *, text || CASE WHEN is_last THEN '' WHEN page_num <> np THEN
 texts AS (SELECT doc_id, label, string_agg(piece, '' ORDER BY ord) AS text, count(*) AS n_boxes FROM pieces GROUP BY doc_id, label)"""
 
 
+def _sql_batches(group: str, count: str, size: int, name: str, also: str) -> str:
+    """Greedy filling as a recursion over places: the batch and its total so far."""
+    return f"""WITH RECURSIVE c AS (SELECT doc_id, source, {group} AS g, {count} AS n, row_number() OVER (PARTITION BY {group} ORDER BY doc_id) AS i FROM documents),
+  r AS (SELECT g, i, 0::BIGINT AS batch, n::BIGINT AS total FROM c WHERE i = 1
+    UNION ALL SELECT c.g, c.i, CASE WHEN total + n > {size} THEN batch + 1 ELSE batch END, CASE WHEN total + n > {size} THEN n ELSE total + n END FROM r JOIN c ON c.g IS NOT DISTINCT FROM r.g AND c.i = r.i + 1)
+  SELECT d.doc_id, {also} d.n AS {name}, r.batch FROM c d JOIN r ON d.g IS NOT DISTINCT FROM r.g AND d.i = r.i"""
+
+
 _LINES = """chars AS (SELECT doc_id, CAST(i // 32 + 100 * (k // 120) AS INTEGER) AS page_num, i * 1000000 + k AS pos, ((7 * doc_id + 3 * i) % 8) * 4.0::DOUBLE + 8 * (k % 120) + 20 * (k % 120 // 40) AS x0,
   1024.0::DOUBLE - 20 * (i % 32 + 1) - 12 * (i % 32 // 4) + (doc_id + i) % 3 AS y0, CASE WHEN i % 13 = 0 THEN 32 ELSE 16 END AS h, ch
   FROM (SELECT doc_id, i, unnest(range(length(t))) AS k, unnest(string_split(t, '')) AS ch FROM (SELECT doc_id, unnest(range(len(ts))) AS i, unnest(ts) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ts FROM documents)) WHERE length(t) > 0)
@@ -451,6 +464,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(token AS INTEGER) AS token, CAST(w AS INTEGER) AS window_idx FROM s WHERE place = 1""",
     "line_pooling": "WITH e AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 4) + 0.0 AS value FROM e GROUP BY label, dim",
     "batch_docs": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents",
+    "batch_by_boxes": _sql_batches("source", "len(string_split(text, chr(10)))", 64, "n_boxes", "d.source,"),
+    "batch_by_pages": _sql_batches("''", "CAST(ceil(len(string_split(text, chr(10))) / 32.0) AS BIGINT)", 4, "n_pages", ""),
     "label_scores": f"""{_B}, {_M}, z AS (SELECT label AS gold, {_RANDOM} AS pred FROM labelled WHERE text <> ''), names AS (SELECT gold AS label FROM z UNION SELECT pred FROM z),
         s AS (SELECT n.label, count(*) FILTER (WHERE gold = n.label) AS support, count(*) FILTER (WHERE pred = n.label) AS said, count(*) FILTER (WHERE gold = n.label AND pred = n.label) AS hit FROM z, names n GROUP BY n.label)
         SELECT label, support, round(CASE WHEN said = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / said END, 6) AS precision, round(CASE WHEN support = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / support END, 6) AS recall,

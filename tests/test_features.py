@@ -38,31 +38,6 @@ def test_batches_of_documents(spark):
     assert all(r.batch == r.i // 4 for r in features.batch_docs(rows, 4).collect())
 
 
-def test_batches_by_count(spark):
-    rng = random.Random(9)
-    rows = [(i, f"s{i % 3}", rng.choice([0, 1, 5, 30, 70])) for i in range(120)]
-    found = {r.doc_id: r.batch for r in features.batch_by_count(spark.createDataFrame(rows, "doc_id int, source string, n long"), 64, "n", "source").collect()}
-    for source in ("s0", "s1", "s2"):
-        batch, held = 0, 0
-        for i, s, n in rows:
-            if s != source:
-                continue
-            if held and held + n > 64:
-                batch, held = batch + 1, 0
-            held += n
-            assert found[i] == batch
-
-
-#: Hand-written: words with the blank after them, numbers, marks and breaks.
-TEXTS = {
-    "It's 3.5 km, no?": ["It'", "s ", "3.5 ", "km", ", ", "no", "?"],
-    "a\nb\t c": ["a", "\n", "b", "\t ", "c"],
-    "naïve  ÉTÉ «x»": ["naïve ", " ", "ÉTÉ ", "«", "x", "»"],
-    "": [],
-    "12,5% of №7": ["12,5", "% ", "of ", "№", "7"],
-}
-
-
 def test_tokens(spark):
     rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate([*TEXTS, None])], "doc_id int, box_idx int, text string")
     found: dict[int, list[str]] = {}
