@@ -1,9 +1,10 @@
-import pytest
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from leafgrid.llm import exact_dedup, jaccard_join, substring_dedup
 from leafgrid.llm.components import components
