@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .components import components
+from .components import forest_roots, joined_roots
 from .kernel import Chunk, chunks, mix, windows
 from .packets import by_part, pack_planes, partitions, unpack_planes
 from .storage import forget, materialise, only_rows, row_key
@@ -588,7 +588,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
     texts = materialise(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["cid"]).select("cid", "text"), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     links = materialise(_verify(best, texts, k, percent), "links")
-    roots = components(links)
+    roots = forest_roots(links)
     hot = materialise(combined.filter("a is null").select("key").distinct(), "hot")
     seen, rests = pairs.select("a", "b"), []
     more = _apart(seen.join(best, ["a", "b"], "left_anti"), roots)
@@ -601,10 +601,11 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_c
         rests.append(more)
         forget(*read)
         if not more.isEmpty():
-            before = (links, roots)
-            links = materialise(links.unionByName(_verify(more, texts, k, percent)), "links")
-            roots = components(links)
-            forget(*before)
+            found = materialise(_verify(more, texts, k, percent), "links")
+            if not found.isEmpty():
+                before, roots = roots, joined_roots(roots, found)
+                forget(before)
+            forget(found)
         if late is None:
             break
         seen, more = seen.unionByName(more), None
