@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernel import mix as spread
-from .storage import materialise, row_key
+from .storage import free_name, materialise, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL, FAN = 1024, 64
@@ -134,9 +134,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
 
     A row that the mix takes no copy of goes, as do all rows of an empty table.
     """
-    key = F.md5(F.concat_ws(":", F.col("row_key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    key, copies, copy = (free_name(docs, n) for n in ("key", "copies", "copy"))
+    named = F.md5(F.concat_ws(":", F.col("row_key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     plan = _plan(docs, weights, cap, seed, id_col, text_col, source_col).filter("copies > 0")
-    plan = plan.groupBy(key.alias("__key")).agg(F.max("copies").cast("int").alias("__copies"))
+    plan = plan.groupBy(named.alias(key)).agg(F.max("copies").cast("int").alias(copies))
     own = F.md5(F.concat_ws(":", row_key(id_col, text_col), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))))
-    keyed = docs.withColumn("__key", own).join(plan.hint("merge"), "__key")
-    return keyed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__key", "__copies", "__copy")
+    keyed = docs.withColumn(key, own).join(plan.hint("merge"), key)
+    return keyed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies, copy)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .kernel import chunks, mix, ragged, span_hashes
+from .storage import free_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, LONG, PART, BLOCK, KNOWN = 0.1, 11, 64, 1 << 20, 1 << 20, 1 << 19
@@ -294,7 +295,7 @@ class Codec:
 
 
 def _draw(id_col: str, text_col: str, seed: int):
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__draw")
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
 
 
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", out_col: str = "tokens") -> DataFrame:
@@ -315,7 +316,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
                 tokens, at = codec.encode(c.data, c.at, draw[c.lo : c.hi])
                 yield pa.RecordBatch.from_arrays([*batch.slice(c.lo, len(c)).columns[:-1], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens))], [*names, out_col])
 
-    return docs.select("*", _draw(id_col, text_col, seed)).mapInArrow(run, schema)
+    return docs.select("*", _draw(id_col, text_col, seed).alias(free_name(docs, "draw"))).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: str = MODEL, tokens_col: str = "tokens", out_col: str = "text") -> DataFrame:
@@ -338,7 +339,7 @@ def decode(docs: DataFrame, model: str = MODEL, tokens_col: str = "tokens", out_
 def round_trip(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, tokens_sha256 (of little-endian 32-bit ids), lossless: encoded and decoded again."""
     codec = Codec(model, dropout, seed)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _draw(id_col, text_col, seed))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _draw(id_col, text_col, seed).alias("draw"))
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL("n_tokens bigint, tokens_sha256 string, lossless boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

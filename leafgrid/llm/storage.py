@@ -68,6 +68,14 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df lacks, for a helper column."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}".lower() in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """A key of a row's id and text that needs no row numbers: the same however the table is read.
 
@@ -78,5 +86,11 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs whose row key is in keys (column __key), one for each key."""
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(keys.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """Rows of docs whose row key is in keys (its only column), one for each key: of equal ids and texts the first by the other columns."""
+    key = free_name(docs, "key")
+    kept = docs.withColumn(key, row_key(id_col, text_col)).join(keys.toDF(key).hint("merge"), key, "left_semi")
+    if any("map" in kind for _, kind in docs.dtypes):  # maps have no order
+        return kept.dropDuplicates([key]).drop(key)
+    order = [*(c for c in docs.columns if c not in (id_col, text_col)), id_col, text_col]
+    each = kept.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)])).alias("row"))
+    return each.select(*[F.col(f"row.c{order.index(c)}").alias(c) for c in docs.columns])

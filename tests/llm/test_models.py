@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrid.llm import language_id, mixing, pieces, queries, toxicity
+from leafgrid.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,17 +129,69 @@ def test_pieces_round_trip(odd, rows):
     assert Counter((r.doc_id, r.source, r.text) for r in back.collect()) == Counter((r[0], r[3], r[1] or "") for r in rows)
 
 
-def test_language_profiles_by_hand(spark):
-    texts = [(0, "aa ab. ab", "x"), (1, "zz yz", "y")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
-    profiles = language_id.train_profiles(docs)
-    a, b = 1, 2
-    counts = Counter({a: 4, b: 2, 64 + a * 64 + a: 1, 64 + a * 64 + b: 2, 64 + a * 64: 1, 64 + a: 2, 64 + b * 64: 1})
-    three = lambda i, j, k: 4160 + i * 4096 + j * 64 + k
-    counts.update([three(a, a, 0), three(a, 0, a), three(0, a, b), three(a, b, 0), three(b, 0, a), three(0, a, b)])
-    assert profiles["x"] == sorted(counts, key=lambda g: (-counts[g], g))
-    found = language_id.identify(docs, profiles).collect()
-    assert [r.lang_pred for r in found] == ["x", "y"] and all(r.score == 1 for r in found)
+def plain_grams(text):
+    """Counts of 1- to 3-grams by Python's strings: letters and marks in lower case, one blank for a run of others."""
+    import unicodedata
+
+    folded = []
+    for c in text or "":
+        if unicodedata.category(c)[0] in "LM":
+            low = c.casefold()
+            folded.append(low if len(low) == 1 else c.lower()[0])
+        elif not folded or folded[-1] != " ":
+            folded.append(" ")
+    s = "".join(folded)
+    return Counter(g for n in (1, 2, 3) for i in range(len(s) - n + 1) if (g := s[i : i + n]) != " ")
+
+
+def plain_top(counts):
+    name = lambda g: int(language_id.gram_keys(*[np.array([0 if c == " " else ord(c)]) for c in g])[0])
+    return [name(g) for g in sorted(counts, key=lambda g: (-counts[g], name(g)))[: language_id.TOP]]
+
+
+def plain_identify(text, profiles):
+    own = plain_top(plain_grams(text))
+    far = {}
+    for lang, profile in profiles.items():
+        place = {g: i for i, g in enumerate(profile)}
+        far[lang] = sum(abs(place[g] - i) if g in place else language_id.TOP for i, g in enumerate(own))
+    best = min(sorted(far), key=lambda x: far[x])
+    return best, 1 - far[best] / (language_id.TOP * len(own)) if own else 0.0
+
+
+def test_language_against_plain_rank_order(spark, corpus, odd):
+    mixed = corpus.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", F.lit("other").alias("lang"))).unionByName(spark.createDataFrame([(1, "z" * 1_500_000 + " \u03a3\u0391\u03a3 \U0001d400\U00020000 \u0130", "long")], "doc_id long, text string, lang string"))
+    rows = mixed.collect()
+    counts = {}
+    for r in rows:
+        counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    want = {lang: plain_top(c) for lang, c in counts.items()}
+    profiles = language_id.train_profiles(mixed)
+    assert profiles == want
+    found = Counter((r.doc_id, r.text, r.lang_pred, round(r.score, 9)) for r in language_id.identify(mixed, profiles).collect() if r.lang_pred != "und")
+    lettered = [r for r in rows if any(c.isalpha() for c in r.text or "")]
+    assert found == Counter((r.doc_id, r.text, x, round(y, 9)) for r in lettered for x, y in [plain_identify(r.text, want)])
+
+
+def test_language_of_capitals(spark):
+    texts = [(0, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043a\u0430\u043a \u0434\u0435\u043b\u0430 \u0434\u0440\u0443\u0433 \u043c\u043e\u0439", "ru"), (1, "\u05e9\u05dc\u05d5\u05dd \u05de\u05d4 \u05e9\u05dc\u05d5\u05de\u05da", "he"), (2, "\u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1 \u03c6\u03af\u03bb\u03bf\u03c2", "el")]
+    profiles = language_id.train_profiles(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    upper = spark.createDataFrame([(i, t.upper(), "x", "y") for i, t, _ in texts], "doc_id long, text string, lang_pred string, __letter string")
+    found = language_id.identify(upper, profiles).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {0: "ru", 1: "he", 2: "el"}
+    assert all(r["__letter"] == "y" for r in found) and min(r.score for r in found) > 0.9
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    """Tables that already have columns of the names that operators use inside keep them."""
+    names = ["__key", "__copies", "__copy", "__draw", "__letter", "__first"]
+    docs = spark.createDataFrame([(i, f"word{i} and more", "a", *names) for i in range(4)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} == {tuple(r) for r in docs.collect()}
+    coded = pieces.encode(docs)
+    assert coded.columns == [*docs.columns, "tokens"] and coded.count() == 4
+    for kept in (exact_dedup.drop_copies(docs), jaccard_join.drop_near_copies(docs)):
+        assert kept.columns == docs.columns and kept.count() == 4
 
 
 def test_language_held_out_accuracy(corpus):
