@@ -231,3 +231,10 @@ def classify(vectors: DataFrame, model: Model, keys: Sequence[str] = ("doc_id",
 
     schema = StructType([*(vectors.schema[k] for k in keys), StructField("label", StringType()), *StructType.fromDDL("score double").fields])
     return vectors.select(*keys, (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), "at", "value").mapInArrow(run, schema)
+
+
+def label_boxes(featured: DataFrame, model: Model, dims: int = DIMS, layout: Sequence[str] = LAYOUT, keys: Sequence[str] = ("doc_id", "box_idx")) -> DataFrame:
+    """featured with the model's label for each box; the box's own label, if there is one, is not looked at."""
+    rows = featured.drop("label")
+    found = classify(box_vectors(rows.withColumn("label", F.lit(None).cast("string")), dims, layout, keys=keys), model, keys)
+    return rows.join(found.drop("score"), list(keys), "left")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import inspect
 import json
+import re
 import tomllib
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
@@ -11,7 +13,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import aggregate, classify, extract, geometry
+from ..operators import aggregate, classify, extract, geometry, trainable
+from ..runtime import read_text, write_text
+from .deferred import ConfigError, Graph
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -46,12 +50,23 @@ for _name, _f in {
     "trained-classifier": classify.trained_classify,
     "simple-aggregator": aggregate.aggregate,
     "markdown": aggregate.markdown,
+    "text-classifier": trainable.label_boxes,
     "merge-boxes": geometry.merge_boxes,
     "reading-order": geometry.reading_order,
 }.items():
     registry.register(_name)(_f)
 
 
+@registry.register("saved", "model")
+def saved_model(path: str, spark: SparkSession, folder: str = "") -> trainable.Model:
+    """A model saved at a path, which is taken from the config's folder unless it is absolute or has a scheme."""
+    path = path if path.startswith("/") or "://" in path or not folder else f"{folder.rstrip('/')}/{path}"
+    found = trainable.Model.load(spark, path)
+    if found is None:
+        raise ValueError(f"no model is saved at {path}")
+    return found
+
+
 class Pipeline:
     """Named transforms in order; a disabled one is left out of the plan."""
 
@@ -142,25 +157,53 @@ class Pipeline:
         return {"pipeline": [n for n, *_ in self._pipes], "disabled": self.disabled, "processing": self.processing, "components": {n: {"@factory": made["factory"], **made["config"]} for n, _, made in self._pipes}}
 
     @classmethod
-    def from_config(cls, config: Mapping[str, Any], overrides: Mapping[str, Any] | None = None) -> Pipeline:
-        """Build from a config; overrides are dotted paths below components."""
-        parts = {n: dict(c) for n, c in config.get("components", {}).items()}
+    def from_config(cls, config: Mapping[str, Any], overrides: Mapping[str, Any] | None = None, spark: SparkSession | None = None, folder: str = "") -> Pipeline:
+        """Build from a config; overrides are dotted paths below components.
+
+        Arguments may be factories and references (see ``Graph``); a component may be a reference to
+        another part of the config.  Pipes keep what they were written as, for ``config``.
+        """
+        config = copy.deepcopy(dict(config))
+        parts = config.setdefault("components", {})
         for path, value in (overrides or {}).items():
             *names, last = path.split(".")
             at: Any = parts
             for n in names:
                 at = at.setdefault(n, {})
             at[last] = value
+        graph = Graph(config, registry.get, {"spark": spark, "folder": folder})
         out = cls(config.get("processing"))
         for name in config.get("pipeline", parts):
-            args = dict(parts[name])
+            path = f"components.{name}"
+            written = graph.at(path)
+            while isinstance(written, str) and (m := re.fullmatch(r"\$\{([^${}]+)\}", written)):
+                path = m[1].strip()
+                written = graph.at(path, f"components.{name}")
+            space, factory, args = graph.arguments(path)
+            if space != "factory":
+                raise ConfigError(path, "a pipe is made by @factory")
             try:
-                out.add_pipe(args.pop("@factory"), name, args)
+                out.add_pipe(factory, name, args)
             except (KeyError, ValueError) as e:
-                raise ValueError(f"components.{name}: {e}") from e
+                raise ConfigError(f"components.{name}", str(e)) from e
         out._disabled = set(config.get("disabled", ()))
         return out
 
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """The config and, beside it, the weights of every model among the arguments, on any file system that Spark writes."""
+        made = self.config()
+        for name, part in made["components"].items():
+            for arg, value in part.items():
+                if isinstance(value, trainable.Model):
+                    part[arg] = {"@model": "saved", "path": f"weights/{name}/{arg}"}
+                    value.save(spark, f"{folder.rstrip('/')}/weights/{name}/{arg}")
+        write_text(spark, f"{folder.rstrip('/')}/config.json", json.dumps(made, indent=2))
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, overrides: Mapping[str, Any] | None = None) -> Pipeline:
+        """What save wrote, with its weights."""
+        return cls.from_config(json.loads(read_text(spark, f"{folder.rstrip('/')}/config.json")), overrides, spark, folder)
+
     def to_disk(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
             json.dump(self.config(), f, indent=2)

@@ -35,3 +35,31 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path.toString())
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system that Spark reaches; it takes its name when it is whole."""
+    part, files = _file(spark, path + ".part")
+    out = files.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    at, _ = _file(spark, path)
+    files.delete(at, False)
+    if not files.rename(part, at):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, files = _file(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
