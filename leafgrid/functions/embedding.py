@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import affixes, word_shape
+from .transliterate import ascii_fold
 
 KINDS = ("shape", "prefix", "suffix")
 BROADCAST = 64 << 20
 
 
 def word_features(words: DataFrame, word_col: str = "word", keys: Sequence[str] = ("doc_id", "box_idx")) -> DataFrame:
-    """keys, kind, value, n: how often a box has each shape, prefix and suffix."""
-    named = affixes(words.withColumn("shape", word_shape(F.col(word_col))), word_col)
+    """keys, kind, value, n: how often a box has each shape, prefix and suffix of its words' ASCII forms."""
+    folded = words.select(*keys, ascii_fold(F.col(word_col)).alias("word"))
+    named = affixes(folded.withColumn("shape", word_shape(F.col("word"))), "word")
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS])
     return named.select(*keys, F.explode(each).alias("x")).groupBy(*keys, "x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 

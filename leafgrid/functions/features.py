@@ -6,7 +6,6 @@ import string
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -58,18 +57,6 @@ def tokens(rows: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("do
     return rows.select(*keys, F.posexplode(found).alias("word_idx", "token"))
 
 
-def ascii_fold(word: Column) -> Column:
-    """ASCII form of a word without outer blanks: marks are stripped from Latin letters.
-
-    Characters beyond Latin-1 and Latin Extended-A stay; a full transliteration table is not shipped.
-    """
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True).str.replace("ß", "ss").str.strip()
-
-    return fold(word)
-
-
 def word_shape(word: Column) -> Column:
     """Upper-case letters as X, other letters as x, digits as d, runs cut at four; LONG from 100 on.
 

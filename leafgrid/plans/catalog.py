@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import batching, embedding, features, layers
+from ..functions import batching, embedding, features, layers, transliterate
 from ..model import derive_annotations, derive_boxes, derive_chars, derive_props
 from ..operators import aggregate, classify, extract, geometry, layout, metrics, trainable
 from ..runtime import settle
@@ -189,6 +189,11 @@ def word_shape(spark, sf_dir):
     return words.select("doc_id", "word_idx", features.word_shape(F.col("word")).alias("shape"))
 
 
+def ascii_fold(spark, sf_dir):
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("word_idx", "word"))
+    return words.select("doc_id", "word_idx", transliterate.ascii_fold(F.col("word")).alias("ascii"))
+
+
 def affixes(spark, sf_dir):
     words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("word_idx", "word"))
     return features.affixes(words, "word").drop("word")
@@ -287,7 +292,8 @@ def train_boxes_scores(spark, sf_dir):
 
 def text_embedding(spark, sf_dir):
     words = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]", -1)).alias("word_idx", "word")).filter("word <> ''")
-    named = settle(features.affixes(words.withColumn("shape", features.word_shape(F.col("word"))), "word"))
+    folded = words.select("doc_id", "word_idx", transliterate.ascii_fold(F.col("word")).alias("word"))
+    named = settle(features.affixes(folded.withColumn("shape", features.word_shape(F.col("word"))), "word"))
     tables = {}
     for k, kind in enumerate(embedding.KINDS):
         known = features.build_vocabulary(named, kind, ("doc_id", "word_idx")).filter("idx % 8 < 7")
@@ -305,7 +311,7 @@ def box_transformer(spark, sf_dir):
 _ALL = (
     layout_lines, layout_blocks, block_order, lines_in_order, text_boxes, page_filter_normalise, style_runs, extract_error_policy, mask_classify, multi_mask_classify, dummy_classify, random_classify, align_annotations,
     adapt_annotations, renumber_boxes, aggregate_simple, aggregate_sorted, aggregate_label_map, aggregate_styles, aggregate_markdown, reading_order_center, reading_order,
-    merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, affixes,
+    merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, ascii_fold, affixes,
     vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, batch_by_pages, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
     trained_classify, train_boxes, train_boxes_scores, text_embedding, box_transformer,
 )
@@ -397,6 +403,14 @@ _CUT = _SHAPE
 for _c in ("X", "x", "d", "!", "%", "&", "\\*", "\\$", "\\|", "-", "\\."):
     _CUT = f"regexp_replace({_CUT}, '{_c}{{5,}}', '{_c.strip(chr(92)) * 4}', 'g')"
 
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_FOLDED = "word"
+for _from, _to in transliterate.TABLE.items():
+    for _a, _b in {_from: _to, _from.capitalize(): _to.capitalize()}.items():
+        if len(_a) == 1 and transliterate.tables()[1].get(_a) == _b:
+            _FOLDED = f"replace({_FOLDED}, {_quoted(_a)}, {_quoted(_b)})"
+_FOLDED = f"trim(CASE WHEN regexp_matches(word, '[^\\x00-\\x7F]') THEN translate({_FOLDED}, {_quoted(transliterate.single()[0])}, {_quoted(transliterate.single()[1])}) ELSE word END)"
+
 ORACLES: dict[str, str] = {
     "layout_lines": f"WITH {_LINES} SELECT * FROM tl",
     "layout_blocks": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, page_num, line_idx, block FROM tb",
@@ -450,8 +464,9 @@ ORACLES: dict[str, str] = {
         z AS (SELECT doc_id, page_num, CAST(CASE WHEN h > 1000 THEN 1000.0 * r ELSE w END AS DOUBLE) AS w, CAST(CASE WHEN h > 1000 THEN 1000.0 ELSE h END AS DOUBLE) AS h FROM s)
         SELECT b.doc_id, b.box_idx, CAST(trunc(x0 * w) AS INTEGER) AS x0_px, CAST(trunc(y0 * h) AS INTEGER) AS y0_px, CAST(trunc(x1 * w) AS INTEGER) AS x1_px, CAST(trunc(y1 * h) AS INTEGER) AS y1_px FROM boxes b JOIN z ON b.doc_id = z.doc_id AND b.page_num = z.page_num""",
     "word_shape": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape FROM words",
+    "ascii_fold": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, {_FOLDED} AS ascii FROM words",
     "affixes": f"WITH {_WORDS} SELECT doc_id, CAST(word_idx AS INTEGER) AS word_idx, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix, lower(trim(word)) AS norm FROM words",
-    "text_embedding": f"""WITH {_WORDS}, n AS (SELECT doc_id, word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix FROM words WHERE word <> ''),
+    "text_embedding": f"""WITH {_WORDS}, n AS (SELECT doc_id, word_idx, CASE WHEN length(word) >= 100 THEN 'LONG' ELSE {_CUT} END AS shape, left(lower(trim(word)), 3) AS prefix, right(lower(trim(word)), 3) AS suffix FROM (SELECT doc_id, word_idx, {_FOLDED} AS word FROM words WHERE word <> '')),
         e AS (SELECT doc_id, word_idx, unnest([0, 1, 2]) AS k, unnest([shape, prefix, suffix]) AS value FROM n),
         v AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY min((doc_id, word_idx)), value) AS idx FROM e GROUP BY k, value),
         s AS (SELECT e.doc_id, e.k, CASE WHEN idx % 8 < 7 THEN idx ELSE 0 END AS idx FROM e JOIN v ON e.k = v.k AND e.value = v.value)
