@@ -3,7 +3,8 @@
 Base patterns run on the text as it is.  Every text also goes through two transducers: one maps
 homoglyphs to ASCII character by character, one rewrites spelled digits and at/dot disguises.  Every
 output character remembers the source span it came from, so identifiers found in the normalised text
-map back to source offsets.  They are added where they touch no base span of their kind.
+map back to source offsets.  They are added unless a base span of their kind holds them; a disguised
+address must end as an address does.
 
 Scale: one pass over whole texts, no shuffle.  Scans are linear in the text: an e-mail's local part
 is looked for only before an ``@``.
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,22 +34,53 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 # Look-alike letters and digits, and their ASCII forms.
 _LOOKALIKE = str.maketrans(
-    "АВЕКМНОРСТХаеорсухіѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονⅠⅼ＠．＋－０１２３４５６７８９٠١٢٣٤٥٦٧٨٩",
-    "ABEKMHOPCTXaeopcyxisdqwABEZHIKMNOPTYXovIl@.+-01234567890123456789",
-) | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-_STRANGE = re.compile("[" + "".join(map(chr, _LOOKALIKE)) + "]")
+    "АВЕКМНОРСТХЈаеорсухіѕјԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονⅠⅼօ＠．＋－０１２３４５６７８９٠١٢٣٤٥٦٧٨٩",
+    "ABEKMHOPCTXJaeopcyxisjdqwABEZHIKMNOPTYXovIlo@.+-01234567890123456789",
+) | {i: c for i in (*range(0x2460, 0x2500), *range(0x1D400, 0x1D800), *range(0xFF21, 0xFF5B)) if (c := unicodedata.normalize("NFKC", chr(i))).isascii() and c.isalnum() and len(c) == 1}
+# Ranges that hold all of them: a class of few ranges is searched much faster than one of many characters.
+_STRANGE = re.compile("[\u0391-\u0669\u2160-\u24ff\uff0b-\uff5a\U0001d400-\U0001d7ff]")
 _NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 # Letters that the patterns take for i and s when they ignore case.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _SPELLED = rf"\b(?:{'|'.join(_NAMES)})\b"
 _TOKENS = rf"{_SPELLED}(?:[\x20,-]+(?:{_SPELLED}|[0-9]+))"
-_DOT = r"(?:(?<!\s)\s*+[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|(?<=\w)\x20+dot\x20+(?=\w))"
-_SIGN = re.compile(
-    r"(?i)(?P<at>(?<!\s)\s*+[\[({<]\s*at\s*[\])}>]\s*|(?<=\w)\x20+at\x20+(?=[\w-]+(?:\x20+dot\x20+|\s*[\[({<]\s*dot))) "
-    rf"| (?P<dot>{_DOT}) "
-    rf"| (?P<run>(?:\bplus\x20)?{_TOKENS}{{3,}}|{_TOKENS}{{0,2}}(?={_DOT}))",
-    re.X,
-)
+_OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
+_DOT = rf"(?:(?<!\s)\s*+{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s*|(?<=\w)\x20+-?dot-?\x20+(?=\w)|(?<=[^\W_])[-_]dot[-_](?=\w))"
+# A dot that comes later in the domain of a disguised address.
+_LATER = rf"(?:\x20+-?dot-?\x20+|\s*{_OPEN}(?:dot|\.)|[-_]dot[-_])"
+_SIGNS = {
+    "at": rf"(?P<at>(?<!\s)\s*+{_OPEN}(?:at|@){_CLOSE}\s*|(?<=\w)\x20+-?at-?\x20+(?=[\w-]{{1,63}}?{_LATER})|(?<=[^\W_])[-_]at[-_](?=[\w-]{{1,63}}?(?:{_LATER}|\.[a-z])))",
+    "dot": rf"(?P<dot>{_DOT})",
+    "run": rf"(?P<run>(?:\bplus\x20(?:[0-9]{{1,15}}[\x20,-]{{1,3}}){{0,15}}(?={_SPELLED}))?{_TOKENS}{{3,}}|{_TOKENS}{{0,2}}(?={_DOT}))",
+    "lone": rf"(?P<lone>(?<=[0-9][\x20-]){_SPELLED}(?=[\x20-][0-9]))",
+    # Digits with letters that look like digits among them.
+    "odd": r"(?P<odd>(?<![^\W_])(?-i:[0-9OolI]*[0-9][OolI][0-9OolI]*|[OolI]+[0-9][0-9OolI]*)(?![^\W_]))",
+}
+# What a lower-case text must hold for a sign to be in it: without, the sign is not looked for.
+_NAMED = "|".join(_NAMES)
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)")
+_JOINED = re.compile(r"[-_]at[-_]")
+_TWO_NAMES = re.compile(rf"(?:{_NAMED})[\x20,-]+(?:{_NAMED}|[0-9])")
+_LONE = re.compile(rf"[0-9][\x20-](?:{_NAMED})[\x20-][0-9]")
+_ODD = re.compile(r"[0-9][oli]|[oli][0-9]")
+
+
+@lru_cache(None)
+def _sign(*names: str) -> re.Pattern[str]:
+    return re.compile("(?i)" + "|".join(_SIGNS[n] for n in names))
+
+
+def signs(plain: str) -> re.Pattern[str] | None:
+    """A pattern for the kinds of signs that the text can hold."""
+    low = (plain.translate(_FOLD) if any(chr(c) in plain for c in _FOLD) else plain).lower()
+    some = "dot" in low or _BRACKETED.search(low) or _JOINED.search(low)
+    names = (["at", "dot"] if some else []) + (["run"] if some or _TWO_NAMES.search(low) else [])
+    names += (["lone"] if _LONE.search(low) else []) + (["odd"] if _ODD.search(low) else [])
+    return _sign(*names) if names else None
+
+
+_DIGITS = str.maketrans("OolI", "0011")
+_ENDING = re.compile(r"\.[A-Za-z]{2,}$")
 # A short run of names after a dot disguise.
 _AFTER_DOT = re.compile(rf"(?i){_TOKENS}{{0,2}}")
 _PART = re.compile(rf"(?i)(?P<plus>\bplus\b)|(?P<name>{_SPELLED})|(?P<raw>[0-9])|(?P<gap>[\x20,-]+)")
@@ -99,7 +133,8 @@ def normalise(text: str) -> tuple[str, list[Span], list[bool]] | None:
     None if nothing was rewritten.
     """
     plain = text.translate(_LOOKALIKE) if _STRANGE.search(text) else text
-    if plain is text and not _SIGN.search(text):
+    sign = signs(plain)
+    if plain is text and not (sign and sign.search(text)):
         return None
     out: list[str] = []
     spans: list[Span] = []
@@ -116,8 +151,8 @@ def normalise(text: str) -> tuple[str, list[Span], list[bool]] | None:
         new.append(True)
 
     at, dotted = 0, False
-    while True:
-        m = _SIGN.search(plain, at)
+    while sign:
+        m = sign.search(plain, at)
         if dotted and not (m and m.start() == at):
             m = _AFTER_DOT.match(plain, at) or m
         if not m:
@@ -129,6 +164,16 @@ def normalise(text: str) -> tuple[str, list[Span], list[bool]] | None:
         if kind in ("at", "dot"):
             put("@" if kind == "at" else ".", *m.span())
             continue
+        if kind == "lone":
+            put(_NAMES[m.group().translate(_FOLD).lower()], *m.span())
+            continue
+        if kind == "odd":
+            for i in range(*m.span()):
+                if plain[i] in "OolI":
+                    put(plain[i].translate(_DIGITS), i, i + 1)
+                else:
+                    copy(i, i + 1)
+            continue
         for p in _PART.finditer(plain, *m.span()):
             if p.lastgroup == "plus":
                 put("+", *p.span())
@@ -149,7 +194,8 @@ def disguised(text: str) -> dict[str, list[Span]]:
     rewritten = [0]
     for n in new:
         rewritten.append(rewritten[-1] + n)
-    return {k: [(spans[a][0], spans[b - 1][1]) for a, b in hits if rewritten[b] > rewritten[a]] for k, hits in find(plain).items()}
+    ends = lambda k, a, b: k != "email" or _ENDING.search(plain, a, b)
+    return {k: [(spans[a][0], spans[b - 1][1]) for a, b in hits if rewritten[b] > rewritten[a] and ends(k, a, b)] for k, hits in find(plain).items()}
 
 
 def scan(raw: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -163,7 +209,7 @@ def scan(raw: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     every = []
     for k in KINDS:
         own = base[k]
-        every += [(k, a, b) for a, b in sorted(own + [(a, b) for a, b in more.get(k, ()) if not any(a < y and x < b for x, y in own)])]
+        every += [(k, a, b) for a, b in sorted(own + [(a, b) for a, b in more.get(k, ()) if not any(x <= a and b <= y for x, y in own)])]
     return plain, every
 
 
