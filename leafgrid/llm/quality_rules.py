@@ -1,20 +1,20 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Each document's histogram of character classes and of common words is compared with the references
-of its corpus' languages by Jensen-Shannon distance; the nearest reference counts.  References are
-sums over all documents of a language that pass the base rules.  Documents below a least length
-have too few observations for a stable histogram and are judged by the base rules alone, and so are
-documents in a language with fewer than LEAST_REFERENCE words to refer to: other languages' references say nothing about them.
+Each document's histogram of character classes and of common words is compared with the reference of
+its language by Jensen-Shannon distance.  References are sums over all documents of a language that
+pass the base rules.  A document without a language is compared with all references, and the one
+with the least sum of both distances counts.  Documents below a least length have too few
+observations for a stable histogram and are judged by the base rules alone.
 
 Scale: one pass over the texts makes a narrow table of counts, in which each document stays in its
-own row (no shuffle); references are sums with map-side combine; the verdict is a projection with
-one literal reference for each language, 35 numbers; the languages of a corpus are some hundreds.
+own row (no shuffle); references are sums with map-side combine, one row a language, joined to the
+counts by language: the plan has one size, however many languages there are.  References are
+broadcast up to BROADCAST of them, and beyond that joined by a shuffle whose hot languages adaptive
+execution splits, since each language has one reference.  Rows without a language meet the references in blocks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ LEAST_WORDS = 50
 DIVERGENCE_WORDS = 100
 CHAR_LIMIT = 0.28
 WORD_LIMIT = 0.28
-LEAST_REFERENCE = 1000
+BROADCAST, BLOCK = 20_000, 256
 
 
 def _count(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -73,33 +73,48 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def divergence(hist: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) between a column of counts and fixed shares."""
+def divergence(hist: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) between a column of counts and one of shares."""
     total = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
-    ref = F.array(*[F.lit(float(x)) for x in reference])
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    pair = F.zip_with(F.transform(hist, lambda x: x / F.greatest(total, F.lit(1))), ref, lambda p, q: (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(pair, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    pair = F.zip_with(F.transform(hist, lambda x: x / F.greatest(total, F.lit(1))), reference, lambda p, q: (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2)
+    return F.when(reference.isNotNull(), F.sqrt(F.greatest(F.aggregate(pair, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
+
+
+def references(good: DataFrame) -> DataFrame:
+    """ref_lang, chars, words: the shares of each language's histograms over counts with a language."""
+    share = lambda hist, n: F.array(*[F.sum(F.get(hist, F.lit(i))) for i in range(n)])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = good.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("ref_lang")).agg(share("char_hist", 6).alias("c"), share("word_hist", len(COMMON) + 1).alias("w"))
+    return sums.select("ref_lang", F.transform("c", lambda x: x / F.greatest(total(F.col("c")), F.lit(1))).alias("chars"), F.transform("w", lambda x: x / F.greatest(total(F.col("w")), F.lit(1))).alias("words"))
+
+
+def _nearest(rows: DataFrame, refs: DataFrame, n: int) -> DataFrame:
+    """rows without a language, with chars and words of the nearest of n references."""
+    blocks = -(-n // BLOCK)
+    packed = refs.withColumn("block", F.pmod(F.xxhash64("ref_lang"), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ref_lang", "chars", "words"))).alias("refs"))
+    asked = rows.select("row", "char_hist", "word_hist", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    far = F.transform("refs", lambda r: F.struct((divergence(F.col("char_hist"), r["chars"]) + divergence(F.col("word_hist"), r["words"])).alias("far"), r["ref_lang"].alias("ref_lang"), r["chars"].alias("chars"), r["words"].alias("words")))
+    least = asked.join(packed, "block").select("row", F.array_min(far).alias("x")).groupBy("row").agg(F.min("x").alias("x"))
+    return rows.join(least.select("row", "x.chars", "x.words"), "row", "left")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, base_failed, kept, char_distance and word_distance for every row.
 
     Null and empty texts have no words and fail the base rules; null languages give no reference
-    and are judged by the nearest one; languages with fewer than LEAST_REFERENCE words in good documents by the base rules alone; repeated
-    rows are judged alike; without any reference the base rules decide alone.  Other columns are ignored.
+    and are judged by the nearest one; repeated rows are judged alike; without any reference the base
+    rules decide alone and the distances are null, as they are for a language of which no document
+    passes.  Other columns are ignored.
     """
-    rows = materialise(features(docs, id_col, text_col, lang_col), "quality")
+    rows = materialise(features(docs, id_col, text_col, lang_col).withColumn("row", F.monotonically_increasing_id()), "quality")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = rows.filter(~failed & F.col("lang").isNotNull())
-    sums = [F.sum(F.get("char_hist", F.lit(i))).alias(f"c{i}") for i in range(6)] + [F.sum(F.get("word_hist", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    found = good.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).filter(F.col("n") >= LEAST_REFERENCE).orderBy("lang").collect()
-    share = lambda xs: [x / max(1, sum(xs)) for x in xs]
-    refs = [(share([r[f"c{i}"] for i in range(6)]), share([r[f"w{i}"] for i in range(len(COMMON) + 1)])) for r in found]
-    nearest = lambda cols: reduce(lambda a, b: F.least(a, b), cols, F.lit(1.0))
-    rows = rows.select("*", failed.alias("base_failed"), *[
-        (nearest([divergence(F.col(h), r[k]) for r in refs]) if refs else F.lit(0.0)).alias(name) for k, (h, name) in enumerate((("char_hist", "char_distance"), ("word_hist", "word_distance")))
-    ])
-    own = F.col("lang").isNull() | F.col("lang").isin([r["lang"] for r in found])
-    far = own & (F.col("n_words") >= DIVERGENCE_WORDS) & ((F.col("char_distance") > CHAR_LIMIT) | (F.col("word_distance") > WORD_LIMIT))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    refs = materialise(references(rows.filter(~failed)), "references")
+    n = refs.count()
+    near = F.broadcast(refs) if n <= BROADCAST else refs
+    known = rows.filter("lang IS NOT NULL").join(near, F.col("lang") == F.col("ref_lang"), "left").drop("ref_lang")
+    unknown = rows.filter("lang IS NULL")
+    unknown = _nearest(unknown, refs, n) if n else unknown.select("*", *[F.lit(None).cast("array<double>").alias(c) for c in ("chars", "words")])
+    both = known.unionByName(unknown).select("*", failed.alias("base_failed"), divergence(F.col("char_hist"), F.col("chars")).alias("char_distance"), divergence(F.col("word_hist"), F.col("words")).alias("word_distance"))
+    far = (F.col("n_words") >= DIVERGENCE_WORDS) & F.coalesce((F.col("char_distance") > CHAR_LIMIT) | (F.col("word_distance") > WORD_LIMIT), F.lit(False))
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

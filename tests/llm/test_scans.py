@@ -73,18 +73,49 @@ def test_quality_verdict(corpus, spark):
     assert junk.filter("NOT kept").count() > 0
 
 
-def test_quality_of_a_language_without_reference(spark):
+def test_quality_of_a_small_language(spark):
+    """A language of one document is its own reference; a document under another language's name is not."""
     latin = " ".join(f"w{i} the dog{i} of cat{i} to run{i} and" for i in range(20))
     arabic = " ".join("\u0643\u062a\u0627\u0628" + chr(0x0628 + i % 20) + chr(0x0628 + i // 20) for i in range(150))
-    rows = [(i, latin, "en") for i in range(1200)] + [(2000, arabic, "ar"), (2001, arabic, "en"), (2002, "x " * 200, "ar")]
+    rows = [(i, latin, "en") for i in range(200)] + [(2000, arabic, "ar"), (2001, arabic, "en"), (2002, "x " * 200, "none"), (2003, arabic, None), (2004, latin, None)]
     found = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).filter("doc_id >= 2000").collect()}
-    assert found[2000].char_distance > quality_rules.CHAR_LIMIT and found[2000].kept
-    assert not found[2001].kept and not found[2002].kept
+    assert found[2000].kept and found[2000].char_distance == 0 and not found[2001].kept
+    assert not found[2002].kept and found[2002].char_distance is None
+    assert found[2003].kept and found[2003].char_distance == 0 and found[2004].kept
+
+
+def many_languages(spark, corpus, n):
+    """The corpus dealt over n languages, every ninth document without one."""
+    lang = F.when(F.col("doc_id") % 9 == 0, None).otherwise(F.concat("lang", F.lit("-"), (F.xxhash64("doc_id") % n).cast("string")))
+    return corpus.select("doc_id", "text", lang.alias("lang"))
+
+
+def test_quality_against_sql_with_many_languages(spark, corpus, monkeypatch):
+    import duckdb
+
+    from leafgrid.llm.oracles import ORACLES
+
+    docs = many_languages(spark, corpus, 12)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cursor = con.execute(ORACLES["op9_quality_rules"])
+    names = [c[0] for c in cursor.description]
+    want = sorted(map(str, cursor.fetchall()))
+    for block, most in ((256, 20_000), (2, 0)):
+        monkeypatch.setattr(quality_rules, "BLOCK", block)
+        monkeypatch.setattr(quality_rules, "BROADCAST", most)
+        assert sorted(str(tuple(r)) for r in quality_rules.quality_rules(docs).select(*names).collect()) == want
+
+
+def test_quality_plan_does_not_grow_with_languages(spark, corpus):
+    size = lambda n: len(quality_rules.quality_rules(many_languages(spark, corpus, n))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(200) < 1.05 * size(2)
 
 
 def test_divergence(spark):
     row = spark.sql("SELECT array(1L, 1L, 0L) AS h")
-    same, far = row.select(quality_rules.divergence(F.col("h"), [0.5, 0.5, 0.0]), quality_rules.divergence(F.col("h"), [0.0, 0.0, 1.0])).first()
+    shares = lambda *x: F.array(*map(F.lit, x))
+    same, far = row.select(quality_rules.divergence(F.col("h"), shares(0.5, 0.5, 0.0)), quality_rules.divergence(F.col("h"), shares(0.0, 0.0, 1.0))).first()
     assert abs(same) < 1e-9 and abs(far - 1) < 1e-9
 
 
