@@ -108,17 +108,24 @@ def precedes(a: dict, b: dict, shrink: float = 0.2) -> bool:
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """Adds order_idx by ``precedes``, which is no strict order: the sort is Python's, per document."""
-    schema = StructType([*boxes.schema.fields, StructField("order_idx", IntegerType())])
+    """Adds order_idx by ``precedes``, which is no strict order: the sort is Python's, for each page by box_idx.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("box_idx").to_dict("records")
-        for r in rows:
-            r["page_num"] = None if pd.isna(r["page_num"]) else int(r["page_num"])
-        rows = sorted(rows, key=cmp_to_key(lambda a, b: -1 if precedes(a, b) else 1 if precedes(b, a) else 0))
-        return pd.DataFrame(rows, columns=list(pdf.columns)).assign(order_idx=range(len(rows)))
+    A box without a page is on the first one.  A task sorts a page; pages follow each other in a window.
+    """
+    page, place = "__page", "__place"
+    narrow = boxes.select("doc_id", F.coalesce("page_num", F.lit(0)).alias(page), "box_idx", "x0", "x1", "y0", "y1")
+    schema = StructType([boxes.schema["doc_id"], StructField(page, IntegerType()), boxes.schema["box_idx"], StructField(place, IntegerType())])
 
-    return boxes.groupBy("doc_id").applyInPandas(run, schema)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("box_idx")
+        rows = [dict(zip(("x0", "x1", "y0", "y1"), r, strict=True), page_num=0, at=i) for i, r in enumerate(zip(*(pdf[c] for c in ("x0", "x1", "y0", "y1")), strict=True))]
+        rows.sort(key=cmp_to_key(lambda a, b: -1 if precedes(a, b) else 1 if precedes(b, a) else 0))
+        return pdf.iloc[[r["at"] for r in rows]][["doc_id", page, "box_idx"]].assign(**{place: range(len(rows))})
+
+    placed = narrow.withColumn(page, F.col(page).cast("int")).groupBy("doc_id", page).applyInPandas(run, schema)
+    order = Window.partitionBy("doc_id").orderBy(page, place)
+    ranked = placed.select("doc_id", "box_idx", (F.row_number().over(order) - 1).cast("int").alias("order_idx"))
+    return boxes.join(ranked, ["doc_id", "box_idx"]).select(*boxes.columns, "order_idx")
 
 
 def merge_adjacency(boxes: DataFrame) -> DataFrame:
