@@ -7,6 +7,8 @@ tells every document which of its entries share their key with another entry.
 A key that occurs twice within one task is known to be repeated there: its entries skip the count
 (they pass through) and only two stand-ins go on, so a key in a third of all documents
 sends at most two entries per task.
+
+A number may carry a check in its upper 32 bits, which then counts as part of its key.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ def partitions(docs: DataFrame) -> int:
 def dump(doc: np.ndarray, number: np.ndarray, key: np.ndarray | None = None) -> bytes:
     """Entries as bytes: documents run-length coded, numbers in as few bytes as they need."""
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    wide = np.uint16 if not len(number) or number.max() < 1 << 16 else np.uint32
-    head = np.array([len(begin), len(doc), 2 if wide is np.uint16 else 4], np.uint32)
+    most = int(number.max()) if len(number) else 0
+    wide = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+    head = np.array([len(begin), len(doc), np.dtype(wide).itemsize], np.uint32)
     parts = [head, doc[begin].astype(np.int64), np.diff(np.append(begin, len(doc))).astype(np.uint32), number.astype(wide)]
     return b"".join(p.tobytes() for p in parts) + (key.tobytes() if key is not None else b"")
 
@@ -45,7 +48,7 @@ def load(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += 8 * int(docs)
     count = np.frombuffer(raw, np.uint32, docs, at)
     at += 4 * int(docs)
-    number = np.frombuffer(raw, np.uint16 if wide == 2 else np.uint32, n, at)
+    number = np.frombuffer(raw, f"<u{int(wide)}", n, at)
     at += int(wide) * int(n)
     key = np.frombuffer(raw, np.uint64, -1, at) if at < len(raw) else np.zeros(0, np.uint64)
     return np.repeat(doc, count), number.astype(np.int64), key
@@ -84,6 +87,14 @@ def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["part", "kind", "payload"])
 
 
+def _alike(key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key and check, and whether each entry has those of the one before it."""
+    check = number.astype(np.uint64) >> np.uint64(32)
+    order = np.lexsort((check, key)) if check.any() else np.argsort(key, kind="stable")
+    s, c = key[order], check[order]
+    return order, (s[1:] == s[:-1]) & (c[1:] == c[:-1])
+
+
 class Packer:
     """Collects entries (key, document, number) of one task and gives them out as rows."""
 
@@ -101,9 +112,7 @@ class Packer:
             return
         key, doc, number = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        same = s[1:] == s[:-1]
+        order, same = _alike(key, number)
         again, twice = np.concatenate([[False], same]), np.concatenate([same, [False]])
         third = np.concatenate([[False], again[1:] & again[:-1]])
         sure, go = np.zeros(len(key), bool), np.ones(len(key), bool)
@@ -127,9 +136,7 @@ def repeated(packed: DataFrame, parts: int) -> DataFrame:
             held += [load(batch.column(2)[i].as_py()) for i in range(len(kinds)) if kinds[i] == KEYS]
         if held:
             doc, number, key = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(key, kind="stable")
-            s = key[order]
-            same = s[1:] == s[:-1]
+            order, same = _alike(key, number)
             hit = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
             if len(hit):
                 yield rows([(p, SURE, dump(d, n)) for p, (d, n) in by_part(doc[hit] % parts, doc[hit], number[hit])])

@@ -9,7 +9,8 @@ hashed whole and counted: that extends the anchors exactly, with no pair of plac
 Scale: the corpus is hashed at 5 of 21 positions; entries move in packed rows, dealt by hash into
 parts whose number follows the input, and a very frequent passage sends two entries per task.
 Texts move once to meet their repeated anchors; only documents that have some move again.  Windows
-are told apart by 64-bit hashes of their words.
+are told apart by 95 bits of two independent hashes of their words, and what is told about a row by
+the 64 bits of its hash and the 31 bits of a window's second one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .kernel import Chunk, chunks, ragged, windows
+from .kernel import Chunk, Words, chunks, ragged, span_hashes, windows
 from .packets import Answers, Packer, partitions, repeated
 from .storage import materialise
 
@@ -31,6 +32,8 @@ WINDOW = 35
 # A perfect difference cover; every difference modulo 21 is one of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
+#: Bytes in another order, for a second hash.
+_OTHER = np.random.Generator(np.random.PCG64(5)).permutation(256).astype(np.uint8)
 
 
 def _positions(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +61,14 @@ def _anchors(parts: int, window: int):
     return run
 
 
+def _checks(words: Words, window: int) -> np.ndarray:
+    """31 bits for the window at each word, from other hashes of its words than its key has."""
+    other = span_hashes(_OTHER[words.data], words.start, words.end)
+    return (windows(other, words.first, window)[0] >> np.uint64(33)).astype(np.int64)
+
+
 def _candidates(parts: int, window: int):
-    """Hashes of the whole windows that hold a repeated anchor."""
+    """Hashes of the whole windows that hold a repeated anchor, and checks beside their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
@@ -75,7 +84,8 @@ def _candidates(parts: int, window: int):
                 text = np.repeat(np.repeat(np.arange(len(c)), number), n)
                 hit = words.first[text] + at
                 keep = ok[hit]
-                yield from packer.add(key[hit[keep]], rid[c.lo : c.hi][text[keep]], at[keep])
+                at, check = at[keep], _checks(words, window)[hit[keep]]
+                yield from packer.add(key[hit[keep]], rid[c.lo : c.hi][text[keep]], check << 32 | at)
         yield from packer.flush()
 
     return run
@@ -169,7 +179,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             rid = batch.column(2).to_numpy()
             for c in chunks(batch.column(3)):
                 words = c.words()
-                text, at = answers.of(rid[c.lo : c.hi])
+                text, number = answers.of(rid[c.lo : c.hi])
+                at = number & 0xFFFFFFFF
+                # A window that another row of the same hash was asked about has another check.
+                own = at + window <= np.diff(words.first)[text]
+                own[own] = _checks(words, window)[words.first[text[own]] + at[own]] == number[own] >> 32
+                text, at = text[own], at[own]
                 mark = np.zeros(len(words) + 1, np.int64)
                 np.add.at(mark, words.first[text] + at, 1)
                 np.add.at(mark, words.first[text] + at + window, -1)

@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from leafgrid.llm import exact_dedup, jaccard_join, substring_dedup
+from leafgrid.llm import exact_dedup, jaccard_join, kernel, packets, substring_dedup
 from leafgrid.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -96,6 +97,22 @@ def linked(rows):
     return Counter((r[0], len(sets[i]), least[find(i)]) for i, r in enumerate(rows))
 
 
+def test_checks_tell_windows_and_rows_apart():
+    """Entries of one key and two checks are not repeated; numbers with checks survive packing."""
+    key = np.array([7, 7, 7, 9, 9], np.uint64)
+    number = np.array([1 << 32 | 5, 2 << 32 | 6, 1 << 32 | 8, 3 << 32 | 1, 4 << 32 | 1], np.int64)
+    packer = packets.Packer(1)
+    list(packer.add(key, np.arange(5), number))
+    rows = [r for b in packer.flush() for r in b.to_pylist()]
+    told = [packets.load(r["payload"]) for r in rows if r["kind"] == packets.SURE]
+    assert [(d.tolist(), n.tolist()) for d, n, _ in told] == [([0, 2], [1 << 32 | 5, 1 << 32 | 8])]
+    sent = [packets.load(r["payload"]) for r in rows if r["kind"] == packets.KEYS]
+    assert sorted(zip(*(x.tolist() for x in sent[0]), strict=True)) == sorted(zip(range(5), number.tolist(), key.tolist(), strict=True))
+    words = next(iter(kernel.chunks(pa.array(["one two three one two four", "one two three"])))).words()
+    checks = substring_dedup._checks(words, 2)
+    assert checks[0] == checks[3] == checks[6] and checks[1] == checks[7] != checks[4]
+
+
 def test_jaccard_join(odd, rows):
     found = jaccard_join.jaccard_join(odd).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == linked(rows)
