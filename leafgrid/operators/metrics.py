@@ -23,3 +23,14 @@ def label_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0D ELSE {a} / {b} END"
     out = sums.selectExpr("label", f"{ratio('hit', 'said')} AS precision", f"{ratio('hit', 'support')} AS recall", f"{ratio('2 * hit', '(said + support)')} AS f1", "support")
     return out.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+def label_averages(scores: DataFrame) -> DataFrame:
+    """average (macro, weighted), precision, recall, f1, support, accuracy over the labels of label_scores.
+
+    macro counts labels alike, weighted by their support; no support at all gives zeros, no labels no rows.
+    """
+    mean = lambda c: F.avg(c).alias(c)
+    shared = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(c)
+    parts = [scores.agg(F.lit(name).alias("average"), *[how(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"), F.max("accuracy").alias("accuracy")) for name, how in (("macro", mean), ("weighted", shared))]
+    return parts[0].unionByName(parts[1]).filter("support IS NOT NULL")

@@ -250,6 +250,12 @@ def label_scores(spark, sf_dir):
         "label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
+def label_averages(spark, sf_dir):
+    gold = _masked(spark, sf_dir)
+    found = metrics.label_scores(gold, classify.random_classify(_boxes(spark, sf_dir), {"body": 2, "header": 1, "footer": 1}, 7))
+    return metrics.label_averages(found).select("average", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
 def ensure_doc_ids(spark, sf_dir):
     return extract.ensure_doc(_read(spark, sf_dir, "pages").withColumn("id", F.expr("CASE WHEN page_id % 3 = 0 THEN '' ELSE url END")), "html").select("page_id", "doc_id")
 
@@ -312,7 +318,7 @@ _ALL = (
     layout_lines, layout_blocks, block_order, lines_in_order, text_boxes, page_filter_normalise, style_runs, extract_error_policy, mask_classify, multi_mask_classify, dummy_classify, random_classify, align_annotations,
     adapt_annotations, renumber_boxes, aggregate_simple, aggregate_sorted, aggregate_label_map, aggregate_styles, aggregate_markdown, reading_order_center, reading_order,
     merge_adjacency, merge_bbox, merge_boxes, layout_features, layout_buckets, sinusoidal_features, relative_positions, box_rescale, tokens, word_shape, ascii_fold, affixes,
-    vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, batch_by_pages, label_scores, ensure_doc_ids, annotation_summary, learning_rates,
+    vocabulary, vocabulary_encode, strided_windows, best_context, line_pooling, batch_docs, batch_by_boxes, batch_by_pages, label_scores, label_averages, ensure_doc_ids, annotation_summary, learning_rates,
     trained_classify, train_boxes, train_boxes_scores, text_embedding, box_transformer,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -481,6 +487,12 @@ ORACLES: dict[str, str] = {
     "batch_docs": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents",
     "batch_by_boxes": _sql_batches("source", "len(string_split(text, chr(10)))", 64, "n_boxes", "d.source,"),
     "batch_by_pages": _sql_batches("''", "CAST(ceil(len(string_split(text, chr(10))) / 32.0) AS BIGINT)", 4, "n_pages", ""),
+    "label_averages": f"""{_B}, {_M}, z AS (SELECT label AS gold, {_RANDOM} AS pred FROM labelled WHERE text <> ''), names AS (SELECT gold AS label FROM z UNION SELECT pred FROM z),
+        s AS (SELECT n.label, count(*) FILTER (WHERE gold = n.label) AS support, count(*) FILTER (WHERE pred = n.label) AS said, count(*) FILTER (WHERE gold = n.label AND pred = n.label) AS hit FROM z, names n GROUP BY n.label),
+        e AS (SELECT label, support, CASE WHEN said = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / said END AS p, CASE WHEN support = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / support END AS r, CASE WHEN said + support = 0 THEN 0.0 ELSE CAST(2 * hit AS DOUBLE) / (said + support) END AS f FROM s),
+        acc AS (SELECT round(CAST(count(*) FILTER (WHERE gold = pred) AS DOUBLE) / count(*), 6) AS accuracy FROM z)
+        SELECT 'macro' AS average, CAST(sum(support) AS BIGINT) AS support, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1, any_value(accuracy) AS accuracy FROM e, acc
+        UNION ALL SELECT 'weighted', CAST(sum(support) AS BIGINT), round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), any_value(accuracy) FROM e, acc""",
     "label_scores": f"""{_B}, {_M}, z AS (SELECT label AS gold, {_RANDOM} AS pred FROM labelled WHERE text <> ''), names AS (SELECT gold AS label FROM z UNION SELECT pred FROM z),
         s AS (SELECT n.label, count(*) FILTER (WHERE gold = n.label) AS support, count(*) FILTER (WHERE pred = n.label) AS said, count(*) FILTER (WHERE gold = n.label AND pred = n.label) AS hit FROM z, names n GROUP BY n.label)
         SELECT label, support, round(CASE WHEN said = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / said END, 6) AS precision, round(CASE WHEN support = 0 THEN 0.0 ELSE CAST(hit AS DOUBLE) / support END, 6) AS recall,
