@@ -1,20 +1,33 @@
 """A Spark data source of document files: one row for each file, one file for each row.
 
-Paths must be on a file system that all executors mount.
+Paths are plain ones, or URIs of any file system that Arrow reaches from the executors (``file:``,
+``hdfs:``, ``s3:``, ``gs:``).  A writer needs one that can rename folders; plain paths must be mounted
+by all executors.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    found, inside = FileSystem.from_uri(path if "://" in path or path.startswith("file:/") else os.path.abspath(path))
+    return found, inside.rstrip("/")
+
+
+def _is(files: FileSystem, path: str, kind: FileType) -> bool:
+    return files.get_file_info(path).type == kind
+
+
 @dataclass
 class _Files(InputPartition):
     names: list[str]
@@ -42,53 +55,65 @@ class _Reader(DataSourceReader):
         self.path, self.suffix, self.size = options["path"], options.get("suffix", ".pdf"), int(options.get("filespertask", 64))
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.path.relpath(os.path.join(d, f), self.path) for d, _, files in os.walk(self.path) for f in files if f.endswith(self.suffix))
+        files, top = file_system(self.path)
+        found = files.get_file_info(FileSelector(top, recursive=True))
+        names = sorted(x.path[len(top) :].lstrip("/") for x in found if x.type == FileType.File and x.path.endswith(self.suffix))
         return [_Files(names[i : i + self.size]) for i in range(0, len(names), self.size)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
+        files, top = file_system(self.path)
         for name in partition.names:
             stem = name[: -len(self.suffix)]
-            with open(os.path.join(self.path, name), "rb") as f:
+            with files.open_input_stream(f"{top}/{name}") as f:
                 content = f.read()
-            side = os.path.join(self.path, stem + ".json")
-            yield stem, content, open(side, encoding="utf-8").read() if os.path.exists(side) else None
+            side = None
+            if _is(files, f"{top}/{stem}.json", FileType.File):
+                with files.open_input_stream(f"{top}/{stem}.json") as f:
+                    side = f.read().decode()
+            yield stem, content, side
 
 
 class _Writer(DataSourceWriter):
     """Tasks write into a folder beside the target; the commit puts it in the target's place."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.suffix = options["path"].rstrip("/"), options.get("suffix", ".pdf")
-        self.staged = f"{self.path}.{uuid.uuid4().hex}.part"
-        if os.path.isdir(self.path) and os.listdir(self.path) and not overwrite:
+        self.path, self.suffix, self.attempt = options["path"].rstrip("/"), options.get("suffix", ".pdf"), uuid.uuid4().hex
+        files, top = file_system(self.path)
+        if not overwrite and _is(files, top, FileType.Directory) and files.get_file_info(FileSelector(top)):
             raise FileExistsError(f"{self.path} already holds documents")
 
-    def _place(self, name: str) -> str:
-        """Where a document goes; ids that lead out of the folder are refused."""
-        if not name or os.path.isabs(name) or ".." in name.split("/"):
-            raise ValueError(f"no file name: {name!r}")
-        return os.path.join(self.staged, name)
+    def _places(self) -> tuple[FileSystem, str, str]:
+        """The file system, the target and the folder beside it."""
+        files, top = file_system(self.path)
+        return files, top, f"{top}.{self.attempt}.part"
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        files, _, staged = self._places()
         for row in rows:
-            at = self._place(row["id"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
+            name = row["id"]
+            if not name or posixpath.isabs(name) or ".." in name.split("/"):
+                raise ValueError(f"no file name: {name!r}")  # an id must not lead out of the folder
+            files.create_dir(posixpath.dirname(f"{staged}/{name}"), recursive=True)
             for suffix, value in ((self.suffix, row["content"]), (".json", row["json"] and row["json"].encode())):
                 if value is not None:
                     # A repeated attempt of a task replaces its own files whole.
-                    part = f"{at}{suffix}.{uuid.uuid4().hex}"
-                    with open(part, "wb") as f:
+                    part = f"{staged}/{name}{suffix}.{uuid.uuid4().hex}"
+                    with files.open_output_stream(part) as f:
                         f.write(bytes(value))
-                    os.replace(part, at + suffix)
+                    files.move(part, f"{staged}/{name}{suffix}")
         return WriterCommitMessage()
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        os.makedirs(self.staged, exist_ok=True)
-        old = f"{self.staged}.old"
-        if os.path.isdir(self.path):
-            os.rename(self.path, old)
-        os.rename(self.staged, self.path)
-        shutil.rmtree(old, ignore_errors=True)
+        files, top, staged = self._places()
+        files.create_dir(staged, recursive=True)
+        old = f"{staged}.old"
+        if _is(files, top, FileType.Directory):
+            files.move(top, old)
+        files.move(staged, top)
+        if _is(files, old, FileType.Directory):
+            files.delete_dir(old)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.staged, ignore_errors=True)
+        files, _, staged = self._places()
+        if _is(files, staged, FileType.Directory):
+            files.delete_dir(staged)

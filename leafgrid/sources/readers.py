@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterable
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..runtime import settle
+
 FILENAME, CONTENT = "__FILENAME__", "__CONTENT__"
 
 
@@ -77,12 +81,22 @@ def from_pandas(spark: SparkSession, data: pd.DataFrame, converter: Callable[...
     return _converted(spark.createDataFrame(data), converter, kwargs)
 
 
-def from_iterable(spark: SparkSession, data: Iterable, schema: StructType | str | None = None, converter: Callable[..., DataFrame] | None = None, **kwargs) -> DataFrame:
-    """Rows (dicts or tuples) or raw documents (bytes) as a DataFrame."""
-    items = list(data)
-    if items and isinstance(items[0], (bytes, bytearray)):
-        items, schema = [(bytes(x),) for x in items], "content binary"
-    return _converted(spark.createDataFrame(items, schema), converter, kwargs)
+def from_iterable(spark: SparkSession, data: Iterable, schema: StructType | str | None = None, converter: Callable[..., DataFrame] | None = None, chunk: int = 10_000, **kwargs) -> DataFrame:
+    """Rows (dicts or tuples) or raw documents (bytes) as a DataFrame.
+
+    The driver holds chunk items at a time; an iterable of more is written to the shared folder
+    piece by piece, with the schema of its first piece.
+    """
+    items, parts = iter(data), []
+    while piece := list(islice(items, chunk)):
+        if isinstance(piece[0], (bytes, bytearray)):
+            piece, schema = [(bytes(x),) for x in piece], "content binary"
+        part = spark.createDataFrame(piece, schema)
+        schema = part.schema
+        if parts or len(piece) == chunk:
+            part = settle(part)
+        parts.append(part)
+    return _converted(reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema), converter, kwargs)
 
 
 def ensure_frame(spark: SparkSession, data: DataFrame | pd.DataFrame | Iterable, schema: StructType | str | None = None) -> DataFrame:

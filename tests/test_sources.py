@@ -98,6 +98,33 @@ def test_write_files(spark, tmp_path):
             sinks.write_files(spark.createDataFrame([(bad, b"x")], "doc_id string, content binary"), str(tmp_path / "safe"))
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_document_files_on_schemes(spark, tmp_path, scheme):
+    """Written, read back, refused where data lies, replaced whole, and left alone by a job that fails."""
+    at = f"{scheme}{tmp_path}/out"
+    read = lambda: {(r.id, bytes(r.content), r.json) for r in spark.read.format("document_files").option("path", at).load().collect()}
+    rows = [(f"d{i % 3}/{i}", f"body {i}".encode(), f'{{"n": {i}}}' if i % 2 else None) for i in range(150)]
+    table = spark.createDataFrame(rows, "doc_id string, content binary, note string").repartition(5)
+    sinks.write_files(table, at, json_col="note")
+    assert read() == set(rows)
+    with pytest.raises(PySparkException):
+        sinks.write_files(table, at)
+    sinks.write_files(table.limit(2), at, overwrite=True)
+    kept = read()
+    assert len(kept) == 2
+    with pytest.raises(PySparkException):
+        sinks.write_files(spark.createDataFrame([("ok", b"x"), ("../bad", b"y")], "doc_id string, content binary"), at, overwrite=True)
+    assert read() == kept and sorted(x.name for x in tmp_path.iterdir()) == ["out"]
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(at).count() == 2
+
+
+def test_iterables_of_many_pieces(spark):
+    found = readers.from_iterable(spark, ((i, f"t{i}") for i in range(25)), "doc_id int, text string", chunk=10)
+    assert sorted(map(tuple, found.collect())) == [(i, f"t{i}") for i in range(25)]
+    assert readers.from_iterable(spark, iter([b"a", b"b", b"c"]), chunk=2).count() == 3
+    assert readers.from_iterable(spark, [], "doc_id int").count() == 0
+
+
 def test_extract(spark, folder):
     docs = readers.read_files(spark, folder, recursive=True)
     found = extract.extract_boxes(docs, extract_style=True).orderBy("doc_id", "box_idx").collect()
