@@ -8,6 +8,7 @@ from functools import cmp_to_key
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -116,13 +117,18 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     narrow = boxes.select("doc_id", F.coalesce("page_num", F.lit(0)).alias(page), "box_idx", "x0", "x1", "y0", "y1")
     schema = StructType([boxes.schema["doc_id"], StructField(page, IntegerType()), boxes.schema["box_idx"], StructField(place, IntegerType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_idx")
-        rows = [dict(zip(("x0", "x1", "y0", "y1"), r, strict=True), page_num=0, at=i) for i, r in enumerate(zip(*(pdf[c] for c in ("x0", "x1", "y0", "y1")), strict=True))]
-        rows.sort(key=cmp_to_key(lambda a, b: -1 if precedes(a, b) else 1 if precedes(b, a) else 0))
-        return pdf.iloc[[r["at"] for r in rows]][["doc_id", page, "box_idx"]].assign(**{place: range(len(rows))})
-
-    placed = narrow.withColumn(page, F.col(page).cast("int")).groupBy("doc_id", page).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, number, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows = [r | {"page_num": 0} for r in rows]
+                rows.sort(key=cmp_to_key(lambda a, b: -1 if precedes(a, b) else 1 if precedes(b, a) else 0))
+                out += [(doc, number, r["box_idx"], i) for i, r in enumerate(rows)]
+            types = (batch.schema.field(0).type, pa.int32(), batch.schema.field(2).type.value_type.field("box_idx").type, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 4, types, strict=True)], ["doc_id", page, "box_idx", place])
+
+    pages = narrow.withColumn(page, F.col(page).cast("int")).groupBy("doc_id", page).agg(F.array_sort(F.collect_list(F.struct("box_idx", "x0", "x1", "y0", "y1"))).alias("rows"))
+    placed = pages.mapInArrow(run, schema)
     order = Window.partitionBy("doc_id").orderBy(page, place)
     ranked = placed.select("doc_id", "box_idx", (F.row_number().over(order) - 1).cast("int").alias("order_idx"))
     return boxes.join(ranked, ["doc_id", "box_idx"]).select(*boxes.columns, "order_idx")
