@@ -1,6 +1,8 @@
 """From characters to lines, from lines to blocks, and the order of blocks on a page.
 
 Coordinates are in page units, y upwards.  Tables carry (doc_id, page_num) and a place within the page.
+Where a page is one row with arrays (``*_in_pages``), nothing is shuffled; flat tables are gathered to pages
+in one exchange.  A page bounds a row.
 """
 
 from __future__ import annotations
@@ -8,76 +10,176 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.graph import components
-
 _PAGE = ("doc_id", "page_num")
+_CHAR = ("pos", "x0", "x1", "y0", "y1", "ch")
+_BLOCK = ("block", "x0", "x1", "y0", "y1", "n_lines")
 Rect = tuple[float, float, float, float]
 
 
-def lines_of_chars(chars: DataFrame, line_overlap: float = 0.5, char_margin: float = 2.05, word_margin: float = 0.1) -> DataFrame:
-    """doc_id, page_num, line_idx, x0, x1, y0, y1, text, n_chars for chars(doc_id, page_num, pos, x0, x1, y0, y1, ch).
+def pages_of_chars(chars: DataFrame) -> DataFrame:
+    """One row a page: doc_id, page_num and arrays pos, x0, x1, y0, y1, ch, for chars(doc_id, page_num, pos, x0, x1, y0, y1, ch)."""
+    each = chars.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct(*_CHAR))).alias("c"))
+    return each.select(*_PAGE, *[F.col(f"c.{k}").alias(k) for k in _CHAR])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _nullable(values: np.ndarray) -> pa.Array:
+    return pa.array(values, mask=np.isnan(values))
+
+
+def lines_in_pages(pages: DataFrame, line_overlap: float = 0.5, char_margin: float = 2.05, word_margin: float = 0.1) -> DataFrame:
+    """doc_id, page_num, lines (line_idx, x0, x1, y0, y1, text, n_chars) for pages with arrays of characters, see ``pages_of_chars``.
 
     A character goes on with the line of the one before it (by pos) if they overlap vertically by
     more than line_overlap of the lower one, and lie closer than char_margin of the wider one.  A gap
     of more than word_margin of its larger side puts a blank in front of it.  Lines of blanks alone
     are dropped; null coordinates start a line and add nothing to its rectangle.
 
-    Lines are sessions over a page's characters: one exchange by page, which the grouping shares.
+    A page is a row and its characters are compared in its task: nothing is shuffled.
+    """
+    schema = StructType([*pages.select(*_PAGE).schema.fields, *StructType.fromDDL("lines array<struct<line_idx:int,x0:double,x1:double,y0:double,y1:double,text:string,n_chars:bigint>>").fields])
+
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = {k: batch.column(i + 2) for i, k in enumerate(_CHAR)}
+        bound = at["pos"].offsets.to_numpy().astype(np.int64)
+        bound = bound - bound[0]
+        each = {k: v.flatten() for k, v in at.items()}
+        page = np.repeat(np.arange(len(batch)), np.diff(bound))
+        pos = each["pos"].fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        if ((np.diff(pos) < 0) & (np.diff(page) == 0)).any():
+            order = np.lexsort((pos, page))
+            each = {k: v.take(pa.array(order)) for k, v in each.items()}
+        x0, x1, y0, y1 = (_numbers(each[k]) for k in ("x0", "x1", "y0", "y1"))
+        wide, high = x1 - x0, y1 - y0
+        px0, px1, py0, py1 = x0[:-1], x1[:-1], y0[:-1], y1[:-1]
+        cx0, cx1, cy0, cy1 = x0[1:], x1[1:], y0[1:], y1[1:]
+        level = (py0 <= cy1) & (cy0 <= py1)
+        shared = np.fmin(np.abs(py0 - cy1), np.abs(py1 - cy0))
+        meet = (px0 <= cx1) & (cx0 <= px1)
+        apart = np.where(meet, 0.0, np.fmin(np.abs(px0 - cx1), np.abs(px1 - cx0)))
+        goes_on, spaced = np.zeros(len(page), bool), np.zeros(len(page), bool)
+        goes_on[1:] = level & (np.fmin(high[1:], high[:-1]) * line_overlap < shared) & (apart < np.fmax(wide[1:], wide[:-1]) * char_margin) & (page[1:] == page[:-1])
+        spaced[1:] = goes_on[1:] & (px1 < cx0 - word_margin * np.fmax(wide[1:], high[1:]))
+        first = np.flatnonzero(~goes_on)
+        own = page[first]
+        until = np.searchsorted(own, np.arange(len(batch) + 1))
+        piece = pc.binary_join_element_wise(pc.if_else(pa.array(spaced), " ", ""), each["ch"].fill_null(""), "")
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([*first, len(page)], pa.int32()), piece), "")
+        if len(first):
+            rect = [_nullable(f.reduceat(v, first)) for f, v in ((np.fmin, x0), (np.fmax, x1), (np.fmin, y0), (np.fmax, y1))]
+        else:
+            rect = [pa.array([], pa.float64())] * 4
+        columns = [pa.array(np.arange(len(first)) - until[own], pa.int32()), *rect, text, pa.array(np.diff([*first, len(page)]), pa.int64())]
+        rows = pa.StructArray.from_arrays(columns, [f.name for f in schema["lines"].dataType.elementType])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(until, pa.int32()), rows)], [*_PAGE, "lines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, 2):
+                yield lines(part)
+
+    found = pages.select(*_PAGE, *_CHAR).mapInArrow(run, schema)
+    return found.withColumn("lines", F.filter("lines", lambda x: x["text"].rlike(r"[^\s\p{Z}]")))
+
+
+def _parts(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about most elements of a list column, a row at least."""
+    bound = batch.column(column).offsets.to_numpy()
+    lo = 0
+    while lo < len(batch):
+        hi = max(int(np.searchsorted(bound, bound[lo] + most, "right")) - 1, lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def lines_of_chars(chars: DataFrame, line_overlap: float = 0.5, char_margin: float = 2.05, word_margin: float = 0.1) -> DataFrame:
+    """doc_id, page_num, line_idx, x0, x1, y0, y1, text, n_chars for chars(doc_id, page_num, pos, x0, x1, y0, y1, ch).
+
+    Characters that lie anywhere meet by page in one exchange; see ``lines_in_pages``, which takes pages without one.
     """
-    page = Window.partitionBy(*_PAGE).orderBy("pos")
-    rows = chars.select(*_PAGE, "pos", "x0", "x1", "y0", "y1", "ch").withColumn("p", F.lag(F.struct("x0", "x1", "y0", "y1")).over(page))
-    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    before_wide, before_high = F.col("p.x1") - F.col("p.x0"), F.col("p.y1") - F.col("p.y0")
-    level = (F.col("p.y0") <= F.col("y1")) & (F.col("y0") <= F.col("p.y1"))
-    shared = F.least(F.abs(F.col("p.y0") - F.col("y1")), F.abs(F.col("p.y1") - F.col("y0")))
-    meet = (F.col("p.x0") <= F.col("x1")) & (F.col("x0") <= F.col("p.x1"))
-    apart = F.when(meet, 0.0).otherwise(F.least(F.abs(F.col("p.x0") - F.col("x1")), F.abs(F.col("p.x1") - F.col("x0"))))
-    goes_on = F.coalesce(level & (F.least(high, before_high) * line_overlap < shared) & (apart < F.greatest(wide, before_wide) * char_margin), F.lit(False))
-    spaced = F.col("goes_on") & (F.col("p.x1") < F.col("x0") - word_margin * F.greatest(wide, high))
-    rows = rows.withColumn("goes_on", goes_on)
-    rows = rows.withColumn("line_idx", (F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(page) - 1).cast("int"))
-    piece = F.struct("pos", F.concat(F.when(spaced, F.lit(" ")).otherwise(F.lit("")), F.coalesce("ch", F.lit(""))).alias("s"))
-    lines = rows.groupBy(*_PAGE, "line_idx").agg(
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "").alias("text"), F.count(F.lit(1)).alias("n_chars"),
-    )
-    return lines.filter(F.col("text").rlike(r"[^\s\p{Z}]"))
-
-
-def line_neighbours(lines: DataFrame, line_margin: float = 0.5) -> DataFrame:
-    """doc_id, page_num, a, b: line b lies near line a, about as high and aligned left, right or centrally.
+    return lines_in_pages(pages_of_chars(chars), line_overlap, char_margin, word_margin).select(*_PAGE, F.inline("lines"))
+
+
+def _near(line_idx: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, line_margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of lines of a page where b lies near a, about as high and aligned left, right or centrally.
 
     Near is a's rectangle with line_margin of its height added above and below; other tolerances are
-    as large.  Pairs meet in cells of the page, twice as wide and high as its lines on average, each
-    pair in one cell alone, so the pairs that are compared follow the lines and not their square.
+    as large.  Lines are sorted by their lower edge, so a is compared with those on its own height alone.
     """
-    page = Window.partitionBy(*_PAGE)
-    high = F.col("y1") - F.col("y0")
-    cell = lambda size: F.coalesce(F.nullif(F.avg(size).over(page) * 2, F.lit(0.0)), F.lit(1.0))
-    rows = lines.select(*_PAGE, F.col("line_idx").alias("i"), "x0", "x1", "y0", "y1", high.alias("h"), (high * line_margin).alias("d"), cell(F.col("x1") - F.col("x0")).alias("wide"), cell(high).alias("high"))
+    high = y1 - y0
+    d = high * line_margin
+    by = np.argsort(y0, kind="stable")
+    slack = 1e-9 * (1 + np.abs(y0) + np.abs(y1))
+    lo = np.searchsorted(y0[by], y0 - 2 * np.abs(d) - np.abs(high) - slack, "left")
+    hi = np.searchsorted(y0[by], y1 + np.abs(d) + slack, "right")
+    n = np.maximum(hi - lo, 0)
+    n[np.isnan(high)] = 0
+    a = np.repeat(np.arange(len(y0)), n)
+    b = by[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    da = d[a]
+    ok = (line_idx[a] != line_idx[b]) & (x1[b] > x0[a]) & (x0[b] < x1[a]) & (y1[b] > y0[a] - da) & (y0[b] < y1[a] + da) & (np.abs(high[b] - high[a]) <= da)
+    ok &= (np.abs(x0[b] - x0[a]) <= da) | (np.abs(x1[b] - x1[a]) <= da) | (np.abs((x0[b] + x1[b]) / 2 - (x0[a] + x1[a]) / 2) <= da)
+    return a[ok], b[ok]
+
+
+def _least_linked(idx: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place the least idx that links (a, b) reach from it."""
+    above = list(range(len(idx)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        i, j = top(i), top(j)
+        if i != j:
+            i, j = (i, j) if idx[i] <= idx[j] else (j, i)
+            above[j] = i
+    return idx[[top(i) for i in range(len(idx))]] if len(idx) else idx
+
+
+def blocks_in_pages(pages: DataFrame, line_margin: float = 0.5) -> DataFrame:
+    """pages(doc_id, page_num, lines) whose lines have block: the first line_idx of the lines that neighbours connect (see ``_near``)."""
+    line = pages.schema["lines"].dataType.elementType
+    places = [line.fieldNames().index(c) for c in ("line_idx", "x0", "x1", "y0", "y1")]
+    schema = StructType([*pages.select(*_PAGE).schema.fields, StructField("lines", ArrayType(StructType([*line.fields, StructField("block", line["line_idx"].dataType)])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = batch.column(2).offsets.to_numpy().astype(np.int64)
+            bound = bound - bound[0]
+            rows = batch.column(2).flatten()
+            fields = rows.flatten()
+            idx, rect = fields[places[0]].to_numpy(zero_copy_only=False), [_numbers(fields[k]) for k in places[1:]]
+            found = [_least_linked(idx[lo:hi], *_near(idx[lo:hi], *(v[lo:hi] for v in rect), line_margin)) for lo, hi in zip(bound[:-1], bound[1:], strict=True)]
+            block = pa.array(np.concatenate(found) if found else idx, fields[places[0]].type)
+            out = pa.StructArray.from_arrays([*fields, block], [*line.fieldNames(), "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), out)], [*_PAGE, "lines"])
 
-    def side(s: str, grow: str) -> DataFrame:
-        span = {"x": (F.floor(F.expr("x0 / wide")), F.floor(F.expr("x1 / wide"))), "y": (F.floor(F.expr(f"(y0 - {grow}) / high")), F.floor(F.expr(f"(y1 + {grow}) / high")))}
-        out = rows.select(*_PAGE, *[F.col(c).alias(f"{s}_{c}") for c in ("i", "x0", "x1", "y0", "y1", "h", "d")], *[v[0].alias(f"{s}_first_{k}") for k, v in span.items()], F.sequence(*span["x"]).alias("xs"), F.sequence(*span["y"]).alias("ys"))
-        return out.withColumn("at_x", F.explode("xs")).withColumn("at_y", F.explode("ys")).drop("xs", "ys")
+    return pages.select(*_PAGE, "lines").mapInArrow(run, schema)
 
-    once = "a_i <> b_i AND at_x = greatest(a_first_x, b_first_x) AND at_y = greatest(a_first_y, b_first_y)"
-    pairs = side("a", "d").join(side("b", "0"), [*_PAGE, "at_x", "at_y"]).filter(once)
-    near = "b_x1 > a_x0 AND b_x0 < a_x1 AND b_y1 > a_y0 - a_d AND b_y0 < a_y1 + a_d AND abs(b_h - a_h) <= a_d"
-    aligned = "(abs(b_x0 - a_x0) <= a_d OR abs(b_x1 - a_x1) <= a_d OR abs((b_x0 + b_x1) / 2 - (a_x0 + a_x1) / 2) <= a_d)"
-    return pairs.filter(f"{near} AND {aligned}").select(*_PAGE, F.col("a_i").alias("a"), F.col("b_i").alias("b"))
+
+def pages_of_lines(lines: DataFrame) -> DataFrame:
+    """One row a page: doc_id, page_num, lines; in one exchange by page."""
+    return lines.groupBy(*_PAGE).agg(F.collect_list(F.struct(*[c for c in lines.columns if c not in _PAGE])).alias("lines"))
 
 
 def blocks_of_lines(lines: DataFrame, line_margin: float = 0.5) -> DataFrame:
     """lines with block: the first line_idx of the lines that neighbours connect."""
-    found = components(lines, line_neighbours(lines, line_margin), _PAGE, "line_idx")
-    return lines.join(found.withColumnRenamed("root", "block"), [*_PAGE, "line_idx"])
+    return blocks_in_pages(pages_of_lines(lines), line_margin).select(*_PAGE, F.inline("lines")).select(*lines.columns, "block")
 
 
 def merge_order(rects: list[Rect], flow: float) -> list[int]:
@@ -124,6 +226,23 @@ def merge_order(rects: list[Rect], flow: float) -> list[int]:
     return out
 
 
+def _order(pages: DataFrame, flow: float | None) -> DataFrame:
+    """doc_id, page_num, block, x0, x1, y0, y1, n_lines, order_idx for pages(doc_id, page_num, b), b the blocks of a page."""
+    schema = StructType([*pages.select(*_PAGE).schema.fields, *pages.schema["b"].dataType.elementType.fields, *StructType.fromDDL("order_idx int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for r in rows:
+                b = sorted(r["b"], key=lambda x: x["block"])
+                for place, k in enumerate(merge_order([(x["x0"], x["y0"], x["x1"], x["y1"]) for x in b], flow)):
+                    out.append({"doc_id": r["doc_id"], "page_num": r["page_num"], **b[k], "order_idx": place})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([batch.schema.field(0), batch.schema.field(1), *batch.schema.field(2).type.value_type, ("order_idx", pa.int32())]))
+
+    return pages.select(*_PAGE, "b").mapInArrow(run, schema)
+
+
 def block_order(blocks: DataFrame, flow: float | None = 0.5) -> DataFrame:
     """doc_id, page_num, block, x0, x1, y0, y1, n_lines, order_idx for lines with a block.
 
@@ -135,22 +254,73 @@ def block_order(blocks: DataFrame, flow: float | None = 0.5) -> DataFrame:
     if flow is None:
         top = Window.partitionBy(*_PAGE).orderBy(F.desc("y0"), "x0", "block")
         return each.withColumn("order_idx", (F.row_number().over(top) - 1).cast("int"))
-    schema = StructType([*each.schema.fields, *StructType.fromDDL("order_idx int").fields])
+    return _order(each.groupBy(*_PAGE).agg(F.collect_list(F.struct(*_BLOCK)).alias("b")), flow)
+
+
+def _rects_in_pages(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, page_num, lines with a block) with b: the blocks' rectangles and numbers of lines, by block; nothing is shuffled."""
+    line = pages.schema["lines"].dataType.elementType
+    places = [line.fieldNames().index(c) for c in _BLOCK[:-1]]
+    kind = line["block"].dataType.simpleString()
+    schema = StructType([*pages.schema.fields, *StructType.fromDDL(f"b array<struct<block:{kind},x0:double,x1:double,y0:double,y1:double,n_lines:bigint>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                b = sorted(r["b"], key=lambda x: x["block"])
-                for place, k in enumerate(merge_order([(x["x0"], x["y0"], x["x1"], x["y1"]) for x in b], flow)):
-                    out.append({"doc_id": r["doc_id"], "page_num": r["page_num"], **b[k], "order_idx": place})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([batch.schema.field(0), batch.schema.field(1), *batch.schema.field(2).type.value_type, ("order_idx", pa.int32())]))
+            at = batch.schema.get_field_index("lines")
+            bound = batch.column(at).offsets.to_numpy().astype(np.int64)
+            fields = batch.column(at).flatten().flatten()
+            page, block = np.repeat(np.arange(len(batch)), np.diff(bound)), fields[places[0]].to_numpy(zero_copy_only=False)
+            by = np.lexsort((block, page))
+            page, block = page[by], block[by]
+            first = np.flatnonzero(np.r_[True, (np.diff(page) != 0) | (np.diff(block) != 0)]) if len(by) else np.zeros(0, int)
+            rect = [_nullable(f.reduceat(_numbers(fields[k])[by], first)) if len(by) else pa.array([], pa.float64()) for f, k in zip((np.fmin, np.fmax, np.fmin, np.fmax), places[1:], strict=True)]
+            out = pa.StructArray.from_arrays([pa.array(block[first], fields[places[0]].type), *rect, pa.array(np.diff([*first, len(by)]), pa.int64())], list(_BLOCK))
+            until = pa.array(np.searchsorted(page[first], np.arange(len(batch) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(until, out)], [*batch.schema.names, "b"])
 
-    pages = each.groupBy(*_PAGE).agg(F.collect_list(F.struct("block", "x0", "x1", "y0", "y1", "n_lines")).alias("b"))
     return pages.mapInArrow(run, schema)
 
 
+def order_in_pages(pages: DataFrame, flow: float = 0.5) -> DataFrame:
+    """``block_order`` of pages(doc_id, page_num, lines with a block): a page is a row, nothing is shuffled."""
+    return _order(_rects_in_pages(pages.select(*_PAGE, "lines")), flow)
+
+
+def lines_of_pages_in_order(pages: DataFrame) -> DataFrame:
+    """doc_id, page_num, block, box_idx, text of pages(doc_id, page_num, lines with a block), one row a page.
+
+    Blocks go by their lower edge from the top, then from the left; their lines from the top.  A
+    page's lines are sorted in its row; the one exchange carries pages to their document for the
+    number of lines before them.
+    """
+    line = pages.schema["lines"].dataType.elementType
+    places = [line.fieldNames().index(c) for c in ("block", "line_idx", "x0", "y0", "y1", "text")]
+    schema = StructType([*pages.select(*_PAGE).schema.fields, StructField("s", ArrayType(StructType([StructField("block", line["block"].dataType), *StructType.fromDDL("text string").fields])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = batch.column(2).offsets.to_numpy().astype(np.int64)
+            bound = bound - bound[0]
+            fields = batch.column(2).flatten().flatten()
+            page = np.repeat(np.arange(len(batch)), np.diff(bound))
+            block, idx = (fields[k].to_numpy(zero_copy_only=False) for k in places[:2])
+            x0, y0, y1 = (_numbers(fields[k]) for k in places[2:5])
+            by = np.lexsort((block, page))
+            first = np.flatnonzero(np.r_[True, (np.diff(page[by]) != 0) | (np.diff(block[by]) != 0)]) if len(by) else by
+            left, low = np.empty(len(by)), np.empty(len(by))
+            if len(by):
+                n = np.diff([*first, len(by)])
+                left[by], low[by] = (np.repeat(np.fmin.reduceat(v[by], first), n) for v in (x0, y0))
+            order = pa.array(np.lexsort((idx, -y1, block, np.where(np.isnan(left), -np.inf, left), -low, page)))
+            out = pa.StructArray.from_arrays([fields[places[0]].take(order), fields[places[5]].take(order)], ["block", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), out)], [*_PAGE, "s"])
+
+    slim = pages.select(*_PAGE, "lines").mapInArrow(run, schema).filter(F.size("s") > 0)
+    before = F.sum(F.size("s")).over(Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1))
+    out = slim.withColumn("before", F.coalesce(before, F.lit(0))).select(*_PAGE, "before", F.posexplode("s").alias("i", "x"))
+    return out.select(*_PAGE, "x.block", (F.col("before") + F.col("i")).cast("int").alias("box_idx"), "x.text")
+
+
 def lines_in_order(blocks: DataFrame, order: DataFrame) -> DataFrame:
     """Lines with box_idx, their place in the document: by page, by the order of blocks, from the top."""
     rows = blocks.join(order.select(*_PAGE, "block", "order_idx"), [*_PAGE, "block"])
