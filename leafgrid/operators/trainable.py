@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.embedding import word_features
-from ..functions.features import tokens
+from ..functions.features import WORD, word_shape
+from ..functions.transliterate import ascii_fold
 from .classify import LAYOUT
 
 DIMS, SUMS = 4096, 16
@@ -31,17 +31,21 @@ IGNORED = -100
 def box_vectors(featured: DataFrame, dims: int = DIMS, layout: Sequence[str] = LAYOUT, label_col: str = "label", keys: Sequence[str] = ("doc_id", "box_idx")) -> DataFrame:
     """keys, text, label, at, value: each box's sparse vector; the columns of layout have places from dims on, then comes the constant.
 
-    Boxes without words have layout alone; null measures count as zero.
+    Boxes without words have layout alone; null measures count as zero.  A box's words are counted in
+    its row: nothing is shuffled.
     """
-    words = word_features(tokens(featured.select(*keys, "text"), keys=tuple(keys)), "token", keys)
-    slot = F.pmod(F.xxhash64("kind", "value"), F.lit(dims)).cast("int")
-    hashed = words.groupBy(*keys, slot.alias("slot")).agg(F.sum("n").alias("n"))
-    each = hashed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("words"), F.sum("n").alias("total"))
-    rows = featured.select(*keys, "text", F.col(label_col).alias("label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in layout]).join(each, list(keys), "left")
-    none = F.array().cast("array<struct<slot:int,n:bigint>>")
-    rows = rows.withColumn("words", F.coalesce("words", none))
-    at = F.concat(F.transform("words", lambda w: w["slot"]), F.array(*[F.lit(dims + i) for i in range(len(layout) + 1)]))
-    value = F.concat(F.transform("words", lambda w: w["n"] / F.col("total")), F.array(*layout, F.lit(1.0)))
+    held = featured.select(*keys, "text", F.col(label_col).alias("label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in layout])
+    words = F.transform(F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>")), lambda w: ascii_fold(w))
+    named = held.withColumn("words", words).withColumn("words", F.transform("words", lambda w: F.struct(word_shape(w).alias("shape"), F.lower(F.trim(w)).alias("low"))))
+    slot = lambda kind, value: F.pmod(F.xxhash64(F.lit(kind), value), F.lit(dims)).cast("int")
+    slots = F.flatten(F.transform("words", lambda w: F.array(slot("shape", w["shape"]), slot("prefix", F.left(w["low"], F.lit(3))), slot("suffix", F.right(w["low"], F.lit(3))))))
+    rows = named.withColumn("slots", F.sort_array(slots)).drop("words")
+    # equal slots follow each other: where each begins
+    begin = F.filter(F.transform("slots", lambda x, i: F.when((i == 0) | (x != F.get("slots", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("begin", begin)
+    at = F.concat(F.transform("begin", lambda i: F.get("slots", i)), F.array(*[F.lit(dims + i) for i in range(len(layout) + 1)]))
+    share = F.transform("begin", lambda i, j: (F.coalesce(F.get("begin", j + 1), F.size("slots")) - i) / F.size("slots"))
+    value = F.concat(share, F.array(*layout, F.lit(1.0)))
     return rows.select(*keys, "text", "label", at.alias("at"), value.alias("value"))
 
 

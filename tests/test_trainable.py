@@ -137,3 +137,21 @@ def test_text_embedding_against_sums(spark, boxes):
         embedding.BROADCAST = plain
         assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in want)
     assert words.filter(F.col("word") == "").count() == 0
+
+
+def test_vectors_count_words_without_a_shuffle(spark):
+    rows = [(1, 0, 0, 0.0, 0.5, 0.0, 0.1, "Straße straße 12 Ab ab ab", "x"), (1, 1, 0, 0.0, 0.5, 0.0, 0.1, "", "x"), (2, 0, 0, 0.0, 0.5, 0.0, 0.1, None, None)]
+    boxes = layout_features(spark.createDataFrame(rows, ROWS))
+    plain = boxes.drop("first_page", "last_page").withColumns({"first_page": F.lit(1.0), "last_page": F.lit(0.0)})
+    assert "Exchange" not in trainable.box_vectors(spark.createDataFrame(plain.collect(), plain.schema), 64)._jdf.queryExecution().executedPlan().toString()
+    hashed = embedding.word_features(tokens(plain).withColumnRenamed("token", "word")).select("doc_id", "box_idx", F.pmod(F.xxhash64("kind", "value"), F.lit(64)).cast("int").alias("slot"), "n")
+    want, total = {}, {}
+    for r in hashed.collect():
+        key = r.doc_id, r.box_idx
+        want.setdefault(key, {})[r.slot] = want.get(key, {}).get(r.slot, 0) + r.n
+        total[key] = total.get(key, 0) + r.n
+    for r in trainable.box_vectors(plain, 64).collect():
+        key = r.doc_id, r.box_idx
+        found = [(s, v) for s, v in zip(r.at, r.value, strict=True) if s < 64]
+        assert found == [(s, n / total[key]) for s, n in sorted(want.get(key, {}).items())]
+        assert r.at[len(found) :] == list(range(64, 64 + len(r.at) - len(found))) and r.value[-1] == 1.0
