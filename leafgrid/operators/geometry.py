@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import cmp_to_key
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,11 +199,14 @@ def merge_keys(rects: list[tuple[float, float, float, float]], labels: list) ->
     while True:
         group = np.array(keys)
         near = []
-        for i in range(len(r)):
-            # rectangles that the joint ones of i and each j meet, of another group than i
-            meets = (np.minimum(joint_high[i][:, None], high[None]) > np.maximum(joint_low[i][:, None], low[None])).all(-1)
-            free = ~(meets & (group != group[i])[None]).any(1) & (group == group[i])
-            near.append(sum(1 << j for j in np.flatnonzero(free).tolist() if j != i))
+        step = max(1, (1 << 20) // max(len(r), 1) ** 2)
+        for lo in range(0, len(r), step):
+            # rectangles that the joint ones of each i and each j meet, of another group than i
+            some = slice(lo, lo + step)
+            meets = (np.minimum(joint_high[some, :, None], high) > np.maximum(joint_low[some, :, None], low)).all(-1)
+            free = ~(meets & (group != group[some, None])[:, None]).any(-1) & (group == group[some, None])
+            free[np.arange(len(free)), np.arange(lo, lo + len(free))] = False
+            near += [int.from_bytes(x.tobytes(), "little") for x in np.packbits(free, axis=1, bitorder="little")]
         taken: dict[int, int] = {}
         clash = False
         for number, clique in enumerate(_cliques(near)):
@@ -223,14 +225,21 @@ def merge_boxes(boxes: DataFrame) -> DataFrame:
     """
     schema = StructType([boxes.schema["doc_id"], boxes.schema["page_num"], boxes.schema["box_idx"], *StructType.fromDDL("label string, x0 double, x1 double, y0 double, y1 double, n_boxes bigint").fields])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_idx")
-        labels = [None if pd.isna(x) else x for x in pdf["label"]]
-        pdf = pdf.assign(key=merge_keys(list(pdf[["x0", "x1", "y0", "y1"]].itertuples(index=False, name=None)), labels))
-        out = pdf.groupby("key", sort=False).agg(doc_id=("doc_id", "first"), page_num=("page_num", "first"), box_idx=("box_idx", "first"), label=("label", "first"), x0=("x0", "min"), x1=("x1", "max"), y0=("y0", "min"), y1=("y1", "max"), n_boxes=("x0", "size"))
-        return out.reset_index(drop=True)
-
-    return boxes.groupBy("doc_id", "page_num").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, page, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                groups: dict[int, list[dict]] = {}
+                for k, r in zip(merge_keys([tuple(r[c] for c in ("x0", "x1", "y0", "y1")) for r in rows], [r["label"] for r in rows]), rows, strict=True):
+                    groups.setdefault(k, []).append(r)
+                for g in groups.values():
+                    side = lambda c, f, g=g: f((r[c] for r in g if r[c] is not None), default=None)
+                    out.append((doc, page, g[0]["box_idx"], g[0]["label"], side("x0", min), side("x1", max), side("y0", min), side("y1", max), len(g)))
+            types = (batch.schema.field(0).type, batch.schema.field(1).type, batch.schema.field(2).type.value_type.field("box_idx").type, pa.string(), *[pa.float64()] * 4, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 9, types, strict=True)], schema.fieldNames())
+
+    pages = boxes.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("box_idx", "x0", "x1", "y0", "y1", "label"))).alias("rows"))
+    return pages.mapInArrow(run, schema)
 
 
 def relative_positions(boxes: DataFrame, n: int = 64) -> DataFrame:
