@@ -6,12 +6,17 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .geometry import precedes
+from .layout import _parts
 
 #: One line of text as an extractor gives it: page, rectangle in page units (y upwards), text, styles.
 Line = tuple[int, float, float, float, float, str, list[dict]]
@@ -60,6 +65,57 @@ def style_runs(chars: DataFrame) -> DataFrame:
     return runs.select("doc_id", "box_idx", F.col("run").cast("int").alias("run"), F.col("begin").cast("int").alias("begin"), F.coalesce("end", "begin").cast("int").alias("end"), "style.fontname", "style.italic", "style.bold")
 
 
+def style_runs_in_lines(lines: DataFrame) -> DataFrame:
+    """``style_runs`` for lines(doc_id, box_idx, ch, fontname, upright), a line's characters as arrays in its row; no character is null.
+
+    Runs are found where the line lies: nothing is shuffled.
+    """
+    keys = ("doc_id", "box_idx")
+    schema = StructType([*lines.select(*keys).schema.fields, *StructType.fromDDL("run int, begin int, end int, fontname string, italic boolean, bold boolean").fields])
+
+    def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bound = batch.column(2).offsets.to_numpy().astype(np.int64)
+        ch, font, upright = (batch.column(i).flatten() for i in (2, 3, 4))
+        line = np.repeat(np.arange(len(batch)), np.diff(bound))
+        blank = pc.is_in(ch, pa.array([" ", "\t", "\n", "\x0b", "\f", "\r"])).to_numpy(zero_copy_only=False)
+        coded = font.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        code = coded.indices.fill_null(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+        slanted = np.array([*("italic" in x.lower() for x in names), False])[code]
+        # italic: 0 no, 1 yes, 2 unknown
+        straight = pc.if_else(pc.is_null(upright), 2, pc.if_else(upright, 0, 1)).to_numpy(zero_copy_only=False)
+        italic = np.where(slanted | (straight == 1), 1, np.where((code == len(names)) | (straight == 2), 2, 0))
+        starts = np.r_[True, np.diff(line) != 0] if len(line) else np.zeros(0, bool)
+        at = np.arange(len(line))
+        opened = np.maximum.accumulate(np.where(starts, at, 0)) if len(line) else at
+        source = np.maximum.accumulate(np.where(blank, -1, at)) if len(line) else at
+        style = np.where(source >= opened, (code * 3 + italic)[source], -1) if len(line) else at
+        kept = ~blank
+        kept[1:] |= ~starts[1:] & ~blank[:-1]
+        spot = np.cumsum(kept) - kept
+        spot = spot - spot[opened]
+        new = starts.copy()
+        new[1:] |= style[1:] != style[:-1]
+        first = np.flatnonzero(new)
+        number = np.cumsum(new)
+        end = np.maximum.reduceat(np.where(blank, -1, spot + 1), first) if len(first) else at
+        begin, style = spot[first], style[first]
+        f = np.where(style < 0, len(names), style // 3)
+        named = pa.array([*names, None], pa.string()).take(pa.array(f))
+        heavy = pa.array([*("bold" in x.lower() for x in names), None], pa.bool_()).take(pa.array(f))
+        slant = pa.array([False, True, None], pa.bool_()).take(pa.array(np.where(style < 0, 2, style % 3)))
+        own = pa.array(line[first])
+        columns = [batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x, pa.int32()) for x in ((number - number[opened])[first], begin, np.where(end < 0, begin, end))), named, slant, heavy]
+        return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, 2):
+                yield runs(part)
+
+    return lines.select(*keys, "ch", "fontname", "upright").mapInArrow(run, schema)
+
+
 @extractor("plain-pdf")
 def read_plain_pdf(content: bytes) -> tuple[list[tuple[float, float]], list[Line]]:
     """A small reader of simple PDFs: FlateDecode or plain content streams with Td, Tm, TL, T*, Tj and TJ.
