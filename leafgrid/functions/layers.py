@@ -1,4 +1,4 @@
-"""Forward passes of the box encoder in numpy, for use inside grouped pandas functions."""
+"""Forward passes of the box encoder in numpy, for use inside tasks."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
@@ -44,13 +45,13 @@ def grouped_linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None =
 
 
 def make_heads(x: np.ndarray, n: int) -> np.ndarray:
-    """(length, heads * size) as (heads, length, size)."""
-    return x.reshape(len(x), n, -1).swapaxes(0, 1)
+    """(..., length, heads * size) as (..., heads, length, size)."""
+    return x.reshape(*x.shape[:-1], n, -1).swapaxes(-3, -2)
 
 
 def gather(table: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """table (heads, rows, places), index (rows, columns) -> (heads, rows, columns)."""
-    return np.take_along_axis(table, np.broadcast_to(index, (len(table), *index.shape)), axis=-1)
+    """table (..., heads, rows, places), index (..., rows, columns) -> (..., heads, rows, columns)."""
+    return np.take_along_axis(table, np.broadcast_to(index[..., None, :, :], (*table.shape[:-1], index.shape[-1])), axis=-1)
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ class RelativeAttention:
     modes: tuple[str, ...] = ("c2c", "c2p", "p2c")
 
     def scores(self, x: np.ndarray, positions: np.ndarray | None = None, placed: np.ndarray | None = None) -> np.ndarray:
-        """(heads, n, n) for x (n, size) and positions (n, n, coordinates) of keys as queries see them.
+        """(..., heads, n, n) for x (..., n, size) and positions (..., n, n, coordinates) of keys as queries see them.
 
         Pairs that aren't placed (n, n) get no terms of position.
         """
@@ -97,7 +98,7 @@ class RelativeAttention:
             if "c2p" in self.modes:
                 terms.append(self._placed(q, self.pos_key, at, placed))
             if "p2c" in self.modes:
-                terms.append(self._placed(k, self.pos_query, at.swapaxes(0, 1), None if placed is None else placed.T).swapaxes(-1, -2))
+                terms.append(self._placed(k, self.pos_query, at.swapaxes(-3, -2), None if placed is None else placed.T).swapaxes(-1, -2))
         if not terms:
             raise ValueError("no term is left: positions are missing")
         return sum(terms) / math.sqrt(size * len(terms))
@@ -110,11 +111,11 @@ class RelativeAttention:
         return out if placed is None else np.where(placed, out, 0.0)
 
     def __call__(self, x: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None, placed: np.ndarray | None = None) -> np.ndarray:
-        """(n, heads * head); keys whose mask (n) is false take no part."""
+        """(..., n, heads * head); keys whose mask (n) is false take no part."""
         scores = self.scores(x, positions, placed)
         if mask is not None:
             scores = np.where(mask, scores, -10000.0)
-        return (softmax(scores) @ make_heads(self.value(x), self.heads)).swapaxes(0, 1).reshape(len(x), -1)
+        return (softmax(scores) @ make_heads(self.value(x), self.heads)).swapaxes(-3, -2).reshape(*x.shape[:-1], -1)
 
 
 @dataclass(frozen=True)
@@ -138,7 +139,7 @@ class TransformerLayer:
 
 @dataclass(frozen=True)
 class BoxTransformer:
-    """Layers over the boxes of a page, ahead of which an empty token without a place stands."""
+    """Layers over the boxes of a page, or of pages with as many boxes, ahead of which an empty token without a place stands."""
 
     layers: tuple[TransformerLayer, ...]
     empty: np.ndarray
@@ -162,27 +163,28 @@ class BoxTransformer:
         return BoxTransformer(tuple(made), rng.normal(0, 1, size))
 
     def __call__(self, x: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None) -> np.ndarray:
-        n = len(x)
-        x = np.concatenate([self.empty[None], x])
+        n, size = x.shape[-2:]
+        x = np.concatenate([np.broadcast_to(self.empty, (*x.shape[:-2], 1, size)), x], axis=-2)
         at = placed = None
         if positions is not None:
-            at = np.zeros((n + 1, n + 1, positions.shape[-1]), int)
-            at[1:, 1:] = positions
+            at = np.zeros((*positions.shape[:-3], n + 1, n + 1, positions.shape[-1]), int)
+            at[..., 1:, 1:, :] = positions
             placed = np.zeros((n + 1, n + 1), bool)
             placed[1:, 1:] = True
         if mask is not None:
             mask = np.concatenate([[True], mask])
         for layer in self.layers:
             x = layer(x, at, mask, placed)
-        return x[1:]
+        return x[..., 1:, :]
 
 
 def page_positions(x0: np.ndarray, y0: np.ndarray, y1: np.ndarray, n: int = 64) -> np.ndarray:
-    """(boxes, boxes, 2): grid steps and lines from each box to every other, as in ``relative_positions``."""
-    dx = np.trunc((x0[None] - x0[:, None]) * n)
+    """(..., boxes, boxes, 2): grid steps and lines from each box to every other, as in ``relative_positions``."""
+    query, key = (lambda v: v[..., :, None]), (lambda v: v[..., None, :])
+    dx = np.trunc((key(x0) - query(x0)) * n)
     height = y1 - y0
-    ref = np.where(y0[None] >= y0[:, None], height[:, None], height[None])
-    far, near = y1[None] - y0[:, None], y0[None] - y1[:, None]
+    ref = np.where(key(y0) >= query(y0), query(height), key(height))
+    far, near = key(y1) - query(y0), key(y0) - query(y1)
     below, above = (far > -0.5) & (near > -0.5), (far < 0.5) & (near < 0.5)
     reach = np.where(below, np.minimum(far, near), np.maximum(far, near))
     lines = reach / np.where(ref == 0, 1.0, ref)
@@ -207,13 +209,35 @@ def text_embedding(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
 
 
 def contextualise(boxes: DataFrame, model: BoxTransformer, embedding_col: str = "embedding", out_col: str = "context", n: int = 64) -> DataFrame:
-    """Adds the transformer's output for each box of a page; a page's boxes bound a task's work."""
-    schema = StructType([*boxes.schema.fields, StructField(out_col, ArrayType(DoubleType()))])
+    """Adds the transformer's output for each box of a page; a page's boxes bound a task's work.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_idx")
-        positions = page_positions(*(pdf[c].to_numpy(float) for c in ("x0", "y0", "y1")), n)
-        out = model(np.array(pdf[embedding_col].tolist(), float), positions)
-        return pdf.assign(**{out_col: list(out)})
-
-    return boxes.groupBy("doc_id", "page_num").applyInPandas(run, schema)
+    A page is a row; the pages of a batch that have as many boxes go through the layers together.
+    """
+    page = ("doc_id", "page_num")
+    held = boxes.select(*page, *[c for c in boxes.columns if c not in page])
+    line = StructType(held.schema.fields[2:])
+    places = [line.fieldNames().index(c) for c in ("x0", "y0", "y1", embedding_col)]
+    schema = StructType([*held.schema.fields[:2], StructField("rows", ArrayType(StructType([*line.fields, StructField(out_col, ArrayType(DoubleType()))])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = batch.column(2).offsets.to_numpy().astype(np.int64)
+            bound = bound - bound[0]
+            fields = batch.column(2).flatten().flatten()
+            x0, y0, y1 = (fields[k].cast(pa.float64()).to_numpy(zero_copy_only=False) for k in places[:3])
+            size = len(model.empty)
+            given = fields[places[3]].flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)
+            out, count = np.empty_like(given), np.diff(bound)
+            for m in np.unique(count[count > 0]):
+                pages = bound[:-1][count == m]
+                step = max(1, (1 << 16) // int(m) ** 2)
+                for lo in range(0, len(pages), step):
+                    at = pages[lo : lo + step, None] + np.arange(m)
+                    out[at] = model(given[at], page_positions(x0[at], y0[at], y1[at], n))
+            context = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * size, pa.int32()), pa.array(out.reshape(-1)))
+            rows = pa.StructArray.from_arrays([*fields, context], [*line.fieldNames(), out_col])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), rows)], schema.fieldNames())
+
+    order = F.struct("box_idx", F.struct(*line.fieldNames()).alias("r"))
+    pages = held.groupBy(*page).agg(F.array_sort(F.collect_list(order)).alias("o")).select(*page, F.col("o.r").alias("rows"))
+    return pages.mapInArrow(run, schema).select(*page, F.inline("rows")).select(*boxes.columns, out_col)

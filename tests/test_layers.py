@@ -110,3 +110,17 @@ def test_pooling_and_text_vectors():
     assert layers.cnn_pool(words, kernels, np.eye(2)).tolist() == [9.0, 15.0]
     tables = [np.array([[0.0], [1.0], [2.0]]), np.array([[10.0], [20.0]])]
     assert layers.text_embedding(np.array([[1, 1], [7, -1]]), tables).tolist() == [[21.0], [10.0]]
+
+
+def test_pages_of_one_size_go_together(spark):
+    rng = np.random.default_rng(3)
+    model = layers.BoxTransformer.seeded(SIZE, HEADS, 2, PLACES)
+    rows = [(p, 0, i, *map(float, rng.random(2)), 1.0, rng.normal(size=SIZE).tolist()) for p in range(9) for i in range(1 + p % 3)]
+    df = spark.createDataFrame(rows, "doc_id long, page_num int, box_idx int, x0 double, y0 double, y1 double, embedding array<double>").repartition(2)
+    found = layers.contextualise(df, model)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    out = {(r.doc_id, r.box_idx): r.context for r in found.collect()}
+    for p in range(9):
+        own = [r for r in rows if r[0] == p]
+        want = model(np.array([r[6] for r in own]), layers.page_positions(*(np.array([r[k] for r in own]) for k in (3, 4, 5))))
+        np.testing.assert_allclose(np.array([out[p, i] for i in range(len(own))]), want)
