@@ -24,3 +24,11 @@ def test_pages_are_merged_as_rows_and_rectangles_without_sides(spark):
     merged = geometry.merge_boxes(spark.createDataFrame(rows, "doc_id long, page_num int, box_idx int, x0 double, x1 double, y0 double, y1 double, label string"))
     assert sorted((r.page_num is None, r.box_idx, r.label, r.x0, r.x1, r.n_boxes) for r in merged.collect()) == [(False, 1, "x", None, 0.7, 2), (True, 0, None, 0.0, 0.5, 1)]
     assert "FlatMapGroups" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_embedding_folds_each_word_once(spark, monkeypatch):
+    kept, settle = [], catalog.settle
+    monkeypatch.setattr(catalog, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    catalog.text_embedding(spark, "/root/testdata/sf0.001")
+    words = catalog._read(spark, "/root/testdata/sf0.001", "documents").select(F.explode(F.split("text", "[ \n]", -1)).alias("w")).filter("w <> ''")
+    assert [t.count() for t in kept] == [words.distinct().count()]
