@@ -72,6 +72,18 @@ def ascii_fold(word: Column, missing: str | None = None) -> Column:
     return F.trim(F.when(F.octet_length(word) == F.length(word), word).otherwise(folded))
 
 
+#: Latin letters and the usual marks, as ranges of characters; all but U+0001.
+LATIN = (("\x00", "\x00"), ("\x02", "\u017f"), ("\u2010", "\u2027"), ("€", "€"))
+
+
+def latin_spelled(text: Column) -> Column:
+    """A text of LATIN characters with those that become several replaced; single() tells the rest of their ASCII forms."""
+    for c, to in tables()[1].items():
+        if len(c) == 1 and any(lo <= c <= hi for lo, hi in LATIN):
+            text = F.replace(text, F.lit(c), F.lit(to))
+    return text
+
+
 def _json(table: dict[str, str]) -> str:
     import json
 

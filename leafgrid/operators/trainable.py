@@ -20,33 +20,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.features import WORD, word_shape
-from ..functions.transliterate import ascii_fold
+from ..functions.features import word_marks
 from .classify import LAYOUT
 
 DIMS, SUMS = 4096, 16
 IGNORED = -100
 
 
-def box_vectors(featured: DataFrame, dims: int = DIMS, layout: Sequence[str] = LAYOUT, label_col: str = "label", keys: Sequence[str] = ("doc_id", "box_idx")) -> DataFrame:
+def box_vectors(featured: DataFrame, dims: int = DIMS, layout: Sequence[str] = LAYOUT, label_col: str = "label", keys: Sequence[str] = ("doc_id", "box_idx"), packed: bool = False) -> DataFrame:
     """keys, text, label, at, value: each box's sparse vector; the columns of layout have places from dims on, then comes the constant.
 
     Boxes without words have layout alone; null measures count as zero.  A box's words are counted in
-    its row: nothing is shuffled.
+    its row: nothing is shuffled.  packed gives at and value as bytes of 32-bit integers and doubles,
+    which are stored and read several times faster than arrays.
     """
-    held = featured.select(*keys, "text", F.col(label_col).alias("label"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in layout])
-    words = F.transform(F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>")), lambda w: ascii_fold(w))
-    named = held.withColumn("words", words).withColumn("words", F.transform("words", lambda w: F.struct(word_shape(w).alias("shape"), F.lower(F.trim(w)).alias("low"))))
+    measures = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in layout]).cast("array<double>")
+    held = featured.select(*keys, "text", F.col(label_col).alias("label"), measures.alias("layout"))
+    rows = word_marks(held)
     slot = lambda kind, value: F.pmod(F.xxhash64(F.lit(kind), value), F.lit(dims)).cast("int")
-    slots = F.flatten(F.transform("words", lambda w: F.array(slot("shape", w["shape"]), slot("prefix", F.left(w["low"], F.lit(3))), slot("suffix", F.right(w["low"], F.lit(3))))))
-    rows = named.withColumn("slots", F.sort_array(slots)).drop("words")
-    # equal slots follow each other: where each begins
-    begin = F.filter(F.transform("slots", lambda x, i: F.when((i == 0) | (x != F.get("slots", i - 1)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("begin", begin)
-    at = F.concat(F.transform("begin", lambda i: F.get("slots", i)), F.array(*[F.lit(dims + i) for i in range(len(layout) + 1)]))
-    share = F.transform("begin", lambda i, j: (F.coalesce(F.get("begin", j + 1), F.size("slots")) - i) / F.size("slots"))
-    value = F.concat(share, F.array(*layout, F.lit(1.0)))
-    return rows.select(*keys, "text", "label", at.alias("at"), value.alias("value"))
+    shape = F.transform("shapes", lambda w: slot("shape", w))
+    prefix, suffix = F.transform("lows", lambda w: slot("prefix", F.left(w, F.lit(3)))), F.transform("lows", lambda w: slot("suffix", F.right(w, F.lit(3))))
+    counted = rows.select(*keys, "text", "label", F.concat(shape, prefix, suffix).alias("slots"), "layout")
+    types = ("binary", "binary") if packed else ("array<int>", "array<double>")
+    schema = StructType([*(counted.schema[c] for c in (*keys, "text", "label")), *StructType.fromDDL(f"at {types[0]}, value {types[1]}").fields])
+    return counted.mapInArrow(_counted(dims, len(layout), packed), schema)
+
+
+def _counted(dims: int, layout: int, packed: bool):
+    """Boxes with their places and shares, from boxes with the place of each of their words' features; a text's words stay in its row."""
+
+    def arrays(bound: np.ndarray, data: np.ndarray) -> pa.Array:
+        if packed:
+            return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+        return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(data))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(batch.num_columns - 2).offsets.to_numpy().astype(np.int64)
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), "right")) - 1)
+                hi = min(hi, lo + 4096)
+                part = batch.slice(lo, hi - lo)
+                lo = hi
+                bound, slots = _flat(part.column(part.num_columns - 2))
+                rows = len(part)
+                key = np.sort(np.repeat(np.arange(rows, dtype=np.int64) * dims, np.diff(bound)) + slots)
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                box, n = key[first] // dims, np.diff(first, append=len(key))
+                each = np.bincount(box, minlength=rows) + layout + 1
+                out = np.concatenate([[0], np.cumsum(each)])
+                at, value = np.empty(out[-1], np.int32), np.empty(out[-1])
+                to = np.arange(len(box)) + box * (layout + 1)
+                at[to], value[to] = key[first] % dims, n / np.diff(bound)[box]
+                last = out[1:, None] - np.arange(layout + 1, 0, -1)
+                at[last] = dims + np.arange(layout + 1)
+                value[last[:, :layout]] = _flat(part.column(part.num_columns - 1))[1].reshape(rows, layout)
+                value[last[:, layout]] = 1.0
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], arrays(out, at), arrays(out, value)], [*part.schema.names[:-2], "at", "value"])
+
+    return run
+
+
+def _flat(column: pa.Array, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, numbers) of arrays, or of bytes that hold numbers of a kind."""
+    bound = (column.offsets if pa.types.is_list(column.type) else np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    if pa.types.is_list(column.type):
+        bound = bound.to_numpy().astype(np.int64)
+        return bound - bound[0], column.flatten().to_numpy()
+    size, data = np.dtype(kind).itemsize, column.buffers()[2]
+    bound = bound.astype(np.int64)
+    numbers = np.frombuffer(data, np.uint8)[bound[0] : bound[-1]] if data is not None else np.empty(0, np.uint8)
+    return (bound - bound[0]) // size, numbers.view(kind)
 
 
 @dataclass(frozen=True)
@@ -93,13 +138,12 @@ class Model:
 
 def _logits(weights: np.ndarray, at: np.ndarray, value: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Rows by labels; every row has a constant, so none is empty."""
-    return np.add.reduceat(weights[:, at] * value, bound[:-1], axis=1).T
+    return np.stack([np.add.reduceat(w[at] * value, bound[:-1]) for w in weights], axis=1)
 
 
 def _sparse(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, value = batch.column(i), batch.column(i + 1)
-    bound = at.offsets.to_numpy().astype(np.int64)
-    return at.flatten().to_numpy(), value.flatten().to_numpy(), bound - bound[0]
+    bound, at = _flat(batch.column(i), np.int32)
+    return at.astype(np.intp), _flat(batch.column(i + 1))[1], bound
 
 
 def _partial(model: Model, gradient: bool):
@@ -110,8 +154,8 @@ def _partial(model: Model, gradient: bool):
 
         loss, n, hits, total = 0.0, 0, 0, np.zeros_like(model.weights)
         for batch in batches:
-            for lo in range(0, len(batch), 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, len(batch), 1024):  # what a slice takes stays in the processor's cache
+                part = batch.slice(lo, 1024)
                 gold = part.column(0).to_numpy()
                 at, value, bound = _sparse(part, 1)
                 z = _logits(model.weights, at, value, bound)
@@ -126,9 +170,9 @@ def _partial(model: Model, gradient: bool):
                 if gradient:
                     p[rows, gold[rows]] -= 1
                     p[~ok] = 0
-                    each = np.repeat(p, np.diff(bound), axis=0)
+                    long = np.diff(bound)
                     for k in range(len(model.labels)):
-                        total[k] += np.bincount(at, each[:, k] * value, minlength=total.shape[1])
+                        total[k] += np.bincount(at, np.repeat(p[:, k], long) * value, minlength=total.shape[1])
         yield _sums(TaskContext.get().partitionId(), loss, n, hits, total if gradient else None)
 
     return run
@@ -161,6 +205,18 @@ def totals(encoded: DataFrame, model: Model, gradient: bool = True) -> tuple[flo
     return sum(r["loss"] for r in rows), sum(r["n"] for r in rows), sum(r["hits"] for r in rows), add
 
 
+def _last(vectors: DataFrame) -> int | None:
+    """The greatest place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _flat(batch.column(0), np.int32)[1]
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"at": pa.array([int(at.max())], pa.int32())})
+
+    return vectors.select("at").mapInArrow(run, "at int").agg(F.max("at")).first()[0]
+
+
 def supervised(vectors: DataFrame, labels: Sequence[str]) -> DataFrame:
     """vectors with gold: the label's place; IGNORED for null and unknown ones."""
     place = F.array_position(F.array(*map(F.lit, labels)).cast("array<string>"), F.col("label")).cast("int") - 1
@@ -190,11 +246,11 @@ def train(vectors: DataFrame, validation: DataFrame | None = None, labels: Seque
     else the training rows) are scored, and with a path the model is saved; training stops when the
     loss has not fallen for patience scores in a row, and the best scored model is returned.  A call with the path
     of a run that was cut off goes on from its last saved step.  Vectors are best a stored table:
-    every step reads them.
+    every step reads them, and packed.
     """
     spark = vectors.sparkSession
     saved = Model.load(spark, path) if path else None
-    width = vectors.select(F.max(F.array_max("at"))).first()[0]
+    width = _last(vectors)
     found = [r["label"] for r in vectors.filter("label IS NOT NULL").select("label").distinct().orderBy("label").collect()]
     now = saved or model or Model.start((), (width if width is not None else -1) + 1)
     now = now.grown([*labels, *found])
@@ -205,8 +261,10 @@ def train(vectors: DataFrame, validation: DataFrame | None = None, labels: Seque
     held = rows if validation is None else supervised(validation, now.labels)
     metrics, best, wait = [], (float("inf"), now), 0
     for step in range(now.step, steps + 1):
-        if step % interval == 0 or step == steps:
-            loss, n, hits, _ = totals(held, now, False)
+        scored, alike, gradient = step % interval == 0 or step == steps, held is rows and batches == 1 and step < steps, None
+        if scored:
+            # where training rows are scored, the step's gradient comes from the same pass
+            loss, n, hits, gradient = totals(held, now, alike)
             loss = loss / max(n, 1)
             metrics.append({"step": step, "loss": loss, "accuracy": hits / max(n, 1), "lr": rate(step, steps, lr, lr if start is None else start, warmup)})
             if path and not (saved and saved.step == step):
@@ -215,7 +273,8 @@ def train(vectors: DataFrame, validation: DataFrame | None = None, labels: Seque
             if wait >= patience:
                 break
         if step < steps:
-            _, n, _, gradient = totals(rows if batches == 1 else rows.filter(turn == step % batches), now)
+            if gradient is None:
+                _, n, _, gradient = totals(rows if batches == 1 else rows.filter(turn == step % batches), now)
             now = adamw(now, gradient / max(n, 1), rate(step, steps, lr, lr if start is None else start, warmup))
     return best[1], metrics
 

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.functions import embedding
-from leafgrid.functions.features import layout_features, tokens
+from leafgrid.functions.features import WORD, layout_features, tokens, word_marks, word_shape
+from leafgrid.functions.transliterate import ascii_fold
 from leafgrid.operators import trainable
+from leafgrid.plans import catalog
 
 ROWS = "doc_id long, box_idx int, page_num int, x0 double, x1 double, y0 double, y1 double, text string, label string"
 
@@ -155,3 +157,39 @@ def test_vectors_count_words_without_a_shuffle(spark):
         found = [(s, v) for s, v in zip(r.at, r.value, strict=True) if s < 64]
         assert found == [(s, n / total[key]) for s, n in sorted(want.get(key, {}).items())]
         assert r.at[len(found) :] == list(range(64, 64 + len(r.at) - len(found))) and r.value[-1] == 1.0
+
+
+def test_marks_of_all_words_at_once_are_those_of_each(spark):
+    rng = random.Random(3)
+    texts = [None, "", "   ", "a  b   c  d'e f' g'", "word\x01 Ab\x01\x01  x", "ΣΑΣ ß Привет ΟΥ", "½ ŉ º Œuvre… 12.5 3,4,5 « oui » l'été\t\r x'\r", "İ I ı ſ Ŀ é", "x" * 100 + " " + "É" * 99 + " aaaaaaa 1111111  b", "…  ‥ ‑   a․b \x1c\x00 \x85 z"]
+    texts += ["".join(rng.choice("aB1  '.éßç«\t\x0bŒXx9,İ…[Σ" if i % 3 else "aB1  '.éßç«ŒX,…") for _ in range(rng.randint(0, 60))) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).persist()
+    words = rows.select("doc_id", F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>")).alias("w")).select("doc_id", F.transform("w", lambda w: ascii_fold(w)).alias("w"))
+    want = words.select("doc_id", F.transform("w", word_shape), F.transform("w", lambda w: F.lower(w)))
+    assert sorted(word_marks(rows).select("doc_id", "shapes", "lows").collect()) == sorted(want.collect())
+
+
+def test_packed_vectors_are_the_same(boxes, vectors):
+    packed = trainable.box_vectors(boxes, dims=64, packed=True).persist()
+    plain = {(r.doc_id, r.box_idx): (r.at, r.value) for r in vectors.collect()}
+    assert {(r.doc_id, r.box_idx): (np.frombuffer(r.at, np.int32).tolist(), np.frombuffer(r.value).tolist()) for r in packed.collect()} == plain
+    want, found = (trainable.train(v, steps=6, interval=3) for v in (vectors, packed))
+    assert np.allclose(found[0].weights, want[0].weights, atol=1e-9) and found[0].weights.shape == want[0].weights.shape
+    assert sorted(trainable.classify(packed, found[0]).select("doc_id", "box_idx", "label").collect(), key=str) == sorted(trainable.classify(vectors, want[0]).select("doc_id", "box_idx", "label").collect(), key=str)
+    assert trainable.train(packed.limit(0))[0].labels == ()
+
+
+def test_a_scored_step_reads_the_rows_once(vectors, monkeypatch):
+    passes, totals = [], trainable.totals
+    monkeypatch.setattr(trainable, "totals", lambda *args: passes.append(1) or totals(*args))
+    _, metrics = trainable.train(vectors, steps=4, interval=2)
+    assert [m["step"] for m in metrics] == [0, 2, 4] and len(passes) == 5
+
+
+def test_train_boxes_stores_learnt_documents_alone(spark, monkeypatch):
+    kept, settle = [], catalog.settle
+    monkeypatch.setattr(catalog, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    found = catalog.train_boxes(spark, "/root/testdata/sf0.001")
+    assert [(t.filter("doc_id % 2 <> 0").count(), dict(t.dtypes)["at"]) for t in kept] == [(0, "binary")]
+    boxes = catalog._boxes(spark, "/root/testdata/sf0.001").filter("doc_id % 2 = 1")
+    assert sorted(found.select("doc_id", "box_idx").collect()) == sorted(boxes.select("doc_id", "box_idx").collect())
