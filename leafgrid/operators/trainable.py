@@ -153,12 +153,15 @@ def _partial(model: Model, gradient: bool):
         from pyspark import TaskContext
 
         loss, n, hits, total = 0.0, 0, 0, np.zeros_like(model.weights)
+        others = model.weights[:-1] - model.weights[-1]  # scores count from the last label's, so its own are zero
         for batch in batches:
             for lo in range(0, len(batch), 1024):  # what a slice takes stays in the processor's cache
                 part = batch.slice(lo, 1024)
                 gold = part.column(0).to_numpy()
                 at, value, bound = _sparse(part, 1)
-                z = _logits(model.weights, at, value, bound)
+                z = np.zeros((len(part), len(model.labels)))
+                if len(others):
+                    z[:, :-1] = _logits(others, at, value, bound)
                 ok = gold != IGNORED
                 z -= z.max(axis=1, keepdims=True)
                 p = np.exp(z)
@@ -171,8 +174,9 @@ def _partial(model: Model, gradient: bool):
                     p[rows, gold[rows]] -= 1
                     p[~ok] = 0
                     long = np.diff(bound)
-                    for k in range(len(model.labels)):
+                    for k in range(len(others)):
                         total[k] += np.bincount(at, np.repeat(p[:, k], long) * value, minlength=total.shape[1])
+        total[-1] = -total[:-1].sum(axis=0)  # a row's shares and its gold label both sum to one
         yield _sums(TaskContext.get().partitionId(), loss, n, hits, total if gradient else None)
 
     return run

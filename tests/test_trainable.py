@@ -193,3 +193,12 @@ def test_train_boxes_stores_learnt_documents_alone(spark, monkeypatch):
     assert [(t.filter("doc_id % 2 <> 0").count(), dict(t.dtypes)["at"]) for t in kept] == [(0, "binary")]
     boxes = catalog._boxes(spark, "/root/testdata/sf0.001").filter("doc_id % 2 = 1")
     assert sorted(found.select("doc_id", "box_idx").collect()) == sorted(boxes.select("doc_id", "box_idx").collect())
+
+
+def test_train_boxes_scores_stores_learnt_documents_alone(spark, monkeypatch):
+    kept, settle = [], catalog.settle
+    monkeypatch.setattr(catalog, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    found = catalog.train_boxes_scores(spark, "/root/testdata/sf0.001")
+    assert [(t.filter("doc_id % 2 <> 0").count(), dict(t.dtypes)["at"]) for t in kept] == [(0, "binary")]
+    boxes = catalog._boxes(spark, "/root/testdata/sf0.001").filter("doc_id % 2 = 1")
+    assert sum(r.support for r in found.collect()) == boxes.count()
